@@ -6,6 +6,9 @@ from importlib import import_module
 
 #: Query name, module and function of each operator.
 OPERATORS = {
+    "op4_toxicity": ("toxicity", "op4_toxicity"),
+    "op6_language": ("language", "op6_language"),
+    "op9_pii": ("pii", "op9_pii"),
     "op3_byte_bpe": ("bpe_transducer", "op3_byte_bpe"),
 }
 
