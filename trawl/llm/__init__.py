@@ -7,11 +7,13 @@ from importlib import import_module
 #: Query name, module and function of each operator.
 OPERATORS = {
     "op1_simhash": ("simhash", "op1_simhash"),
+    "op5_decontamination": ("decontaminate", "op5_decontamination"),
     "op4_toxicity": ("toxicity", "op4_toxicity"),
     "op6_language": ("language", "op6_language"),
     "op7_main_text": ("main_text", "op7_main_text"),
     "op9_pii": ("pii", "op9_pii"),
     "op3_byte_bpe": ("bpe_transducer", "op3_byte_bpe"),
+    "op10_topk": ("exact_topk", "op10_topk"),
 }
 
 
