@@ -13,6 +13,7 @@ OPERATORS = {
     "op7_main_text": ("main_text", "op7_main_text"),
     "op9_pii": ("pii", "op9_pii"),
     "op3_byte_bpe": ("bpe_transducer", "op3_byte_bpe"),
+    "op8_line_templates": ("line_templates", "op8_line_templates"),
     "op10_topk": ("exact_topk", "op10_topk"),
 }
 
