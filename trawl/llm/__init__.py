@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name, module and function of each operator.
 OPERATORS = {
     "op1_simhash": ("simhash", "op1_simhash"),
+    "op2_grammar_tokens": ("grammar_tokens", "op2_grammar_tokens"),
     "op5_decontamination": ("decontaminate", "op5_decontamination"),
     "op4_toxicity": ("toxicity", "op4_toxicity"),
     "op6_language": ("language", "op6_language"),
