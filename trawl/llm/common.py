@@ -100,3 +100,16 @@ def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     h = F.xxhash64(F.col(key))
     last = df.select(h.alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]
     return df.where(h <= F.lit(last)).limit(n) if last is not None else df.limit(0)
+
+
+def filter_arrow(df: DataFrame, column: str, start) -> DataFrame:
+    """Rows of df, all columns kept, for which start()'s function of a list of the column's values is true."""
+
+    def run(batches):
+        work = start()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                yield part.filter(pa.array(work(part.column(part.schema.get_field_index(column)).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

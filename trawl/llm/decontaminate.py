@@ -14,12 +14,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, shingles, table, words
+from .common import filter_arrow, map_arrow, shingles, table, words
 
 SHARE, WORDS = 0.8, 5
 #: Characters of items searched at a time; what is broadcast is a small multiple of it.
@@ -145,12 +144,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, share: float = SHARE, n: in
     for block in item_blocks(items):
         index = docs.sparkSession.sparkContext.broadcast(ContainmentIndex(block, share, n))
 
-        def run(batches, index=index):
-            for batch in batches:
-                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-                yield batch.filter(pa.array([not index.value.search(t) for t in texts], pa.bool_()))
+        def start(index=index):
+            return lambda texts: [not index.value.search(t) for t in texts]
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = filter_arrow(docs, text_col, start)
     return docs
 
 

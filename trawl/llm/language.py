@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold_of, map_arrow, table
+from .common import bounded_sample, filter_arrow, fold_of, map_arrow, table
 
 #: Bytes of a window; shorter ends are padded with zero bytes, which add nothing.
 WINDOW = 192
@@ -174,6 +174,20 @@ def identify_language(docs: DataFrame, model: ByteConvNet, id_col: str = "doc_id
     return map_arrow(docs.select(id_col, text_col), f"{id_col} long, lang_pred string, score double", start, rows=256)
 
 
+#: A document whose language is less likely than this is rejected: it is hardly text of any known one.
+MIN_SCORE = 0.3
+
+
+def keep_identified(docs: DataFrame, model: ByteConvNet, min_score: float = MIN_SCORE, text_col: str = "text") -> DataFrame:
+    """The documents, all columns kept, whose language is determined with at least min_score."""
+    net = docs.sparkSession.sparkContext.broadcast(model)
+
+    def start():
+        return lambda texts: [lang != UNDETERMINED and score >= min_score for lang, score in net.value.predict(texts)]
+
+    return filter_arrow(docs, text_col, start)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = identify_language(docs, fit_documents(docs))
