@@ -103,7 +103,8 @@ def exact_topk(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "v
             mine, asked = np.array([len(x) == dims for x in c], bool), np.array([len(x) == dims for x in q], bool)
             if not mine.any():
                 continue
-            cm, qm = np.array([x for x in c if len(x) == dims]).reshape(-1, dims).T, np.array([x for x in q if len(x) == dims]).reshape(-1, dims)
+            cm, qm = (np.array([x for x in v if len(x) == dims]).reshape(n, dims) for v, n in ((c, mine.sum()), (q, asked.sum())))
+            cm = cm.T
             small = not dims or np.abs(cm).max() * np.abs(qm).max() * dims < 2**52
             out += (best if small else best_of_big_numbers)(ids[mine], cm, query_ids[asked], qm, k)
         return pa.Table.from_arrays([pa.array(list(x), pa.int64()) for x in (zip(*out, strict=True) if out else ([], [], []))], schema=schema)

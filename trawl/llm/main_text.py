@@ -55,23 +55,23 @@ GOOD, BAD, UNSURE = 1, -1, 0
 
 
 class Block:
-    __slots__ = ("parts", "linked", "boiler", "inside", "heading", "section", "label", "text")
+    __slots__ = ("parts", "linked", "boiler", "inside", "heading", "section", "parent", "label", "text")
 
-    def __init__(self, boiler: bool, inside: bool, heading: bool, section: int):
+    def __init__(self, boiler: bool, inside: bool, heading: bool, section: int, parent: int):
         self.parts, self.linked = [], 0
-        self.boiler, self.inside, self.heading, self.section = boiler, inside, heading, section
+        self.boiler, self.inside, self.heading, self.section, self.parent = boiler, inside, heading, section, parent
         self.label, self.text = UNSURE, ""
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks with text in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # element, boilerplate, in the article, section
-    current, links, section, at = None, 0, 0, 0
+    stack: list[tuple[str, bool, bool, int, int]] = []  # element, boilerplate, in the article, section, number
+    current, links, section, at, count = None, 0, 0, 0, 0
     seen_article = False
 
     def top():
-        return stack[-1][1:] if stack else (False, False, 0)
+        return stack[-1][1:4] if stack else (False, False, 0)
 
     def add(raw: str) -> None:
         nonlocal current
@@ -79,7 +79,7 @@ def blocks(page: str) -> list[Block]:
             if not raw.strip():
                 return
             boiler, inside, part = top()
-            current = Block(boiler, inside, any(e[0] in _HEADINGS for e in stack[-3:]), part)
+            current = Block(boiler, inside, any(e[0] in _HEADINGS for e in stack[-3:]), part, stack[-2][4] if len(stack) > 1 else 0)
             out.append(current)
         current.parts.append(raw)
         if links:
@@ -136,7 +136,8 @@ def blocks(page: str) -> list[Block]:
                     section += 1
                     part = section
                 if not m[4] or name not in VOID:
-                    stack.append((name, boiler, inside, part))
+                    count += 1
+                    stack.append((name, boiler, inside, part, count))
         elif any(e[0] == name for e in stack):
             while stack.pop()[0] != name:
                 pass
@@ -174,28 +175,33 @@ def first_pass(b: Block) -> int:
 
 
 def second_pass(found: list[Block]) -> None:
-    """Undecided blocks take the label of the nearest decided ones before and after, in their section first.
+    """Undecided blocks take the label of the nearest decided ones before and after in their section of the page.
 
-    Where those differ, or none is decided, a block inside the article or a heading before main text is kept.
+    Where the two differ, one of the same parent element prevails, else a block inside the article
+    and a heading before main text are kept. Without either, what lies inside the article is kept.
     """
-    labels = [b.label for b in found]
     n = len(found)
-    before, after = [UNSURE] * n, [UNSURE] * n
+    before, after = [None] * n, [None] * n
     for order, out in ((range(n), before), (range(n - 1, -1, -1), after)):
-        last: dict[int, int] = {}
+        last: dict[int, Block] = {}
         for i in order:
-            out[i] = last.get(found[i].section, UNSURE)
-            if labels[i] != UNSURE:
-                last[found[i].section] = labels[i]
-    for i, b in enumerate(found):
-        if labels[i] == UNSURE:
-            near = [x for x in (before[i], after[i]) if x != UNSURE]
-            if not near:
-                b.label = GOOD if b.inside else BAD
-            elif len(set(near)) == 1:
-                b.label = near[0]
-            else:
-                b.label = GOOD if b.inside or (b.heading and after[i] == GOOD) else BAD
+            out[i] = last.get(found[i].section)
+            if found[i].label != UNSURE:
+                last[found[i].section] = found[i]
+    chosen = []
+    for b, x, y in zip(found, before, after, strict=True):
+        near = [z for z in (x, y) if z]
+        kin = [z for z in near if z.parent == b.parent]
+        if b.label != UNSURE:
+            chosen.append(b.label)
+        elif len({z.label for z in near}) == 1:
+            chosen.append(near[0].label)
+        elif len({z.label for z in kin}) == 1:
+            chosen.append(kin[0].label)
+        else:
+            chosen.append(GOOD if b.inside or (b.heading and y and y.label == GOOD) else BAD)
+    for b, label in zip(found, chosen, strict=True):
+        b.label = label
 
 
 def main_text(page: str | None) -> str:

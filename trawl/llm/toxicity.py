@@ -30,6 +30,8 @@ MAX_ENTRIES = 3000
 PREFIXES = (3, 4, 5, 6)
 #: Evidence an entry needs: the log-likelihood ratio of its documents' labels to all labels, and its log-odds.
 MIN_EVIDENCE, MIN_WEIGHT = 12.0, 4.0
+#: Log-odds of what is looked at for exception phrases.
+LOOSE_WEIGHT = 1.0
 
 # Look-alike letters of Cyrillic, Greek and full-width script.
 HOMOGLYPHS = {
@@ -50,7 +52,7 @@ def fold(text: str) -> str:
     if _ODD.search(t):
         t = t.translate(_LETTERS)
     if _DIGIT_OR_SIGN.search(t):
-        t = _LEET_WORD.sub(lambda m: m[0].translate(_LEET) if sum(map(str.isdigit, m[0])) * 2 <= len(m[0]) else m[0], t)
+        t = _LEET_WORD.sub(lambda m: m[0].translate(_LEET) if 2 * sum(map(str.isalpha, m[0])) >= len(m[0]) - 1 else m[0], t)
     return f" {_GAP.sub(' ', t).strip()} "
 
 
@@ -98,8 +100,8 @@ class Lexicon:
         if self.exceptions:
             for at in list(found):
                 end = folded.index(" ", at + 1)
-                after = folded[at : folded.find(" ", end + 1)] if end + 1 < len(folded) else ""
-                before = folded[folded.rfind(" ", 0, at) : end] if at else ""
+                after = folded[at : folded.find(" ", end + 1) + 1] if end + 1 < len(folded) else ""
+                before = folded[folded.rfind(" ", 0, at) : end + 1] if at else ""
                 if after in self.exceptions or before in self.exceptions:
                     del found[at]
         return found
@@ -168,25 +170,38 @@ def learn(labelled: DataFrame) -> Lexicon:
         each = map_arrow(sample.select("folded", "toxic"), "term string, t long, c long", start, rows=4096)
         return each.groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
 
-    odds = F.log((F.col("t") + 0.5) / (n1 + 1.0)) - F.log((F.col("c") + 0.5) / (n0 + 1.0))
-    t, c, share = F.col("t"), F.col("c"), n1 / (n1 + n0)
-    evidence = t * F.log(F.greatest(t, F.lit(1)) / ((t + c) * share)) + c * F.log(F.greatest(c, F.lit(1)) / ((t + c) * (1 - share)))
-    best = counted(terms).withColumns({"weight": odds, "evidence": evidence})
-    best = best.where((F.col("weight") >= MIN_WEIGHT) & (F.col("evidence") >= MIN_EVIDENCE)).orderBy(F.desc("evidence"), "term").limit(MAX_ENTRIES)
-    lexicon = Lexicon({r["term"]: r["weight"] for r in best.collect()})
+    def weighed(counts: DataFrame, least: float) -> dict[str, float]:
+        t, c, share = F.col("t"), F.col("c"), n1 / (n1 + n0)
+        odds = F.log((t + 0.5) / (n1 + 1.0)) - F.log((c + 0.5) / (n0 + 1.0))
+        evidence = t * F.log(F.greatest(t, F.lit(1)) / ((t + c) * share)) + c * F.log(F.greatest(c, F.lit(1)) / ((t + c) * (1 - share)))
+        best = counts.withColumns({"weight": odds, "evidence": evidence}).where((F.col("weight") >= least) & (F.col("evidence") >= MIN_EVIDENCE))
+        return {r["term"]: r["weight"] for r in best.orderBy(F.desc("evidence"), "term").limit(MAX_ENTRIES).collect()}
+
+    # What looks telling at first, the phrases that make it harmless, and what is telling outside of them.
+    lexicon = Lexicon(weighed(counted(terms), LOOSE_WEIGHT))
 
     def phrases(folded):
         out = set()
         for at in lexicon.matches(folded):
             end = folded.index(" ", at + 1)
             if end + 1 < len(folded):
-                out.add(folded[at : folded.find(" ", end + 1)])
+                out.add(folded[at : folded.find(" ", end + 1) + 1])
             if at:
-                out.add(folded[folded.rfind(" ", 0, at) : end])
+                out.add(folded[folded.rfind(" ", 0, at) : end + 1])
+        return out
+
+    benign = counted(phrases).where((F.col("c") >= 5) & (F.col("c") * n1 >= 9.0 * F.col("t") * n0)).orderBy(F.desc("c"), "term").limit(MAX_ENTRIES)
+    exceptions = {r["term"] for r in benign.collect()}
+    rest = Lexicon(lexicon.weights, exceptions)
+
+    def outside(folded):
+        out = set()
+        for at in rest.matches(folded):
+            word = folded[at : folded.index(" ", at + 1) + 1]
+            out.update(e for e in (word, *(word[: k + 1] for k in PREFIXES if len(word) > k + 2)) if e in rest.weights)
         return out
 
-    benign = counted(phrases).where((F.col("c") >= 3) & (F.col("c") * n1 >= 9.0 * F.col("t") * n0)).orderBy(F.desc("c"), "term").limit(MAX_ENTRIES)
-    lexicon.exceptions = {r["term"] for r in benign.collect()}
+    lexicon = Lexicon(weighed(counted(outside), MIN_WEIGHT), exceptions)
 
     def measured():
         return lambda rows: [(*lexicon.measures(f), y) for f, y in rows]
