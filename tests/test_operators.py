@@ -188,6 +188,7 @@ def test_service(spark, files):
     get = lambda p: json.load(urllib.request.urlopen(f"http://127.0.0.1:{http.server_port}{p}"))
     assert [r["name"] for r in get("/api/search?q=hello&limit=5")["results"]] == ["hello.txt"]
     assert get("/api/search/content?q=hello")["results"][0]["snippet"] == "some hello text"
+    assert get("/api/search?q=infile:HELLO")["count"] == 1
     assert get("/api/status")["liveRecordCount"] == 4 and get("/api/recent?limit=2")["results"][0]["name"] == "testdir" and get("/api/health") == {"status": "ok"}
     for path, code in (("/api/search", 400), ("/nothing", 404)):
         with pytest.raises(urllib.error.HTTPError) as e:

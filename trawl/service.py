@@ -33,6 +33,9 @@ class Api:
         return min(max(int(text), 1), MAX_LIMIT) if text and text.lstrip("-").isdigit() else DEFAULT_LIMIT
 
     def search(self, q: str, limit: int, use_index: bool = True) -> dict:
+        """A file search; `infile:text` searches the contents."""
+        if q.strip().lower().startswith("infile:") and self.documents is not None:
+            return self.search_content(q.strip()[7:].strip(), limit)
         began = time.perf_counter()
         with session(self.catalog.spark, "search"):
             rows = self.catalog.search(q, limit, use_index=use_index).collect()  # limit rows at most
