@@ -227,6 +227,12 @@ def test_main_text_without_an_article():
     assert main_text.main_text(page) == ("This is the main part of the page and it is long. " * 5).strip() + "\nYes."
 
 
+def test_main_text_keeps_the_heading_of_an_article_header():
+    text = "The text of the story is long enough to be one that stands for itself in any of the pages."
+    page = f"<article><header><h1>Head</h1><p class=byline>By someone</p></header><p>{text}</p><section id=comments><article class=comment><p>{text}</p></article></section><footer>tags</footer></article>"
+    assert main_text.main_text(page) == f"Head\n{text}"
+
+
 def test_main_text_on_the_sample(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}

@@ -52,6 +52,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 LONG, SHORT = 140, 60
 LINKED, STOPPED = 0.4, 0.12
 GOOD, BAD, UNSURE = 1, -1, 0
+#: How much inside an element is boilerplate; an article's own header holds its heading.
+NONE, BUT_HEADINGS, ALL = 0, 1, 2
 
 
 class Block:
@@ -66,12 +68,12 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """Blocks with text in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int, int]] = []  # element, boilerplate, in the article, section, number
+    stack: list[tuple[str, int, bool, int, int]] = []  # element, boilerplate, in the article, section, number
     current, links, section, at, count = None, 0, 0, 0, 0
     seen_article = False
 
     def top():
-        return stack[-1][1:4] if stack else (False, False, 0)
+        return stack[-1][1:4] if stack else (NONE, False, 0)
 
     def add(raw: str) -> None:
         nonlocal current
@@ -79,7 +81,8 @@ def blocks(page: str) -> list[Block]:
             if not raw.strip():
                 return
             boiler, inside, part = top()
-            current = Block(boiler, inside, any(e[0] in _HEADINGS for e in stack[-3:]), part, stack[-2][4] if len(stack) > 1 else 0)
+            heading = any(e[0] in _HEADINGS for e in stack[-3:])
+            current = Block(boiler == ALL or (boiler == BUT_HEADINGS and not heading), inside, heading, part, stack[-2][4] if len(stack) > 1 else 0)
             out.append(current)
         current.parts.append(raw)
         if links:
@@ -127,11 +130,14 @@ def blocks(page: str) -> list[Block]:
                 marks = " ".join(next(filter(None, g), "") for k, *g in _ATTRIBUTE.findall(attributes) if k.lower() in ("class", "id", "role")) if attributes else ""
                 if name in ("article", "main"):
                     section += 1
-                    boiler, inside, part = boiler or bool(marks and _BOILER.search(marks)), True, section
+                    boiler, inside, part = ALL if marks and _BOILER.search(marks) else boiler, True, section
                     seen_article = True
                 elif name in ASIDE or (marks and name not in ("html", "body") and _BOILER.search(marks) and not (_ARTICLE.search(marks) and not inside)):
-                    section += 1
-                    boiler, part = True, section
+                    if name == "header" and inside and boiler != ALL and not (marks and _BOILER.search(marks)):
+                        boiler = BUT_HEADINGS
+                    else:
+                        section += 1
+                        boiler, part = ALL, section
                 elif marks and _ARTICLE.search(marks):
                     section += 1
                     part = section
@@ -177,7 +183,7 @@ def first_pass(b: Block) -> int:
 def second_pass(found: list[Block]) -> None:
     """Undecided blocks take the label of the nearest decided ones before and after in their section of the page.
 
-    Where the two differ, one of the same parent element prevails, else a block inside the article
+    What its place alone makes boilerplate lends its label to none. Where the two differ, one of the same parent element prevails, else a block inside the article
     and a heading before main text are kept. Without either, what lies inside the article is kept.
     """
     n = len(found)
@@ -186,7 +192,7 @@ def second_pass(found: list[Block]) -> None:
         last: dict[int, Block] = {}
         for i in order:
             out[i] = last.get(found[i].section)
-            if found[i].label != UNSURE:
+            if found[i].label != UNSURE and not found[i].boiler:
                 last[found[i].section] = found[i]
     chosen = []
     for b, x, y in zip(found, before, after, strict=True):
