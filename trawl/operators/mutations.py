@@ -69,7 +69,7 @@ def dirty_share(files: DataFrame, changes: DataFrame) -> DataFrame:
 
 # ---- file system events ----
 
-#: Text in a path that marks the system's own files.
+#: Text in a path that marks the system's own files.
 NOISE = ("/.Spotlight-V100/", "/.fseventsd/", "/.Trashes/")
 
 
