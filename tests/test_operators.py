@@ -148,6 +148,9 @@ def test_storage(spark, files, tmp_path):
     storage.append_changes(spark.createDataFrame([("ADD", f"/f{i}", f"f{i}", "/", 1, 1, 1, i) for i in range(6)], CHANGE), log)
     rows = storage.read_changes(spark, log)
     assert rows.where("corrupt").count() == 0
+    assert storage.compact(spark, base, log, files=1) == 2
+    # The log's first event, number 0, is one that the snapshot has seen.
+    assert sorted(r["name"] for r in storage.read_snapshot(spark, base).collect())[:5] == [f"f{i}" for i in range(1, 6)] and storage.metadata(spark, base)["last_event"] == 5
     broken = rows.selectExpr("* except (corrupt)", "seq = 4 as corrupt")
     assert sorted(r["seq"] for r in mutations.replay(broken).collect()) == [0, 1, 2, 3]
 
@@ -195,6 +198,9 @@ def test_service(spark, files):
             get(path)
         assert e.value.code == code
     http.shutdown()
+    again = Api(None, rebuild={"index": lambda: Catalog(files)})
+    assert again.post("/api/index/rebuild", b"")[0] == 200 and again.get("/api/status")[1]["liveRecordCount"] == 4 and again.post("/api/content/rebuild", b"")[0] == 404
+    assert [r["name"] for r in Catalog.page(api.catalog.search("t"), 1, 2).collect()] == [r["name"] for r in api.catalog.search("t").collect()[2:4]]
     assert Api(None).get("/api/search?q=a")[0] == 503 and Api(None).post("/api/content/config", b"{")[0] == 400
     assert rpc(api, {"id": 1, "method": "ping"})["result"] == {} and rpc(api, {"method": "note"}) is None
     assert len(rpc(api, {"id": 1, "method": "tools/list"})["result"]["tools"]) == 4

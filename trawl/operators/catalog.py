@@ -96,6 +96,11 @@ class Catalog:
         hit = self.postings.where(F.col("tri").isin(tris)).groupBy("path_key").agg(F.count_distinct("tri").alias("n"))
         return self.files.join(hit.where(F.col("n") == len(tris)), "path_key", "left_semi")
 
+    @staticmethod
+    def page(found: DataFrame, number: int, size: int = 100) -> DataFrame:
+        """One page (from 0) of a search's result, which is in a total order."""
+        return found.offset(number * size).limit(size)
+
     def children(self, q: S.PathQuery, adjacency: str = "reference") -> DataFrame:
         """Direct children of the directories that a children query names."""
         where = (F.col("type") == DIRECTORY) & (F.col("name_lower") == q.name)

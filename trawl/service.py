@@ -22,10 +22,13 @@ DEFAULT_LIMIT, MAX_LIMIT = 100, 10_000
 
 
 class Api:
-    """Answers as dictionaries. documents: path_key, content; None without a content index."""
+    """Answers as dictionaries. documents: path_key, content; None without a content index.
 
-    def __init__(self, catalog: Catalog | None, documents: DataFrame | None = None):
-        self.catalog, self.documents = catalog, documents
+    rebuild: functions that make a new catalog ("index") and new documents ("content") when asked to.
+    """
+
+    def __init__(self, catalog: Catalog | None, documents: DataFrame | None = None, rebuild: dict | None = None):
+        self.catalog, self.documents, self.rebuild = catalog, documents, rebuild or {}
         self.config = {"extensions": ["txt", "md"], "maxFileSize": content.MAX_SIZE}
 
     @staticmethod
@@ -78,6 +81,12 @@ class Api:
 
     def post(self, target: str, body: bytes) -> tuple[int, dict]:
         path = urlsplit(target).path
+        if path == "/api/index/rebuild" and "index" in self.rebuild:
+            self.catalog = self.rebuild["index"]()
+            return 200, {"status": "rebuilt"}
+        if path == "/api/content/rebuild" and "content" in self.rebuild:
+            self.documents = self.rebuild["content"]()
+            return 200, {"status": "rebuilt"}
         if path != "/api/content/config":
             return 404, {"error": "not found"}
         try:
@@ -161,7 +170,10 @@ def main() -> None:
     p.add_argument("--rpc", action="store_true", help="JSON-RPC on standard input instead of HTTP")
     a = p.parse_args()
     spark = SparkSession.builder.appName("trawl").getOrCreate()
-    api = Api(Catalog(storage.read_snapshot(spark, a.snapshots)), spark.read.parquet(a.documents) if a.documents else None)
+    make = {"index": lambda: Catalog(storage.read_snapshot(spark, a.snapshots))}
+    if a.documents:
+        make["content"] = lambda: spark.read.parquet(a.documents)
+    api = Api(make["index"](), make["content"]() if a.documents else None, make)
     serve_rpc(api) if a.rpc else server(api, a.port).serve_forever()
 
 

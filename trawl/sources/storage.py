@@ -54,6 +54,20 @@ def read_snapshot(spark: SparkSession, base: str, version: int | None = None) ->
     return spark.read.parquet(f"{base}/v={version}")
 
 
+def compact(spark: SparkSession, base: str, log: str | None = None, files: int | None = None) -> int:
+    """Rewrites the current snapshot, a log's sound part merged in, as a new version of few files."""
+    from ..operators.mutations import apply_changes, replay
+
+    now = metadata(spark, base)
+    rows = read_snapshot(spark, base, now["version"])
+    last = now["last_event"]
+    if log is not None and _exists(spark, log):
+        new = replay(read_changes(spark, log)).where(F.col("seq") > last)
+        rows, last = apply_changes(rows, new), new.agg(F.max("seq")).first()[0] or last
+    rows = rows.repartitionByRange(files, "path", "name") if files else rows.repartitionByRange("path", "name")
+    return write_snapshot(rows, base, last_event=last, extra=now["extra"], offline=now["offline"])
+
+
 def append_changes(changes: DataFrame, log: str) -> None:
     """Adds changes to a log, each with the checksum of its row."""
     changes.withColumn("crc", checksum(changes)).write.mode("append").parquet(log)
