@@ -18,7 +18,7 @@ from .operators.catalog import Catalog, derive, last_wins
 from .sources import storage
 from .streaming.changes import merge_stream, read_feed
 
-_catalogs: dict[tuple, str] = {}
+_catalogs: dict[tuple, DataFrame] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -37,8 +37,8 @@ def catalog_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _catalogs:
         path = work_dir(spark)
         storage.write_snapshot(sample.files(spark, sf_dir), path)
-        _catalogs[key] = path
-    return storage.read_snapshot(spark, _catalogs[key])
+        _catalogs[key] = storage.read_snapshot(spark, path)
+    return _catalogs[key]
 
 
 #: Query, SQL condition, lower-cased text that ranks (None: none), limit.
