@@ -24,7 +24,9 @@ The files are Parquet, written and read by Spark, with one row a shard:
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,7 @@ SHARD_TOKENS = 1 << 21
 #: Rounds of replacement, pairs replaced in a round, and occurrences a pair needs.
 ROUNDS, PER_ROUND, MIN_COUNT = 6, 2048, 24
 #: Encoded chunks that a worker remembers; beyond it they are forgotten.
-MAX_CHUNKS = 600_000
-_MARK = "\x01"
+MAX_CHUNKS = 500_000
 END_ID = 1
 _SCHEMA = (
     "part int, seq int, start_in_part long, doc_ids array<long>, doc_tokens array<int>, doc_at array<int>, "
@@ -64,8 +65,11 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
     for _ in range(ROUNDS):
         if len(seq) < 2:
             break
-        code = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        ordered = np.sort(code[~last[:-1]])
+        wide = symbols > 1 << 16  # else a pair of symbols takes 32 bits, which sort and compare faster
+        kind, shift = (np.uint64, 32) if wide else (np.uint32, 16)
+        code = (seq[:-1].astype(kind) << kind(shift)) | seq[1:].astype(kind)
+        inside = ~last[:-1]
+        ordered = np.sort(code[inside])
         if not len(ordered):
             break
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
@@ -77,9 +81,9 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
             frequent = frequent[np.argsort(-counts[frequent], kind="stable")[:PER_ROUND]]
         pairs = np.sort(ordered[first[frequent]])
         sieve = np.zeros(1 << 16, bool)
-        short = lambda c: ((c >> np.uint64(32)) * np.uint64(40503) + c).astype(np.uint16)
+        short = lambda c: ((c >> kind(shift)) * kind(40503) + c).astype(np.uint16)
         sieve[short(pairs)] = True
-        maybe = np.flatnonzero(sieve[short(code)] & ~last[:-1])
+        maybe = np.flatnonzero(sieve[short(code)] & inside)
         rule = np.minimum(np.searchsorted(pairs, code[maybe]), len(pairs) - 1)
         real = pairs[rule] == code[maybe]
         at, rule = maybe[real], rule[real]
@@ -92,7 +96,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, last = seq[keep], last[keep]
-        both = np.column_stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)]).astype(np.int64)
+        both = np.column_stack([pairs >> kind(shift), pairs & kind((1 << shift) - 1)]).astype(np.int64)
         known = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
         size = np.ones(both.shape, np.int64)
         inner = both >= base
@@ -125,16 +129,16 @@ class Grammar:
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         """The ids that symbols stand for."""
-        symbols = symbols.astype(np.int64)
-        inner = symbols >= self.base
-        rule = np.where(inner, symbols - self.base, 0)
-        size = np.where(inner, self.lengths[rule], 1) if len(self.lengths) else np.ones(len(symbols), np.int64)
-        begin = np.cumsum(size) - size
-        out = np.repeat(symbols, size).astype(np.uint32)
-        if inner.any():
-            many = np.repeat(inner, size)
-            source = np.arange(len(out)) + np.repeat(self.starts[rule] - begin, size)
-            out[many] = self.flat[source[many]]
+        inner = np.flatnonzero(symbols >= self.base)
+        rule = symbols[inner].astype(np.int64) - self.base
+        size = np.ones(len(symbols), np.int64)
+        size[inner] = self.lengths[rule]
+        out = np.repeat(symbols.astype(np.uint32), size)
+        if len(inner):
+            # Places of the nonterminals' ids in the output, and where in `flat` each comes from.
+            run = size[inner]
+            within = np.arange(run.sum()) - np.repeat(np.cumsum(run) - run, run)
+            out[within + np.repeat((np.cumsum(size) - size)[inner], run)] = self.flat[within + np.repeat(self.starts[rule], run)]
         return out
 
 
@@ -145,55 +149,98 @@ def decode_document(shard, k: int) -> np.ndarray:
     return Grammar(shard["rules"], shard["lengths"], shard["base"]).expand(symbols[at[k] : at[k + 1]])
 
 
-def _encoder(data: bytes):
+#: Chunks whose pieces are plain to see: Latin letters, and a full stop or comma at the end.
+_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if visible, else one from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in visible else chr(next(hidden)) for b in range(256)]
+
+
+def _place_of_none(items: list, start: int) -> int:
+    try:
+        return items.index(None, start)
+    except ValueError:
+        return -1
+
+
+class Encoder:
     """Encodes lists of texts with the tokenizers library, remembering chunks between blanks.
 
-    The normaliser and the splitting never join what a space or newline separates, so a text's ids
-    are those of its chunks, one after another.
+    The normaliser and the splitter never join what a space or newline separates, so a text's ids
+    are those of its chunks, one after another. Simple chunks go straight to the library's model,
+    lower-cased and in byte letters as the library's own steps would hand them on; the rest go
+    through all its steps.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
+    def __init__(self, data: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(data.decode())
+        self.model = self.tokenizer.model
+        self.letters = dict(enumerate(byte_letters()))
+        self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        # Simple chunks are only taken apart here if the vocabulary's steps do just that.
+        probe = ["Der", "ÉÈ,", "ñandú.", "ÿß"]
+        self.simple = all(self.taken_apart(_SIMPLE.fullmatch(c)) == self.whole([c])[0] for c in probe)
+
+    def whole(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def piece(self, text: str) -> bytes:
+        found = self.pieces.get(text)
+        if found is None:
+            if len(self.pieces) >= MAX_CHUNKS:
+                self.pieces.clear()
+            raw = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+            found = self.pieces[text] = array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
+        return found
+
+    def taken_apart(self, m: re.Match) -> bytes:
+        word = self.piece(m[1].lower())
+        return word + self.piece(m[2]) if m[2] else word
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) >= MAX_CHUNKS:
+            self.known.clear()
+        known, get = self.known, self.known.get
+        chunks = [t.replace("\n", " ").split(" ") for t in texts]
+        found = [list(map(get, cs)) for cs in chunks]
+        hard: dict[str, list] = {}
+        for cs, ids in zip(chunks, found, strict=True):
+            at = -1
+            while (at := _place_of_none(ids, at + 1)) >= 0:
+                c = cs[at]
+                m = _SIMPLE.fullmatch(c) if self.simple else None
+                if m:
+                    ids[at] = known[c] = self.taken_apart(m)
+                elif c:
+                    hard.setdefault(c, []).append((ids, at))
+                    ids[at] = b""
+                else:
+                    ids[at] = known[c] = b""
+        for (c, places), new in zip(hard.items(), self.whole(list(hard)), strict=True):
+            known[c] = new
+            for ids, at in places:
+                ids[at] = new
+        return [b"".join(ids) for ids in found]
+
+
+def _encoder(data: bytes):
+    """One encoder a worker process."""
     key = zlib.crc32(data), len(data)
     if key not in _encoders:
         _encoders.clear()
-        tokenizer = Tokenizer.from_str(data.decode())
-        mark = tokenizer.encode(_MARK, add_special_tokens=False).ids
-        _encoders[key] = (tokenizer, mark[0] if len(mark) == 1 else None, {"": b""})
-    tokenizer, mark, known = _encoders[key]
-
-    def fresh(new: list[str]) -> None:
-        """Encodes chunks many at a time: a control character that is one id of its own stands between them."""
-        plain = [c for c in new if _MARK not in c] if mark is not None else []
-        for at in range(0, len(plain), 512):
-            part = plain[at : at + 512]
-            ids = np.array(tokenizer.encode_batch_fast([f" {_MARK} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == mark)
-            if len(cuts) != len(part) - 1:
-                plain = plain[:at]
-                break
-            raw = ids.tobytes()
-            for c, lo, hi in zip(part, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True):
-                known[c] = raw[lo:hi]
-        if len(plain) < len(new):
-            rest = [c for c in new if c not in known]
-            for c, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(texts: list[str]) -> list[bytes]:
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({c for cs in chunks for c in cs if c not in known})
-        if len(known) + len(new) > MAX_CHUNKS:
-            known.clear()
-            known[""] = b""
-            new = list({c for cs in chunks for c in cs if c})
-        fresh(new)
-        return [b"".join([known[c] for c in cs]) for cs in chunks]
-
-    return encode
+        _encoders[key] = Encoder(data)
+    return _encoders[key].encode
 
 
-_encoders: dict[tuple, tuple] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
 def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
