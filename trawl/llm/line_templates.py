@@ -2,12 +2,12 @@
 
 A line's path in the tree is its number of tokens and its leading tokens; tokens that hold a digit
 are variable fields and read `<*>`. In a leaf, each further place that no single token fills in half
-of the lines is a variable field too, which gives the leaf's template; lines that fit it, if at least
-half of its places are fixed, carry it, other lines are their own template.
+of the lines is a variable field too, which gives the leaf's template; lines that fit it, if at least half
+of its places are fixed and hold letters, carry it, other lines are their own template.
 
 A template recurs if it stands in enough different texts and in different surroundings there: copies
-of a document, exact or near, repeat their lines between the same neighbours, while recurring lines
-stand among different ones. Everything runs as DataFrame functions.
+of a document, exact or near, repeat their lines between the same neighbours and beside the same
+longest line, while recurring lines stand among different ones. All of it runs as DataFrame functions.
 """
 
 from __future__ import annotations
@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 
 from .common import saved, table
 
-#: Leading tokens on a line's path, and those of each neighbour that make up its surroundings.
-DEPTH, AROUND = 2, 4
+#: Leading tokens on a line's path, and those of its neighbours and of the text's longest line, which
+#: make up its surroundings.
+DEPTH, AROUND = 2, 3
 #: Different texts that a recurring template stands in at least, and its surroundings per text.
 MIN_TEXTS, MIN_SURROUNDINGS = 8, 0.5
-#: Share of a leaf's lines in which a fixed place has the same token, and of fixed places in a template.
+#: Share of a leaf's lines in which a fixed place has the same token, and of fixed wordy places in a template.
 SAME, FIXED = 0.5, 0.5
 ANY = "<*>"
 _SPACE = "[\\x20\\x09\\x0B-\\x0D]+"
@@ -42,16 +43,27 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text hash, place, line, surroundings for every line."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("id"), F.md5(text).alias("hash"), F.split(text, "\n", -1).alias("lines"))
-    d = d.select("id", "hash", "lines", F.posexplode("lines").alias("place", "line"))
+    longest = F.array_max(F.transform("lines", lambda x, i: F.struct(F.octet_length(x).alias("size"), (-i).alias("place"), _start(x).alias("start"))))["start"]
+    d = d.select("id", "hash", "lines", longest.alias("longest"))
+    d = d.select("id", "hash", "lines", "longest", F.posexplode("lines").alias("place", "line"))
     before = F.when(F.col("place") > 0, _start(F.element_at("lines", F.col("place"))))
     after = F.when(F.col("place") < F.size("lines") - 1, _start(F.element_at("lines", F.col("place") + 2)))
-    return d.select("id", "hash", "place", "line", F.concat_ws("\n", F.coalesce(before, F.lit("^")), F.coalesce(after, F.lit("$"))).alias("around"))
+    return d.select("id", "hash", "place", "line", F.concat_ws("\n", "longest", F.coalesce(before, F.lit("^")), F.coalesce(after, F.lit("$"))).alias("around"))
+
+
+def _masked(line: Column) -> Column:
+    """A line's tokens between single blanks, as one string, which takes less room than an array.
+
+    A line without digits, tabs and doubled or outer blanks is that already.
+    """
+    odd = line.rlike("[0-9\\x09\\x0B-\\x0D]") | F.contains(line, F.lit("  ")) | line.startswith(" ") | line.endswith(" ")
+    return F.when(odd, F.array_join(_tokens(line), " ")).otherwise(line)
 
 
 def _path(lines: DataFrame) -> DataFrame:
-    t = lines.withColumn("tokens", _tokens(F.col("line"))).drop("line")
-    t = t.withColumns({"n": F.size("tokens"), "lead": F.array_join(F.slice("tokens", 1, DEPTH), " ")})
-    return t.where("n > 0")
+    """Adds masked, and the path n (tokens) and lead (the first of them). Lines without tokens go."""
+    t = lines.withColumn("masked", _masked(F.col("line"))).drop("line").where("masked <> ''")
+    return t.withColumns({"n": F.size(F.split("masked", " ")), "lead": F.substring_index("masked", " ", DEPTH)})
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -59,24 +71,26 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaf = ["n", "lead"]
     paths = _path(_lines(docs, id_col, text_col))
     # A leaf with fewer lines than MIN_TEXTS holds no recurring template; its lines go no further.
-    full = paths.groupBy(*leaf).agg(F.count("*").alias("c")).where(F.col("c") >= MIN_TEXTS).drop("c")
-    own = F.md5(F.array_join("tokens", " "))
-    kept = saved(paths.join(full, leaf).select("id", "hash", "place", "around", *leaf, "tokens", own.alias("own")))
+    # (Saved, like the other small tables here, so that Spark can split a hot key of the join.)
+    full = saved(paths.groupBy(*leaf).agg(F.count("*").alias("c")).where(F.col("c") >= MIN_TEXTS).drop("c"))
+    kept = saved(paths.join(full, leaf).select("id", "hash", "place", "around", *leaf, "masked", F.md5("masked").alias("own")))
+    tokens = F.split("masked", " ")
 
-    distinct = kept.groupBy(*leaf, "own").agg(F.first("tokens").alias("tokens"), F.count_distinct("hash").alias("w"))
+    distinct = kept.groupBy(*leaf, "own").agg(F.first("masked").alias("masked"), F.count_distinct("hash").alias("w"))
     # Leaves with one distinct line need no generalising.
     several = distinct.groupBy(*leaf).agg(F.count("*").alias("c"), F.sum("w").alias("all")).where("c > 1").drop("c")
     varied = distinct.join(several, leaf)
-    at = varied.select(*leaf, "all", "w", F.posexplode("tokens").alias("at", "token"))
+    at = varied.select(*leaf, "all", "w", F.posexplode(tokens).alias("at", "token"))
     at = at.groupBy(*leaf, "all", "at", "token").agg(F.sum("w").alias("w"))
     at = at.groupBy(*leaf, "all", "at").agg(F.max(F.struct("w", "token")).alias("top"))
     token = F.when(F.col("top.w") >= SAME * F.col("all"), F.col("top.token")).otherwise(ANY)
     shape = at.groupBy(*leaf).agg(F.sort_array(F.collect_list(F.struct("at", token.alias("token")))).alias("shape"))  # as long as a line
     shape = shape.select(*leaf, F.transform("shape", lambda x: x["token"]).alias("shape"))
-    fixed = F.size(F.filter("shape", lambda x: x != ANY))
+    # Bare signs, as between the cells of a table, say nothing of what a line is.
+    fixed = F.size(F.filter("shape", lambda x: (x != ANY) & x.rlike(r"\p{L}")))
     shape = shape.where(fixed >= FIXED * F.col("n"))
-    fits = varied.join(shape, leaf).where(F.forall(F.zip_with("tokens", "shape", lambda t, s: (s == ANY) | (s == t)), lambda x: x))
-    fits = fits.select(*leaf, "own", F.md5(F.array_join("shape", " ")).alias("general"))
+    fits = varied.join(shape, leaf).where(F.forall(F.zip_with(tokens, "shape", lambda t, s: (s == ANY) | (s == t)), lambda x: x))
+    fits = saved(fits.select(*leaf, "own", F.md5(F.array_join("shape", " ")).alias("general")))
 
     marked = kept.select("id", "hash", "place", "around", *leaf, "own").join(fits, [*leaf, "own"], "left")
     marked = marked.withColumn("template", F.coalesce("general", "own"))
@@ -84,7 +98,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = marked.groupBy("n", "template", "hash").agg(F.count("*").alias("x"))
     spots = spots.groupBy("n", "template").agg(F.count("*").alias("spots"))
     texts = texts.groupBy("n", "template").agg(F.count("*").alias("texts")).where(F.col("texts") >= MIN_TEXTS)
-    recurs = texts.join(spots, ["n", "template"]).where(F.col("spots") >= MIN_SURROUNDINGS * F.col("texts")).select("n", "template")
+    recurs = saved(texts.join(spots, ["n", "template"]).where(F.col("spots") >= MIN_SURROUNDINGS * F.col("texts")).select("n", "template"))
     return marked.join(recurs, ["n", "template"]).groupBy("id", "hash").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
@@ -124,8 +138,8 @@ WITH l AS (
   FROM (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
 ), p AS (
   SELECT doc_id, hash, place,
-    CASE WHEN place > 0 THEN array_to_string(string_split(ls[place], ' ')[1:4], ' ') ELSE '^' END || chr(10)
-      || CASE WHEN place < len(ls) - 1 THEN array_to_string(string_split(ls[place + 2], ' ')[1:4], ' ') ELSE '$' END AS around,
+    array_to_string(string_split(ls[list_reverse_sort(list_transform(ls, lambda x, i: {'size': strlen(x), 'i': -i}))[1].i * -1], ' ')[1:3], ' ') || chr(10) || CASE WHEN place > 0 THEN array_to_string(string_split(ls[place], ' ')[1:3], ' ') ELSE '^' END || chr(10)
+      || CASE WHEN place < len(ls) - 1 THEN array_to_string(string_split(ls[place + 2], ' ')[1:3], ' ') ELSE '$' END AS around,
     list_filter(regexp_split_to_array(regexp_replace(line, '[^\x20\x09\x0B-\x0D]*[0-9][^\x20\x09\x0B-\x0D]*', '<*>', 'g'), '[\x20\x09\x0B-\x0D]+'), lambda x: x <> '') AS tokens
   FROM l
 ), q AS (
@@ -142,7 +156,7 @@ WITH l AS (
 ), b AS (
   SELECT n, lead, slot, CASE WHEN max(w) >= 0.5 * total THEN max({'w': w, 'token': token}).token ELSE '<*>' END AS token FROM a GROUP BY n, lead, total, slot
 ), g AS (
-  SELECT n, lead, list(token ORDER BY slot) AS shape FROM b GROUP BY n, lead HAVING count(*) FILTER (token <> '<*>') >= 0.5 * n
+  SELECT n, lead, list(token ORDER BY slot) AS shape FROM b GROUP BY n, lead HAVING count(*) FILTER (token <> '<*>' AND regexp_matches(token, '\p{L}')) >= 0.5 * n
 ), f AS (
   SELECT v.n, v.lead, v.own, md5(array_to_string(shape, ' ')) AS general FROM v JOIN g USING (n, lead)
   WHERE len(list_filter(list_zip(tokens, shape), lambda z: z[2] <> '<*>' AND z[1] <> z[2])) = 0
