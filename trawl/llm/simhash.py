@@ -113,23 +113,38 @@ def forest(fps: np.ndarray, limit: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def neighbours(fps: np.ndarray, limit: int, k: int) -> list[tuple[int, int, int]]:
-    """(i, j, distance) of each fingerprint and its k nearest others within limit bits."""
+def doubtful(fps: np.ndarray, limit: int, sure: int, k: int = 3) -> list[tuple[int, int, int]]:
+    """(i, j, distance) of fingerprints with no other within `sure` bits, and their k nearest within limit bits."""
     out = []
     for i in range(len(fps)):
         d = np.bitwise_count(fps ^ fps[i]).sum(1, dtype=np.int64)
         d[i] = 1 << 20
-        for j in np.argpartition(d, min(k, len(d) - 1))[:k].tolist():
-            if d[j] <= limit:
-                out.append((i, j, int(d[j])))
+        if sure < d.min() <= limit:
+            out += [(i, j, int(d[j])) for j in np.argpartition(d, min(k, len(d) - 1))[:k].tolist() if d[j] <= limit]
     return out
 
 
-def links(nodes: DataFrame, limit: int, near: int = 0) -> DataFrame:
+def first_meeting(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For pairs of fingerprints (n, 64-bit words), the least key where they meet and one is at home; -1 if none."""
+    a, b = (v.astype(">u8").view(">u4").reshape(len(v), -1).astype(np.uint32) for v in (x, y))
+    out = np.full(len(a), -1, np.int64)
+    for k in reversed(range(a.shape[1])):
+        (p, p_real), (q, q_real) = anchors(a[:, k]), anchors(b[:, k])
+        least = np.full(len(a), 1 << 40, np.int64)
+        for home, reach, real in ((p[:, 0], q, q_real), (q[:, 0], p, p_real)):
+            met = ((reach == home[:, None]) & real).any(1)
+            least = np.where(met, np.minimum(least, home), least)
+        out = np.where(least < 1 << 40, least | k << 32, out)
+    return out
+
+
+def links(nodes: DataFrame, limit: int, sure: int | None = None) -> DataFrame:
     """a, b (nodes), distance: a spanning forest of all links of at most limit bits where anchors meet.
 
-    nodes: node and fp, distinct. With two blocks no link of at most 3 bits is missed. near: adds the
-    links of each fingerprint to so many nearest others.
+    nodes: node and fp, distinct. With two blocks no link of at most 3 bits is missed. Where links are
+    candidates only, a forest's may fail while a longer one holds: with `sure`, fingerprints whose
+    nearest is further away than that hand on more than one link. Each link is then handed on at the
+    first place alone where it can be found: elsewhere a chain of links that are no longer stands for it.
     """
     by_key = W.partitionBy("key")
     met = _meetings(nodes).withColumns({"n": F.count("*").over(by_key), "homes": F.max("home").over(by_key)})
@@ -142,18 +157,29 @@ def links(nodes: DataFrame, limit: int, near: int = 0) -> DataFrame:
     placed = placed.repartition("key", "t", "u").sortWithinPartitions("key", "t", "u", "node")
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("distance", pa.int32())])
 
-    def compare(node, fps, starts, ends):
+    def once(i, j, key, fps):
+        first = first_meeting(fps[i], fps[j])
+        return (first == key) | (first < 0)
+
+    def compare(node, fps, keys, starts, ends):
         a, b, d = [], [], []
         size = ends - starts
         two = starts[size == 2]
         if len(two):
             gap = np.bitwise_count(fps[two] ^ fps[two + 1]).sum(1, dtype=np.int64)
             linked = gap <= limit
+            if sure is not None and linked.any():
+                near = np.flatnonzero(linked)
+                linked[near] = once(two[near], two[near] + 1, keys[two[near], 0], fps)
             a += node[two[linked]].tolist()
             b += node[two[linked] + 1].tolist()
             d += gap[linked].tolist()
         for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
-            for i, j, gap in forest(fps[s:e], limit) + (neighbours(fps[s:e], limit, near) if near else []):
+            found = forest(fps[s:e], limit) + ([] if sure is None else doubtful(fps[s:e], limit, sure))
+            if sure is not None and found:
+                at = np.array(found)
+                found = at[once(at[:, 0] + s, at[:, 1] + s, keys[s, 0], fps)].tolist()
+            for i, j, gap in found:
                 i, j = sorted((i, j))
                 a.append(node[s + i])
                 b.append(node[s + j])
@@ -173,10 +199,10 @@ def links(nodes: DataFrame, limit: int, near: int = 0) -> DataFrame:
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
             if len(cuts):
                 starts = np.concatenate([[0], cuts])
-                yield compare(node, fps, starts[:-1], starts[1:])
+                yield compare(node, fps, keys, starts[:-1], starts[1:])
                 keys, node, fps = keys[cuts[-1] :], node[cuts[-1] :], fps[cuts[-1] :]
         if len(keys):
-            yield compare(node, fps, np.array([0]), np.array([len(keys)]))
+            yield compare(node, fps, keys, np.array([0]), np.array([len(keys)]))
 
     edges = placed.select("key", "t", "u", "node", "fp").mapInArrow(run, "a binary, b binary, distance int")
     return edges.groupBy("a", "b").agg(F.min("distance").alias("distance"))
@@ -226,6 +252,8 @@ def simhash_components(docs: DataFrame, n: int = 3, max_distance: int = 3, id_co
 #: that may differ. Near copies differ in a few words, unrelated texts in most of them, so eight
 #: blocks meet over 99 in 100 such pairs (measured), of which none differed in more than 30 bits.
 WIDE, WIDE_LIMIT = 4, 34
+#: Pairs within so many bits are hardly ever below the similarity.
+SURE = 8
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,9 +276,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col
         return work
 
     fps = saved(map_arrow(hashed, "id long, hash binary, fp binary", marked, rows=256))
-    nodes = saved(fps.groupBy("hash").agg(F.first("fp").alias("fp")).select(F.col("hash").alias("node"), "fp"))
-    edges = saved(links(nodes, WIDE_LIMIT, near=3).select("a", "b"))
-    ends = edges.select(F.explode(F.array("a", "b")).alias("hash")).distinct()
+    nodes = saved(fps.groupBy("hash").agg(F.first("fp").alias("fp"), F.min("id").alias("first_id")).withColumnRenamed("hash", "node"))
+    edges = saved(links(nodes, WIDE_LIMIT, SURE).select("a", "b"))
+    # One document of each text at an end of a candidate: joined by id as well, so that copies do not meet in one task.
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first_id"), "node")
 
     def cut():
         def work(rows):
@@ -258,7 +287,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col
 
         return work
 
-    texts = hashed.select("hash", "text").join(ends, "hash", "left_semi").dropDuplicates(["hash"])
+    texts = hashed.join(ends, hashed["id"].eqNullSafe(ends["first_id"]) & (hashed["hash"] == ends["node"]), "left_semi")
+    texts = texts.select("hash", "text").dropDuplicates(["hash"])
     sets = map_arrow(texts, "node binary, own array<long>", cut, rows=256)
     both = edges.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
