@@ -114,6 +114,27 @@ def test_near_duplicate_edges(spark):
     assert simhash.drop_near_duplicates(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_no_near_duplicate_link_is_lost(spark):
+    """Short texts, chains of edits and a crowd of copies of one text: the groups are those of brute force."""
+    rng = random.Random(3)
+    texts = near_texts(12, 60)
+    for i in range(150):  # 13 to 20 words with the last one changed, or one more
+        w = [f"s{i}x{rng.randrange(10**6)}" for _ in range(rng.choice([13, 20]))]
+        texts += [" ".join(w), " ".join([*w[:-1], "other"]) if i % 2 else " ".join([*w, "more"])]
+    crowd = [f"c{rng.randrange(10**6)}" for _ in range(60)]
+    for _ in range(200):
+        w = list(crowd)
+        w[rng.randrange(60)] = f"d{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sets = {i: set(shingles(words(t), 5)) for i, t in enumerate(texts)}
+    expected = brute_components(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    found = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    least = {}
+    for r in found:
+        least[bytes(r["root"])] = min(least.get(bytes(r["root"]), r["id"]), r["id"])
+    assert {r["id"]: least[bytes(r["root"])] for r in found} == expected
+
+
 # ---- decontamination ----
 
 

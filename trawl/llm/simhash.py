@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import map_arrow, saved, shingles, table, words
+from .common import bounded_sample, map_arrow, saved, shingles, table, words
 
 SEED = 42
 #: Fingerprints of a tile; a meeting place of more is compared tile by tile.
@@ -113,38 +113,10 @@ def forest(fps: np.ndarray, limit: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def doubtful(fps: np.ndarray, limit: int, sure: int, k: int = 3) -> list[tuple[int, int, int]]:
-    """(i, j, distance) of fingerprints with no other within `sure` bits, and their k nearest within limit bits."""
-    out = []
-    for i in range(len(fps)):
-        d = np.bitwise_count(fps ^ fps[i]).sum(1, dtype=np.int64)
-        d[i] = 1 << 20
-        if sure < d.min() <= limit:
-            out += [(i, j, int(d[j])) for j in np.argpartition(d, min(k, len(d) - 1))[:k].tolist() if d[j] <= limit]
-    return out
-
-
-def first_meeting(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """For pairs of fingerprints (n, 64-bit words), the least key where they meet and one is at home; -1 if none."""
-    a, b = (v.astype(">u8").view(">u4").reshape(len(v), -1).astype(np.uint32) for v in (x, y))
-    out = np.full(len(a), -1, np.int64)
-    for k in reversed(range(a.shape[1])):
-        (p, p_real), (q, q_real) = anchors(a[:, k]), anchors(b[:, k])
-        least = np.full(len(a), 1 << 40, np.int64)
-        for home, reach, real in ((p[:, 0], q, q_real), (q[:, 0], p, p_real)):
-            met = ((reach == home[:, None]) & real).any(1)
-            least = np.where(met, np.minimum(least, home), least)
-        out = np.where(least < 1 << 40, least | k << 32, out)
-    return out
-
-
-def links(nodes: DataFrame, limit: int, sure: int | None = None) -> DataFrame:
+def links(nodes: DataFrame, limit: int) -> DataFrame:
     """a, b (nodes), distance: a spanning forest of all links of at most limit bits where anchors meet.
 
-    nodes: node and fp, distinct. With two blocks no link of at most 3 bits is missed. Where links are
-    candidates only, a forest's may fail while a longer one holds: with `sure`, fingerprints whose
-    nearest is further away than that hand on more than one link. Each link is then handed on at the
-    first place alone where it can be found: elsewhere a chain of links that are no longer stands for it.
+    nodes: node and fp, distinct. With two blocks no link of at most 3 bits is missed.
     """
     by_key = W.partitionBy("key")
     met = _meetings(nodes).withColumns({"n": F.count("*").over(by_key), "homes": F.max("home").over(by_key)})
@@ -157,29 +129,18 @@ def links(nodes: DataFrame, limit: int, sure: int | None = None) -> DataFrame:
     placed = placed.repartition("key", "t", "u").sortWithinPartitions("key", "t", "u", "node")
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("distance", pa.int32())])
 
-    def once(i, j, key, fps):
-        first = first_meeting(fps[i], fps[j])
-        return (first == key) | (first < 0)
-
-    def compare(node, fps, keys, starts, ends):
+    def compare(node, fps, starts, ends):
         a, b, d = [], [], []
         size = ends - starts
         two = starts[size == 2]
         if len(two):
             gap = np.bitwise_count(fps[two] ^ fps[two + 1]).sum(1, dtype=np.int64)
             linked = gap <= limit
-            if sure is not None and linked.any():
-                near = np.flatnonzero(linked)
-                linked[near] = once(two[near], two[near] + 1, keys[two[near], 0], fps)
             a += node[two[linked]].tolist()
             b += node[two[linked] + 1].tolist()
             d += gap[linked].tolist()
         for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
-            found = forest(fps[s:e], limit) + ([] if sure is None else doubtful(fps[s:e], limit, sure))
-            if sure is not None and found:
-                at = np.array(found)
-                found = at[once(at[:, 0] + s, at[:, 1] + s, keys[s, 0], fps)].tolist()
-            for i, j, gap in found:
+            for i, j, gap in forest(fps[s:e], limit):
                 i, j = sorted((i, j))
                 a.append(node[s + i])
                 b.append(node[s + j])
@@ -199,10 +160,10 @@ def links(nodes: DataFrame, limit: int, sure: int | None = None) -> DataFrame:
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
             if len(cuts):
                 starts = np.concatenate([[0], cuts])
-                yield compare(node, fps, keys, starts[:-1], starts[1:])
+                yield compare(node, fps, starts[:-1], starts[1:])
                 keys, node, fps = keys[cuts[-1] :], node[cuts[-1] :], fps[cuts[-1] :]
         if len(keys):
-            yield compare(node, fps, keys, np.array([0]), np.array([len(keys)]))
+            yield compare(node, fps, np.array([0]), np.array([len(keys)]))
 
     edges = placed.select("key", "t", "u", "node", "fp").mapInArrow(run, "a binary, b binary, distance int")
     return edges.groupBy("a", "b").agg(F.min("distance").alias("distance"))
@@ -248,55 +209,111 @@ def simhash_components(docs: DataFrame, n: int = 3, max_distance: int = 3, id_co
     return fps.join(by_fp, "fp").select(id_col, F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-#: For a similarity of 0.8 of five-word shingles: 64-bit values of a text's distinct words, and bits
-#: that may differ. Near copies differ in a few words, unrelated texts in most of them, so eight
-#: blocks meet over 99 in 100 such pairs (measured), of which none differed in more than 30 bits.
-WIDE, WIDE_LIMIT = 4, 34
-#: Pairs within so many bits are hardly ever below the similarity.
-SURE = 8
+#: Least hashes of a text by which near copies meet first; links between what they join need no look.
+MINS = 8
+#: Documents sampled for shingles that many texts share, which go last in the order of prefixes. Any
+#: order finds the same links.
+SAMPLED, SHARED = 4000, 1 << 16
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_hashes(text: str | None, n: int) -> np.ndarray:
+    """Sorted 64-bit values of the distinct n-word shingles; a shorter text is one shingle, no words give none."""
+    own = words(text)
+    if not own:
+        return np.empty(0, np.uint64)
+    seen: dict[str, int] = {}
+    for w in own:
+        if w not in seen:
+            seen[w] = xxhash.xxh64_intdigest(w, SEED)
+    h = np.array([seen[w] for w in own], np.uint64)
+    k = min(n, len(h))
+    out = np.full(len(h) - k + 1, k, np.uint64)
+    for i in range(k):  # each place mixes the value so far, so the order of words counts
+        out = (out ^ (out >> np.uint64(29))) * _ODD[0] + h[i : len(h) - k + 1 + i]
+    out = (out ^ (out >> np.uint64(32))) * _ODD[1]
+    return np.unique(out ^ (out >> np.uint64(29)))
+
+
+def prefix(own: np.ndarray, hot: np.ndarray, weight: np.ndarray, similarity: float) -> np.ndarray:
+    """As many of a set's values, the rarest first, as it takes to meet every set of that similarity."""
+    if not len(own):
+        return np.zeros(1, np.uint64)  # texts without words meet each other
+    w = np.zeros(len(own), np.int64)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
+        w = np.where(hot[at] == own, weight[at], 0)
+    return own[np.lexsort((own, w))[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1]]
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, hash (md5 of the text), root: groups of texts linked by a Jaccard similarity of at least
     `similarity` of their distinct n-word shingles. One row for each different id and text.
 
-    Candidates come from wide SimHash fingerprints of the distinct words; each is verified on the
-    shingles. A null text counts as empty; texts without words are all alike.
+    No link is missed: texts so alike share a value among the rarest of each (prefix filter). Before
+    that, texts with a least hash in common are compared along a chain, which joins most near copies
+    by links in proportion to their number; the prefixes then need comparing only between groups. A
+    null text counts as empty; texts without words are all alike.
     """
     hashed = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
+    def cut():
+        return lambda rows: [(key, shingle_hashes(text, n).view(np.int64)) for key, text in rows]
+
+    some = map_arrow(bounded_sample(hashed, "hash", SAMPLED).select("hash", "text").dropDuplicates(["hash"]), "node binary, own array<long>", cut, rows=256)
+    top = some.select(F.explode("own").alias("v")).groupBy("v").agg(F.count("*").alias("c")).where("c > 1").orderBy(F.desc("c"), "v").limit(SHARED).collect()
+    hot = np.array([r["v"] for r in top], np.int64).view(np.uint64)
+    weight = np.array([r["c"] for r in top], np.int64)[np.argsort(hot)]
+    hot = np.sort(hot)
+
     def marked():
         def work(rows):
             out = []
             for doc_id, key, text in rows:
-                own = sorted(set(words(text)))
-                out.append((doc_id, key, fingerprint(own, WIDE)))
+                own = shingle_hashes(text, n)
+                mins = [int((own * _ODD[2 + k]).min().view(np.int64)) if len(own) else 0 for k in range(MINS)]
+                out.append((doc_id, key, len(own), prefix(own, hot, weight, similarity).view(np.int64), mins))
             return out
 
         return work
 
-    fps = saved(map_arrow(hashed, "id long, hash binary, fp binary", marked, rows=256))
-    nodes = saved(fps.groupBy("hash").agg(F.first("fp").alias("fp"), F.min("id").alias("first_id")).withColumnRenamed("hash", "node"))
-    edges = saved(links(nodes, WIDE_LIMIT, SURE).select("a", "b"))
-    # One document of each text at an end of a candidate: joined by id as well, so that copies do not meet in one task.
-    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first_id"), "node")
-
-    def cut():
-        def work(rows):
-            return [(key, np.unique(np.array([xxhash.xxh64_intdigest(x) for x in set(shingles(words(text), n))], np.uint64)).view(np.int64)) for key, text in rows]
-
-        return work
-
-    texts = hashed.join(ends, hashed["id"].eqNullSafe(ends["first_id"]) & (hashed["hash"] == ends["node"]), "left_semi")
-    texts = texts.select("hash", "text").dropDuplicates(["hash"])
-    sets = map_arrow(texts, "node binary, own array<long>", cut, rows=256)
-    both = edges.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    total = F.size("x") + F.size("y") - common
-    real = both.where((total == 0) | (common >= similarity * total - 1e-9)).select("a", "b")
-    roots = components(real)
-    pairs = fps.select("id", "hash").distinct()
-    return pairs.join(roots, pairs["hash"] == roots["node"], "left").select("id", "hash", F.coalesce("root", "hash").alias("root"))
+    marks = saved(map_arrow(hashed, "id long, hash binary, size int, rare array<long>, mins array<long>", marked, rows=256))
+    nodes = saved(marks.groupBy(F.col("hash").alias("node")).agg(F.min("id").alias("first_id"), F.first("size").alias("size")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs a, b that are as similar as asked for."""
+        # One document of each text at an end: joined by id as well, so that copies do not meet in one task.
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first_id"), "node")
+        texts = hashed.join(ends, hashed["id"].eqNullSafe(ends["first_id"]) & (hashed["hash"] == ends["node"]), "left_semi")
+        sets = saved(map_arrow(texts.select("hash", "text").dropDuplicates(["hash"]), "node binary, own array<long>", cut, rows=256))
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        total = F.size("x") + F.size("y") - common
+        return saved(both.where((total == 0) | (common >= similarity * total - 1e-9)).select(*pairs.columns))
+
+    texts = marks.join(nodes, marks["id"].eqNullSafe(nodes["first_id"]) & (marks["hash"] == nodes["node"]), "left_semi").dropDuplicates(["hash"])
+    texts = texts.withColumnRenamed("hash", "node")
+    least = texts.select("node", F.posexplode("mins").alias("k", "key"))
+    chain = W.partitionBy("k", "key").orderBy(F.xxhash64("node", "k"), "node")
+    pairs = least.withColumn("last", F.lag("node").over(chain)).where(F.col("last").isNotNull())
+    pairs = saved(pairs.select(F.least("node", "last").alias("a"), F.greatest("node", "last").alias("b")).distinct())
+    roots = saved(components(verified(pairs)))
+    grouped = texts.select("node", "size", "rare").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    met = grouped.select("node", "size", "root", F.posexplode("rare").alias("at", "key"))
+    by_key = W.partitionBy("key")
+    met = met.withColumns({"low": F.min("root").over(by_key), "high": F.max("root").over(by_key)}).where("low < high")
+    met = saved(met.select("key", "node", "size", "root", "at"))
+    x, y = (met.select("key", *(F.col(c).alias(c + s) for c in ("node", "size", "root", "at"))) for s in "xy")
+    # At the first value that two sets share, what is left of both still holds all they have in common.
+    rest = F.least(F.col("sizex") - F.col("atx"), F.col("sizey") - F.col("aty"))
+    needed = (F.col("sizex") + F.col("sizey")) * similarity / (1 + similarity) - 1e-6
+    pairs = x.join(y, "key").where((F.col("nodex") < F.col("nodey")) & (F.col("rootx") != F.col("rooty")) & (rest >= needed))
+    pairs = saved(pairs.select(F.col("nodex").alias("a"), F.col("nodey").alias("b"), F.col("rootx").alias("ra"), F.col("rooty").alias("rb")).distinct())
+    joined = components(verified(pairs).select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    roots = nodes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = roots.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    pairs = marks.select("id", "hash").distinct()
+    return pairs.join(roots, pairs["hash"] == roots["node"]).select("id", "hash", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
