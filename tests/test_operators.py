@@ -76,6 +76,12 @@ def test_events(spark):
     assert out == {"/a/x": ("REMOVE", 1, 1), "/a/y": ("REMOVE", 1, 1), "/a/z": ("UPDATE", 3, 0), "/a/Q.app": ("UPDATE", 5, 0)}
 
 
+def test_content_is_searched_to_its_end(spark):
+    text = "x" * (1 << 20) + " needle here"
+    docs = spark.createDataFrame([("/long", text)], "path_key string, content string")
+    assert [r["match_offset"] for r in content.search(docs, "needle", 0).collect()] == [(1 << 20) + 1]
+
+
 def test_content(spark):
     rows = [(f"/d/f{i}", "\n".join(["padding line"] * 10 + [f"Found the SearchableKeyword here in file {i}!"] + ["padding line"] * 10), i) for i in range(20)]
     docs = spark.createDataFrame(rows, "path_key string, content string, mod_time long")

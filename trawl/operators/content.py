@@ -67,7 +67,7 @@ def search(documents: DataFrame, keyword: str, limit: int = 100, *, verify: bool
         hit = own.where(F.col("tri").isin(tris)).groupBy("path_key").agg(F.count_distinct("tri").alias("n")).where(F.col("n") == len(tris))
         rows = rows.join(hit, "path_key", "left_semi")
     if verify:
-        text = F.substr("content", F.lit(1), F.lit(1 << 20))
+        text = F.col("content")
         found, offset = T.snippet(text, keyword, context)
         rows = rows.where(F.contains(T.ascii_lower(text), F.lit(keyword.translate(str.maketrans(T._ASCII_UPPER, T._ASCII_LOWER)))))
         rows = rows.select("path_key", found.alias("snippet"), offset.alias("match_offset"))
