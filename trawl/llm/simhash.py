@@ -272,16 +272,26 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col
             for doc_id, key, text in rows:
                 own = shingle_hashes(text, n)
                 mins = [int((own * _ODD[2 + k]).min().view(np.int64)) if len(own) else 0 for k in range(MINS)]
-                out.append((doc_id, key, len(own), prefix(own, hot, weight, similarity).view(np.int64), mins))
+                odd = np.packbits(np.bincount((own >> np.uint64(54)).astype(np.int64), minlength=1024) & 1).view(np.int64)
+                out.append((doc_id, key, len(own), prefix(own, hot, weight, similarity).view(np.int64), mins, odd))
             return out
 
         return work
 
-    marks = saved(map_arrow(hashed, "id long, hash binary, size int, rare array<long>, mins array<long>", marked, rows=256))
-    nodes = saved(marks.groupBy(F.col("hash").alias("node")).agg(F.min("id").alias("first_id"), F.first("size").alias("size")))
+    marks = saved(map_arrow(hashed, "id long, hash binary, size int, rare array<long>, mins array<long>, odd array<long>", marked, rows=256))
+    nodes = saved(marks.groupBy(F.col("hash").alias("node")).agg(F.min("id").alias("first_id"), F.first("size").alias("size"), F.first("odd").alias("odd")))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs a, b that are as similar as asked for."""
+        """The pairs a, b that are as similar as asked for.
+
+        Sets differ in no fewer values than places of 1024 that hold an odd number of the values of
+        one alone; pairs that differ in too many by that need no look at the sets.
+        """
+        for end in "ab":
+            pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("odd").alias(f"odd_{end}")), end)
+        differ = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        pairs = pairs.where(differ <= (F.col("size_a") + F.col("size_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+        pairs = saved(pairs.drop("size_a", "size_b", "odd_a", "odd_b"))
         # One document of each text at an end: joined by id as well, so that copies do not meet in one task.
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first_id"), "node")
         texts = hashed.join(ends, hashed["id"].eqNullSafe(ends["first_id"]) & (hashed["hash"] == ends["node"]), "left_semi")
