@@ -135,6 +135,23 @@ def test_no_near_duplicate_link_is_lost(spark):
     assert {r["id"]: least[bytes(r["root"])] for r in found} == expected
 
 
+@pytest.mark.parametrize("size", [5, 6, 13, 20, 40])
+def test_short_texts_always_meet(size):
+    """Texts of few words at 0.8 or more share a value of their prefixes, frequent values or not."""
+    rng = random.Random(size)
+    for _ in range(300):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        a = simhash.shingle_hashes(" ".join(w), 5)
+        for other in ([*w[:-1], "other"], [*w, "more"], [*w[:-2], "two", "others"]):
+            b = simhash.shingle_hashes(" ".join(other), 5)
+            if len(np.intersect1d(a, b)) < 0.8 * len(np.union1d(a, b)):
+                continue
+            hot = np.unique(rng.sample(a.tolist(), len(a) // 2)).astype(np.uint64)
+            for known in (np.empty(0, np.uint64), hot):
+                x, y = (simhash.prefix(v, known, np.full(len(known), 2), 0.8) for v in (a, b))
+                assert len(np.intersect1d(x, y))
+
+
 # ---- decontamination ----
 
 
