@@ -252,6 +252,25 @@ def test_main_text_edges(spark):
     assert main_text.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+_PROSE = "This is the main text of the page and it has been written for all of those who would like to read it to the end."
+
+
+def test_main_text_beside_comment_articles():
+    page = f'<body><div class="content"><p>{_PROSE}</p></div><article class="comment"><p>I think that this is the best of what you have written so far, and I would like to see more.</p></article></body>'
+    assert main_text.main_text(page) == _PROSE
+
+
+@pytest.mark.parametrize("tag", ["<svg width='3'/>", "<svg>", "<iframe src='x'>", "<object>", "<button>", "<noscript>", "<template>"])
+@pytest.mark.parametrize("later", ["", "<div><svg></svg><iframe></iframe><object></object><button></button><noscript></noscript><template></template></div>"])
+def test_main_text_after_unclosed_elements(tag, later):
+    assert main_text.main_text(f"<body><div>{tag}</div><p>{_PROSE}</p>{later}</body>") == _PROSE
+
+
+def test_main_text_in_other_languages():
+    text = "Kissa istui ikkunalla ja katseli pihalle, jossa lapset leikkivät lumessa. Illalla koko perhe kokoontui pöydän ääreen syömään keittoa, ja isoäiti kertoi tarinoita nuoruudestaan."
+    assert main_text.main_text(f"<body><div><p>{text}</p></div></body>") == text
+
+
 # ---- personal data ----
 
 

@@ -70,7 +70,6 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, int, bool, int, int]] = []  # element, boilerplate, in the article, section, number
     current, links, section, at, count = None, 0, 0, 0, 0
-    seen_article = False
 
     def top():
         return stack[-1][1:4] if stack else (NONE, False, 0)
@@ -105,9 +104,11 @@ def blocks(page: str) -> list[Block]:
         if not closing and name in SKIPPED:
             if name == "head":
                 continue  # its title, scripts and styles go by themselves
-            end = _end_of(name).search(page, at)
-            if name in ("script", "style", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "select", "button"):
+            if name in ("script", "style", "textarea"):
+                end = _end_of(name).search(page, at)
                 at = end.end() if end else len(page)
+            elif name in ("noscript", "template", "iframe", "svg", "math", "object", "select", "button") and not attributes.endswith("/"):
+                at = _after(page, name, at, stack[-1][0] if stack else "")
             continue
         if name == "title" and not closing:
             end = _end_of(name).search(page, at)
@@ -130,8 +131,8 @@ def blocks(page: str) -> list[Block]:
                 marks = " ".join(next(filter(None, g), "") for k, *g in _ATTRIBUTE.findall(attributes) if k.lower() in ("class", "id", "role")) if attributes else ""
                 if name in ("article", "main"):
                     section += 1
-                    boiler, inside, part = ALL if marks and _BOILER.search(marks) else boiler, True, section
-                    seen_article = True
+                    boiler, part = ALL if marks and _BOILER.search(marks) else boiler, section
+                    inside = inside or boiler != ALL
                 elif name in ASIDE or (marks and name not in ("html", "body") and _BOILER.search(marks) and not (_ARTICLE.search(marks) and not inside)):
                     if name == "header" and inside and boiler != ALL and not (marks and _BOILER.search(marks)):
                         boiler = BUT_HEADINGS
@@ -148,9 +149,6 @@ def blocks(page: str) -> list[Block]:
             while stack.pop()[0] != name:
                 pass
             links = 0 if name in BLOCKS else links
-    if seen_article:
-        for b in out:
-            b.boiler = b.boiler or not b.inside
     return out
 
 
@@ -164,6 +162,25 @@ def _end_of(name: str) -> re.Pattern:
     return _ends[name]
 
 
+def _after(page: str, name: str, at: int, parent: str) -> int:
+    """Where an element that begins before `at` ends; at its own tag if its parent, or the page, ends first."""
+    depth, inner = 1, 0
+    key = f"{name} {parent}"
+    if key not in _ends:
+        _ends[key] = re.compile(rf"<(/?)({name}{'|' + re.escape(parent) if parent else ''})(?=[\s/>])[^<>]*?(/?)>", re.I)
+    for m in _ends[key].finditer(page, at):
+        step = -1 if m[1] else 0 if m[3] else 1
+        if m[2].lower() == name:
+            depth += step
+            if not depth:
+                return m.end()
+        else:
+            inner += step
+            if inner < 0:
+                break
+    return at
+
+
 def first_pass(b: Block) -> int:
     """Boilerplate by place and links; main text by stop words and length; else undecided."""
     if b.boiler or b.linked > LINKED * max(1, sum(map(len, b.parts))):
@@ -177,7 +194,7 @@ def first_pass(b: Block) -> int:
     density = sum(w in STOP_WORDS for w in found) / max(1, len(found))
     if density >= STOPPED:
         return GOOD
-    return GOOD if b.inside and n >= LONG else UNSURE if density > 0 or b.inside else BAD
+    return GOOD if b.inside and n >= LONG else UNSURE
 
 
 def second_pass(found: list[Block]) -> None:
@@ -218,6 +235,14 @@ def main_text(page: str | None) -> str:
     found = [b for b in found if b.text]
     for b in found:
         b.label = first_pass(b)
+    if any(b.inside and b.label == GOOD for b in found):  # an article with text: all outside is boilerplate
+        for b in found:
+            if not b.inside:
+                b.boiler, b.label = True, BAD
+    elif not any(b.label == GOOD for b in found):  # a language without a list of stop words
+        for b in found:
+            if b.label == UNSURE and not b.heading and len(b.text) >= LONG:
+                b.label = GOOD
     second_pass(found)
     return "\n".join(b.text for b in found if b.label == GOOD)
 
