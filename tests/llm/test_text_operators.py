@@ -132,6 +132,14 @@ def test_grammar_round_trip(seed):
         assert (grammar.expand(symbols[at[k] : at[k + 1]]) == ids[begin[k] : ends[k] + 1]).all()
 
 
+def test_grammar_rounds_go_on_until_no_pair_is_frequent():
+    passage = np.random.default_rng(1).integers(0, 40_000, 600, dtype=np.uint32)
+    ids = np.tile(passage, 40)  # a passage of 600 ids, 40 times
+    seq, _, rules, lengths = G.compress(ids, np.arange(599, len(ids), 600), 49_152)
+    assert lengths.max() == 600 and len(seq) == 40
+    assert (G.Grammar(rules, lengths, 49_152).expand(seq) == ids).all()
+
+
 # ---- toxicity ----
 
 

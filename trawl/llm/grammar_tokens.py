@@ -39,8 +39,9 @@ from .common import map_arrow, shared_dir, table
 
 #: Ids a shard holds before it is closed.
 SHARD_TOKENS = 1 << 21
-#: Rounds of replacement, pairs replaced in a round, and occurrences a pair needs.
-ROUNDS, PER_ROUND, MIN_COUNT = 6, 2048, 24
+#: Occurrences a pair needs. A round replaces the more frequent half of such pairs, at least
+#: PER_ROUND if there are; the rest wait for the next.
+PER_ROUND, MIN_COUNT = 2048, 24
 #: Encoded chunks that a worker remembers; beyond it they are forgotten.
 MAX_CHUNKS = 500_000
 END_ID = 1
@@ -62,9 +63,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
     rules: list[np.ndarray] = []
     lengths: list[np.ndarray] = []
     symbols = base
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         wide = symbols > 1 << 16  # else a pair of symbols takes 32 bits, which sort and compare faster
         kind, shift = (np.uint64, 32) if wide else (np.uint32, 16)
         code = (seq[:-1].astype(kind) << kind(shift)) | seq[1:].astype(kind)
@@ -78,7 +77,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
         if not len(frequent):
             break
         if len(frequent) > PER_ROUND:
-            frequent = frequent[np.argsort(-counts[frequent], kind="stable")[:PER_ROUND]]
+            frequent = frequent[np.argsort(-counts[frequent], kind="stable")[: max(PER_ROUND, len(frequent) // 2)]]
         pairs = np.sort(ordered[first[frequent]])
         sieve = np.zeros(1 << 16, bool)
         short = lambda c: ((c >> kind(shift)) * kind(40503) + c).astype(np.uint16)
