@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import public_tokenizers as P
@@ -116,6 +117,34 @@ def test_token_files(spark, edges, empty, tmp_path, texts):
         assert len(rows) == n and len({r["start"] for r in rows}) == n
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_token_encoder_agrees_with_the_library(seed):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    with open(path, "rb") as f:
+        encoder = G.Encoder(f.read())
+    assert encoder.simple
+    rng = np.random.default_rng(seed)
+    parts = list("aZéÉßÿ.,'!-  \n\n\t0194·ÀœŒΣςſK\u0301\u00a0\u2028\u200d\U0001f600汉한") + ["don't", "the", "THE.", "l'Été,", "<|endoftext|>", "x.,", "., "]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(2000)] + [None, ""]
+    ids, sizes = encoder.encode(pa.array(texts).slice(1))
+    expected = [library.encode(t or "", add_special_tokens=False).ids for t in texts[1:]]
+    assert sizes.tolist() == list(map(len, expected)) and ids.tolist() == [i for e in expected for i in e]
+
+
+def test_grammar_leaves_no_frequent_pair():
+    rng = np.random.default_rng(5)
+    ids = np.minimum(rng.zipf(1.3, 60_000), 5000).astype(np.uint32)
+    ends = np.append(np.sort(rng.choice(59_999, 300, replace=False)), 59_999)
+    symbols, last, _, _ = G.compress(ids, ends, 8192)
+    inside = np.ones(len(symbols), bool)
+    inside[last] = False
+    pairs = np.column_stack([symbols[:-1], symbols[1:]])[inside[:-1]]
+    assert np.unique(pairs, axis=0, return_counts=True)[1].max() < G.MIN_COUNT
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_grammar_round_trip(seed):
     rng = np.random.default_rng(seed)

@@ -7,7 +7,9 @@ import tempfile
 import uuid
 import zlib
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -92,6 +94,17 @@ def map_arrow(df: DataFrame, schema: str, start, rows: int = 512) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int):
+    """Cuts of the batch in which a column of strings holds about `size` bytes; at least one row each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     """At most n rows: those whose key has the smallest hashes.
 

@@ -24,26 +24,26 @@ The files are Parquet, written and read by Spark, with one row a shard:
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import map_arrow, shared_dir, table
+from .common import map_arrow, shared_dir, slices, table
 
-#: Ids a shard holds before it is closed.
-SHARD_TOKENS = 1 << 21
+#: Ids a shard holds before it is closed, and bytes of text that are encoded at a time.
+SHARD_TOKENS, SLICE_BYTES = 1 << 21, 1 << 23
 #: Occurrences a pair needs. A round replaces the more frequent half of such pairs, at least
 #: PER_ROUND if there are; the rest wait for the next.
 PER_ROUND, MIN_COUNT = 2048, 24
-#: Encoded chunks that a worker remembers; beyond it they are forgotten.
-MAX_CHUNKS = 500_000
+#: Encoded words that a worker remembers; beyond it they are forgotten.
+MAX_WORDS = 1_000_000
 END_ID = 1
 _SCHEMA = (
     "part int, seq int, start_in_part long, doc_ids array<long>, doc_tokens array<int>, doc_at array<int>, "
@@ -51,60 +51,69 @@ _SCHEMA = (
 )
 
 
+def _sorted_pairs(code: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes in ascending order with their places, equal ones by place. Places are ascending."""
+    bits = int(place[-1]).bit_length()
+    if int(code.max()).bit_length() + bits > 64:  # only in shards of one enormous document
+        order = np.argsort(code, kind="stable")
+        return code[order], place[order]
+    both = np.sort(code << np.uint64(bits) | place.astype(np.uint64))
+    return both >> np.uint64(bits), (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair of one shard: symbols, place of each document's last symbol, rules (n, 2), expansion lengths.
 
     ids: the shard's ids; ends: place of each document's last id. Of overlapping occurrences the first
-    of each run is replaced, then every other one.
+    of each run is replaced, then every other one. A pair that is too rare stays so, as only pairs with
+    a new nonterminal can gain occurrences; so a round counts those beside the last round's
+    replacements and the frequent ones that still wait, not the whole shard again. It ends when no
+    pair occurs MIN_COUNT times.
     """
-    seq = ids.astype(np.uint32)
-    last = np.zeros(len(seq), bool)
-    last[ends] = True
-    rules: list[np.ndarray] = []
-    lengths: list[np.ndarray] = []
-    symbols = base
-    while len(seq) > 1:
-        wide = symbols > 1 << 16  # else a pair of symbols takes 32 bits, which sort and compare faster
-        kind, shift = (np.uint64, 32) if wide else (np.uint32, 16)
-        code = (seq[:-1].astype(kind) << kind(shift)) | seq[1:].astype(kind)
-        inside = ~last[:-1]
-        ordered = np.sort(code[inside])
-        if not len(ordered):
+    n = len(ids)
+    seq = np.append(ids, 0).astype(np.uint64)
+    # Places are linked over those swallowed; n stands for none.
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    after[ends] = n
+    before[np.append(0, ends + 1)] = n
+    alive = np.arange(n + 1) < n
+    rules, lengths = [np.zeros((0, 2), np.int64)], np.zeros(0, np.int64)
+    live = np.flatnonzero(after[:n] < n)
+    while len(live):
+        shift = np.uint64((base + len(lengths)).bit_length())
+        code, place = _sorted_pairs(seq[live] << shift | seq[after[live]], live)
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        counts = np.diff(np.append(first, len(code)))
+        frequent = counts >= MIN_COUNT
+        waiting = np.sort(counts[frequent])
+        if not len(waiting):
             break
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        counts = np.diff(np.append(first, len(ordered)))
-        frequent = np.flatnonzero(counts >= MIN_COUNT)
-        if not len(frequent):
-            break
-        if len(frequent) > PER_ROUND:
-            frequent = frequent[np.argsort(-counts[frequent], kind="stable")[: max(PER_ROUND, len(frequent) // 2)]]
-        pairs = np.sort(ordered[first[frequent]])
-        sieve = np.zeros(1 << 16, bool)
-        short = lambda c: ((c >> kind(shift)) * kind(40503) + c).astype(np.uint16)
-        sieve[short(pairs)] = True
-        maybe = np.flatnonzero(sieve[short(code)] & inside)
-        rule = np.minimum(np.searchsorted(pairs, code[maybe]), len(pairs) - 1)
-        real = pairs[rule] == code[maybe]
-        at, rule = maybe[real], rule[real]
-        run = np.concatenate([[True], at[1:] != at[:-1] + 1])
+        chosen = counts >= waiting[-min(len(waiting), max(PER_ROUND, len(waiting) // 2))]
+        rule = np.full(n, -1, np.int32)
+        picked = np.repeat(chosen, counts)
+        rule[place[picked]] = np.repeat(np.arange(chosen.sum()), counts[chosen])
+        at = np.flatnonzero(rule >= 0)
+        run = np.concatenate([[True], at[1:] != after[at[:-1]]])
         begins = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - begins) % 2 == 0
-        at, rule = at[take], rule[take]
-        seq[at] = symbols + rule.astype(np.uint32)
-        last[at] = last[at + 1]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
-        both = np.column_stack([pairs >> kind(shift), pairs & kind((1 << shift) - 1)]).astype(np.int64)
-        known = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
+        at = at[(np.arange(len(at)) - begins) % 2 == 0]
+        seq[at] = (rule[at] + base + len(lengths)).astype(np.uint64)
+        alive[after[at]] = False
+        after[at] = after[after[at]]
+        before[after[at]] = at
+        changed = np.zeros(n + 1, bool)
+        changed[place[np.repeat(frequent & ~chosen, counts)]] = True
+        changed[at] = True
+        changed[before[at]] = True
+        live = np.flatnonzero(changed & alive)
+        live = live[after[live] < n]
+        pairs = code[first[chosen]]
+        both = np.column_stack([pairs >> shift, pairs & np.uint64((1 << int(shift)) - 1)]).astype(np.int64)
         size = np.ones(both.shape, np.int64)
         inner = both >= base
-        size[inner] = known[both[inner] - base]
+        size[inner] = lengths[both[inner] - base]
         rules.append(both)
-        lengths.append(size.sum(1))
-        symbols += len(pairs)
-    both = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    return seq, np.flatnonzero(last), both, np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
+        lengths = np.append(lengths, size.sum(1))
+    return seq[alive].astype(np.uint32), np.cumsum(alive)[ends] - 1, np.concatenate(rules), lengths
 
 
 class Grammar:
@@ -115,16 +124,13 @@ class Grammar:
         self.lengths = np.asarray(lengths, np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
         self.flat = np.empty(self.starts[-1], np.uint32)
-        for k, (a, b) in enumerate(np.asarray(rules, np.int64).reshape(-1, 2).tolist()):
-            at = self.starts[k]
-            for s in (a, b):
-                if s < base:
-                    self.flat[at] = s
-                    at += 1
-                else:
-                    lo, hi = self.starts[s - base], self.starts[s - base + 1]
-                    self.flat[at : at + hi - lo] = self.flat[lo:hi]
-                    at += hi - lo
+        both = np.asarray(rules, np.int64).reshape(-1, 2)
+        # Rules whose symbols are ids or earlier rules are expanded together.
+        newest, done = np.maximum.accumulate(both.max(1)) if len(both) else both, 0
+        while done < len(both):
+            to = int(np.searchsorted(newest, base + done))
+            self.flat[self.starts[done] : self.starts[to]] = self.expand(both[done:to].ravel())
+            done = to
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         """The ids that symbols stand for."""
@@ -149,7 +155,7 @@ def decode_document(shard, k: int) -> np.ndarray:
 
 
 #: Chunks whose pieces are plain to see: Latin letters, and a full stop or comma at the end.
-_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+_SIMPLE = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
 
 
 def byte_letters() -> list[str]:
@@ -159,20 +165,14 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in visible else chr(next(hidden)) for b in range(256)]
 
 
-def _place_of_none(items: list, start: int) -> int:
-    try:
-        return items.index(None, start)
-    except ValueError:
-        return -1
-
-
 class Encoder:
-    """Encodes lists of texts with the tokenizers library, remembering chunks between blanks.
+    """Encodes columns of texts with the tokenizers library, each distinct word once.
 
     The normaliser and the splitter never join what a space or newline separates, so a text's ids
     are those of its chunks, one after another. Simple chunks go straight to the library's model,
     lower-cased and in byte letters as the library's own steps would hand them on; the rest go
-    through all its steps.
+    through all its steps. Cutting, finding what is distinct and putting the ids in order are
+    columnar.
     """
 
     def __init__(self, data: bytes):
@@ -182,52 +182,60 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(data.decode())
         self.model = self.tokenizer.model
         self.letters = dict(enumerate(byte_letters()))
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
         # Simple chunks are only taken apart here if the vocabulary's steps do just that.
+        self.simple = True
         probe = ["Der", "ÉÈ,", "ñandú.", "ÿß"]
-        self.simple = all(self.taken_apart(_SIMPLE.fullmatch(c)) == self.whole([c])[0] for c in probe)
+        ids, sizes = self.encode(pa.array(probe))
+        self.simple = ids.tobytes() == b"".join(self.whole(probe))
 
     def whole(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def piece(self, text: str) -> bytes:
-        found = self.pieces.get(text)
-        if found is None:
-            if len(self.pieces) >= MAX_CHUNKS:
-                self.pieces.clear()
-            raw = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
-            found = self.pieces[text] = array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
+    def model_ids(self, words: list[str]) -> list[bytes]:
+        out, tokenize, letters = [], self.model.tokenize, self.letters
+        for w in words:
+            raw = w if w.isascii() else w.encode().decode("latin-1").translate(letters)
+            out.append(array("I", [t.id for t in tokenize(raw)]).tobytes())
+        return out
+
+    @staticmethod
+    def looked_up(keys: pa.Array, known: dict[str, bytes], encode) -> list[bytes]:
+        if len(known) >= MAX_WORDS:
+            known.clear()
+        names = keys.to_pylist()
+        found = list(map(known.get, names))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(new, encode([names[i] for i in new]), strict=True):
+            found[i] = known[names[i]] = ids
         return found
 
-    def taken_apart(self, m: re.Match) -> bytes:
-        word = self.piece(m[1].lower())
-        return word + self.piece(m[2]) if m[2] else word
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) >= MAX_CHUNKS:
-            self.known.clear()
-        known, get = self.known, self.known.get
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(get, cs)) for cs in chunks]
-        hard: dict[str, list] = {}
-        for cs, ids in zip(chunks, found, strict=True):
-            at = -1
-            while (at := _place_of_none(ids, at + 1)) >= 0:
-                c = cs[at]
-                m = _SIMPLE.fullmatch(c) if self.simple else None
-                if m:
-                    ids[at] = known[c] = self.taken_apart(m)
-                elif c:
-                    hard.setdefault(c, []).append((ids, at))
-                    ids[at] = b""
-                else:
-                    ids[at] = known[c] = b""
-        for (c, places), new in zip(hard.items(), self.whole(list(hard)), strict=True):
-            known[c] = new
-            for ids, at in places:
-                ids[at] = new
-        return [b"".join(ids) for ids in found]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has. A null text has none."""
+        cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        chunks = cut.flatten().dictionary_encode()
+        names = chunks.dictionary
+        simple = pc.and_(pc.match_substring_regex(names, _SIMPLE), self.simple).to_numpy(zero_copy_only=False)
+        bare = pc.utf8_rtrim(names.filter(pa.array(simple)), ".,")
+        bare = pc.utf8_lower(bare).dictionary_encode()
+        rest = names.filter(pa.array(~simple))
+        # Units: nothing, full stop, comma, words, other chunks. A chunk has two, the second for its sign.
+        units = [b"", *self.looked_up(pa.array([".", ","]), self.words, self.model_ids), *self.looked_up(bare.dictionary, self.words, self.model_ids)]
+        unit = np.zeros((len(names), 2), np.int64)
+        unit[simple, 0] = bare.indices.to_numpy() + 3
+        unit[:, 1] = np.where(simple, pc.add(pc.cast(pc.ends_with(names, "."), "int8"), pc.multiply(pc.cast(pc.ends_with(names, ","), "int8"), 2)).to_numpy(), 0)
+        unit[~simple, 0] = len(units) + np.arange(len(rest))
+        units += self.looked_up(rest, self.others, self.whole)
+        size = np.array([len(u) // 4 for u in units], np.int64)
+        pool = np.frombuffer(b"".join(units), "<u4")
+        stream = unit[chunks.indices.to_numpy()].ravel()
+        n = size[stream]
+        stop = np.cumsum(n)
+        total = int(stop[-1]) if len(stop) else 0
+        ids = pool[np.repeat((np.cumsum(size) - size)[stream] - (stop - n), n) + np.arange(total)]
+        places = (cut.offsets.to_numpy() - cut.offsets[0].as_py()) * 2
+        return ids, np.diff(np.append(0, stop)[places])
 
 
 def _encoder(data: bytes):
@@ -258,33 +266,30 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, id_col: s
 
         encode = _encoder(model.value)
         part, seq, written = TaskContext.get().partitionId(), 0, 0
-        ids, pieces, total = [], [], 0
-        end = np.array([end_id], "<u4").tobytes()
+        ids, pieces, sizes, total = [], [], [], 0
 
         def flush():
-            nonlocal seq, written, ids, pieces, total
-            sizes = np.array([len(p) // 4 for p in pieces], np.int64)
-            flat = np.frombuffer(b"".join(pieces), "<u4")
+            nonlocal seq, written, ids, pieces, sizes, total
+            counts, flat = np.concatenate(sizes), np.concatenate(pieces)
             base = max(1 << 15, int(flat.max()) + 1)
-            symbols, ends, rules, lengths = compress(flat, np.cumsum(sizes) - 1, base)
+            symbols, ends, rules, lengths = compress(flat, np.cumsum(counts) - 1, base)
             width = 2 if base + len(lengths) <= 1 << 16 else 4
             at = np.concatenate([[0], ends[:-1] + 1])
-            row = [part, seq, written, ids, sizes.tolist(), at.tolist(), rules.ravel().tolist(), lengths.tolist(), base, width, symbols.astype(f"<u{width}").tobytes()]
+            row = [part, seq, written, ids, counts, at, rules.ravel(), lengths, base, width, symbols.astype(f"<u{width}").tobytes()]
             batch = pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
             seq, written = seq + 1, written + total
-            ids, pieces, total = [], [], 0
+            ids, pieces, sizes, total = [], [], [], 0
             return batch
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                cut = batch.slice(at, 64)
-                new = encode([t or "" for t in cut.column(1).to_pylist()])
-                for i, p in zip(cut.column(0).to_pylist(), new, strict=True):
-                    ids.append(i)
-                    pieces.append(p + end)
-                    total += len(p) // 4 + 1
-                    if total >= SHARD_TOKENS:
-                        yield flush()
+            for cut in slices(batch, 1, SLICE_BYTES):
+                new, counts = encode(cut.column(1))
+                ids += cut.column(0).to_pylist()
+                pieces.append(np.insert(new, np.cumsum(counts), np.uint32(end_id)))
+                sizes.append(counts + 1)
+                total += len(pieces[-1])
+                if total >= SHARD_TOKENS:
+                    yield flush()
         if ids:
             yield flush()
 
