@@ -50,7 +50,7 @@ def bpe():
     import tiktoken
 
     with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
-        fst, splitter, _ = B.machine(f.read(), P.PATTERN)
+        fst, _, splitter, _ = B.machine(f.read(), P.PATTERN)
     return fst, splitter, tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=fst.ranks, special_tokens={})
 
 
@@ -70,14 +70,39 @@ def test_bpe_forgets_states_safely(bpe):
 
 
 def test_bpe_streams(bpe):
-    fst = bpe[0]
-    data = ("abcthe" * 3000 + "é" * 2000).encode()
-    assert list(fst.stream((data[i : i + 333] for i in range(0, len(data), 333)), lookahead=512)) == fst.encode(data)
+    fst, splitter, library = bpe
+    for data in (("abcthe" * 3000 + "é" * 2000).encode(), b"a" * 5000, "ñandúinternational".encode() * 200):
+        lists = list(fst.stream(data[i : i + 333] for i in range(0, len(data), 333)))
+        assert [t for ts in lists for t in ts] == fst.encode(data) == library._core_bpe.encode_single_piece(data)
+        assert max(map(len, lists)) <= 2 * B.LOOKAHEAD
     text = "añb😀c" * 50
-    ids = [i for p in bpe[1].findall(text) for i in fst.encode(p.encode())]
+    ids = [i for p in splitter.findall(text) for i in fst.encode(p.encode())]
     for step in (1, 2, 7):
-        d = B.StreamDecoder(fst.bytes_of)
-        assert "".join(d.feed(ids[i : i + step])[1] for i in range(0, len(ids), step)) + d.finish() == text
+        d = B.StreamDecoder(B.TokenBytes(fst.bytes_of))
+        assert b"".join(d.feed(ids[i : i + step]) for i in range(0, len(ids), step)) + d.finish() == text.encode()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bpe_decoder_hands_out_whole_characters(bpe, seed):
+    rng = random.Random(seed)
+    machine = B.TokenBytes(bpe[0].bytes_of)
+    single = {b: t for t, b in bpe[0].bytes_of.items() if len(b) == 1}
+    odd = [0x41, 0x80, 0xBF, 0xC2, 0xC0, 0xE0, 0xA0, 0xE2, 0xED, 0x9F, 0xF0, 0x90, 0xF4, 0x8F, 0xFF]
+    for _ in range(300):
+        raw = bytes(rng.choice(odd) for _ in range(rng.randint(0, 12)))
+        raw += "é汉😀".encode()[rng.randint(0, 4) :]
+        d = B.StreamDecoder(machine)
+        parts = [d.feed([single[bytes([x])]]) for x in raw] + [d.finish()]
+        assert b"".join(parts) == raw
+        assert "".join(p.decode("utf-8", "replace") for p in parts) == raw.decode("utf-8", "replace")
+
+
+def test_bpe_remembers_what_is_used():
+    calls = []
+    known = B.Remembered(lambda k: calls.append(k) or k * 2, 3)
+    for k in (1, 2, 3, 1, 4, 1, 5, 6, 7, 1):
+        assert (known.young.get(k) or known.add(k)) == 2 * k
+    assert calls == [1, 2, 3, 4, 5, 6, 7] and len(known.young) + len(known.old) <= 6
 
 
 def test_bpe_edges(edges, empty):

@@ -4,11 +4,15 @@ The merges define which adjacent tokens may stand beside each other; a token seq
 encoding of its bytes exactly when every token encodes itself and every adjacent pair encodes to
 that pair. The non-deterministic machine therefore has one thread per place where a token may have
 begun: (trie node of the bytes since then, last token before). Reading a byte moves every thread in
-the vocabulary trie; a thread that completes a token compatible with its last token starts a new
-thread at the root. At each place at most one token can end the encoding of the bytes so far, so the
-set of threads, as long as the longest token, is the whole state. The sets met are numbered and
-their transitions remembered (determinisation on demand). A token is emitted as soon as every live
-thread agrees on it, which takes no more lookahead than the longest token.
+the vocabulary trie; a thread that completes a token which may follow its last one starts a new
+thread at the root. At each place exactly one token can end the encoding of the bytes so far, so the
+set of threads, no more than the longest token has bytes, is the whole state, and a transition hands
+out that token as a candidate. The sets met are numbered and their transitions remembered
+(determinisation on demand). Candidates on which all live threads agree are emitted every LOOKAHEAD
+bytes and at the end, so a pre-token of any length takes bounded memory.
+
+Decoding is a machine too: a state holds the bytes of an unfinished UTF-8 character, and a token moves
+it, handing out the bytes of finished characters.
 """
 
 from __future__ import annotations
@@ -28,35 +32,45 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
 
 
+#: Bytes read between emissions.
+LOOKAHEAD = 256
+
+
 class Transducer:
-    """encode(bytes) gives the ids of one pre-token.
+    """encode(bytes) gives the ids of one pre-token, stream(chunks) those of a long one as they are settled.
 
     max_states bounds the remembered states; on reaching it they are forgotten and built anew.
     """
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = 250_000):
         self.ranks, self.max_states = ranks, max_states
-        self.length = {t: len(b) for b, t in ranks.items()}
         self.bytes_of = {t: b for b, t in ranks.items()}
+        self.length = {t: len(b) for b, t in ranks.items()}
         self.child: dict[int, int] = {}
         self.token_at: dict[int, int] = {}
+        self.depth = [0]
         for b, t in ranks.items():
             node = 0
             for x in b:
                 key = node << 8 | x
                 nxt = self.child.get(key)
                 if nxt is None:
-                    nxt = self.child[key] = len(self.child) + 1
+                    nxt = self.child[key] = len(self.depth)
+                    self.depth.append(self.depth[node] + 1)
                 node = nxt
             self.token_at[node] = t
-        self.fits: dict[int, bool] = {}
+        # A thread is its node and its last token's id plus 1 (0: none) in one integer, as a transition is state and token.
+        self.bits = (max(ranks.values()) + 1).bit_length()
+        self.mask = (1 << self.bits) - 1
+        self.spines: dict[int, tuple | None] = {}
+        self.joined: dict[int, int] = {}
         self.forget()
 
     def forget(self) -> None:
         self.states: dict[tuple, int] = {}
         self.threads: list[tuple] = []
         self.moves: dict[int, int] = {}
-        self.begin = self.number(((0, -1),))
+        self.begin = self.number((0,))
 
     def number(self, threads: tuple) -> int:
         n = self.states.get(threads)
@@ -65,93 +79,129 @@ class Transducer:
             self.threads.append(threads)
         return n
 
-    def merged(self, data: bytes) -> list[int]:
-        """Encoding by definition: merge the adjacent pair of lowest rank until none is left."""
+    def merged(self, data: bytes, below: float = float("inf")) -> list[int]:
+        """Encoding by definition: merge the adjacent pair of lowest rank until none (of a rank below the limit) is left."""
         parts = [bytes([x]) for x in data]
         while len(parts) > 1:
-            best, at = None, -1
+            best, at = below, -1
             for i in range(len(parts) - 1):
                 r = self.ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
+                if r is not None and r < best:
                     best, at = r, i
-            if best is None:
+            if at < 0:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def spine(self, token: int) -> tuple[tuple, tuple] | None:
+        """The tokens at the left and at the right edge of a token while it is merged, the smallest
+        first; None if its bytes are not encoded as this token."""
+        if token not in self.spines:
+            data = self.bytes_of[token]
+            if len(data) == 1:
+                self.spines[token] = (token,), (token,)
+            else:
+                halves = self.merged(data, token)
+                parts = [self.spine(h) for h in halves]
+                whole = len(halves) == 2 and None not in parts and self.merged(data) == [token]
+                self.spines[token] = ((*parts[0][0], token), (*parts[1][1], token)) if whole else None
+        return self.spines[token]
+
     def compatible(self, a: int, b: int) -> bool:
-        key = a << 32 | b if a >= 0 else -1 - b
-        known = self.fits.get(key)
-        if known is None:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            right = self.bytes_of[b]
-            known = self.fits[key] = self.merged(right) == [b] if a < 0 else self.compatible(-1, b) and self.merged(self.bytes_of[a] + right) == [a, b]
-        return known
+        """Whether b may follow a (-1: the beginning): whether no merge takes place across their border.
+
+        Both sides are merged as if alone, in the order of ranks, with a look at each step whether
+        the two tokens at the border would be merged first; of equal ranks the left one goes first.
+        """
+        right = self.spine(b)
+        if right is None or a < 0:
+            return right is not None
+        xs, ys, i, j = self.spine(a)[1], right[0], 0, 0
+        x, y, last_x, last_y = xs[0], ys[0], len(xs) - 1, len(ys) - 1
+        while True:
+            key = x << self.bits | y
+            m = self.joined.get(key)
+            if m is None:
+                if len(self.joined) > 1_000_000:
+                    self.joined.clear()
+                m = self.joined[key] = self.ranks.get(self.bytes_of[x] + self.bytes_of[y], self.mask)
+            next_x = xs[i + 1] if i < last_x else self.mask
+            next_y = ys[j + 1] if j < last_y else self.mask
+            if m < next_x and m <= next_y and m != self.mask:
+                return False
+            if i == last_x and j == last_y:
+                return True
+            if next_x <= next_y:
+                i, x = i + 1, next_x
+            else:
+                j, y = j + 1, next_y
 
     def step(self, state: int, byte: int) -> int:
-        """The move out of a state: next state and the token that ends here (its id plus 1, or 0)."""
-        live, ended = [], -1
-        for node, last in self.threads[state]:
-            nxt = self.child.get(node << 8 | byte)
+        """The move out of a state: next state and the token that ends here (its id plus 1)."""
+        live, ended = [], 0
+        child, bits, mask = self.child, self.bits, self.mask
+        for thread in self.threads[state]:
+            nxt = child.get(thread >> bits << 8 | byte)
             if nxt is not None:
-                live.append((nxt, last))
-                token = self.token_at.get(nxt)
-                if token is not None and ended < 0 and self.compatible(last, token):
-                    ended = token
-        if ended >= 0:
-            live.append((0, ended))
-        move = self.number(tuple(live)) << 20 | ended + 1
-        self.moves[state << 8 | byte] = move
+                last = thread & mask
+                live.append(nxt << bits | last)
+                if not ended:
+                    token = self.token_at.get(nxt)
+                    if token is not None and self.compatible(last - 1, token):
+                        ended = token + 1
+        live.append(ended)
+        move = self.moves[state << 8 | byte] = self.number(tuple(live)) << bits | ended
         return move
 
-    def encode(self, data: bytes) -> list[int]:
-        if len(self.threads) > self.max_states:
-            self.forget()
-        ends, state, moves = [], self.begin, self.moves
-        for x in data:
-            move = moves.get(state << 8 | x)
-            if move is None:
-                move = self.step(state, x)
-            state = move >> 20
-            ends.append((move & 0xFFFFF) - 1)
-        return self.back(ends, len(data))
-
     def back(self, ends: list[int], at: int) -> list[int]:
+        """The tokens that lead to a place, of the candidates at each."""
         out = []
         while at > 0:
-            token = ends[at - 1]
+            token = ends[at - 1] - 1
             out.append(token)
             at -= self.length[token]
         out.reverse()
         return out
 
-    def stream(self, chunks, lookahead: int = 4096):
-        """Tokens of one long pre-token given in chunks, emitted once all live threads agree."""
-        longest = max(self.length.values())
+    def settled(self, ends: list[int], state: int) -> list[int]:
+        """The first tokens on which all live threads agree."""
+        paths = [self.back(ends, len(ends) - self.depth[t >> self.bits]) for t in self.threads[state]]
+        agreed = 0
+        while all(len(p) > agreed and p[agreed] == paths[0][agreed] for p in paths):
+            agreed += 1
+        return paths[0][:agreed]
+
+    def stream(self, chunks):
+        """Tokens of one pre-token given in chunks of bytes, in lists, each as soon as it is settled."""
+        if len(self.threads) > self.max_states:
+            self.forget()
         ends: list[int] = []
-        state = self.begin
+        state, bits, mask, get, add = self.begin, self.bits, self.mask, self.moves.get, ends.append
         for chunk in chunks:
-            for x in chunk:
-                move = self.moves.get(state << 8 | x)
-                if move is None:
-                    move = self.step(state, x)
-                state = move >> 20
-                ends.append((move & 0xFFFFF) - 1)
-                if len(ends) >= lookahead + longest:
-                    # Every live thread began in the last `longest` bytes, at a place where a token ended.
-                    starts = [i for i in range(len(ends) - longest, len(ends) + 1) if ends[i - 1] >= 0]
-                    paths = [self.back(ends, i) for i in starts]
-                    agreed = 0
-                    while all(len(p) > agreed and p[agreed] == paths[0][agreed] for p in paths):
-                        agreed += 1
-                    yield from paths[0][:agreed]
-                    del ends[: sum(self.length[t] for t in paths[0][:agreed])]
-        yield from self.back(ends, len(ends))
+            for at in range(0, len(chunk), LOOKAHEAD):
+                for x in chunk[at : at + LOOKAHEAD]:
+                    move = get(state << 8 | x)
+                    if move is None:
+                        move = self.step(state, x)
+                    state = move >> bits
+                    add(move & mask)
+                if len(ends) > LOOKAHEAD:
+                    tokens = self.settled(ends, state)
+                    yield tokens
+                    del ends[: sum(map(self.length.__getitem__, tokens))]
+                    if len(self.threads) > self.max_states:
+                        threads = self.threads[state]
+                        self.forget()
+                        state, get = self.number(threads), self.moves.get
+        yield self.back(ends, len(ends))
+
+    def encode(self, data: bytes) -> list[int]:
+        parts = [*self.stream((data,))]
+        return parts[0] if len(parts) == 1 else [t for p in parts for t in p]
 
 
 #: UTF-8 by state: bytes still due and the range the next one must lie in.
-_START, _REJECT = 0, 9
+_START = 0
 _RANGES = {
     0: [(0x00, 0x7F, 0), (0xC2, 0xDF, 1), (0xE0, 0xE0, 4), (0xE1, 0xEC, 2), (0xED, 0xED, 5), (0xEE, 0xEF, 2), (0xF0, 0xF0, 6), (0xF1, 0xF3, 3), (0xF4, 0xF4, 7)],
     1: [(0x80, 0xBF, 0)],
@@ -165,51 +215,99 @@ _RANGES = {
 _MOVE = {(s, b): n for s, ranges in _RANGES.items() for lo, hi, n in ranges for b in range(lo, hi + 1)}
 
 
-class StreamDecoder:
-    """Bytes and text of ids fed in pieces; a character split between tokens waits for its rest."""
+class _Held(dict):
+    """A state of the decoder: the bytes of an unfinished character. Maps a token to (next state, bytes handed out)."""
+
+    __slots__ = ("decoder", "held")
+
+    def __missing__(self, token: int):
+        data = self.held + self.decoder.bytes_of[token]
+        state, done = _START, 0
+        for at, x in enumerate(data):
+            if (state, x) not in _MOVE:  # what came before is no character; this byte may begin one
+                done, state = at, _START
+            state = _MOVE.get((state, x), _START)
+            if state == _START:
+                done = at + 1
+        move = self[token] = self.decoder.state(data[done:]), data[:done]
+        return move
+
+
+class TokenBytes:
+    """The decoding machine of a vocabulary: its states and transitions met so far."""
 
     def __init__(self, bytes_of: dict[int, bytes]):
-        self.bytes_of, self.state, self.held = bytes_of, _START, b""
-
-    def feed(self, ids) -> tuple[bytes, str]:
-        raw = b"".join(map(self.bytes_of.__getitem__, ids))
-        data = self.held + raw
-        # Only the last character can be unfinished: run the machine over the bytes since its start.
-        cut = len(data)
-        for back in range(1, min(4, len(data)) + 1):
-            if data[-back] & 0xC0 != 0x80:
-                state = _START
-                for x in data[len(data) - back :]:
-                    state = _MOVE.get((state, x), _REJECT)
-                    if state == _REJECT:
-                        break
-                self.state = state
-                if state not in (_START, _REJECT):
-                    cut = len(data) - back
-                break
-        self.held = data[cut:]
-        return raw, data[:cut].decode("utf-8", "replace")
+        self.bytes_of = bytes_of
+        self.states: dict[bytes, _Held] = {}
+
+    def state(self, held: bytes) -> _Held:
+        found = self.states.get(held)
+        if found is None:
+            found = self.states[held] = _Held()
+            found.decoder, found.held = self, held
+        return found
+
+
+class StreamDecoder:
+    """Bytes of ids fed in pieces, handed out up to the last finished character: each piece may be
+    decoded as UTF-8 by itself. A character split between tokens waits for its rest."""
+
+    def __init__(self, machine: TokenBytes):
+        self.machine, self.now = machine, machine.state(b"")
+
+    def feed(self, ids) -> bytes:
+        out, state = [], self.now
+        for token in ids:
+            state, done = state[token]
+            out.append(done)
+        self.now = state
+        return b"".join(out)
+
+    def finish(self) -> bytes:
+        held, self.now = self.now.held, self.machine.state(b"")
+        return held
+
+
+class Remembered:
+    """Values by key, computed once. Holds the keys of late: at most twice `size`, the most used among them."""
 
-    def finish(self) -> str:
-        text = self.held.decode("utf-8", "replace")
-        self.held, self.state = b"", _START
-        return text
+    def __init__(self, compute, size: int):
+        self.compute, self.size = compute, size
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def add(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self.young) >= self.size:
+            self.old = self.young.copy()
+            self.young.clear()  # the same dict, which callers look into
+        self.young[key] = value
+        return value
 
 
 _machines: dict[bytes, tuple] = {}
 
 
-def machine(data: bytes, pattern: str) -> tuple[Transducer, regex.Pattern, dict[str, tuple[str, bytes]]]:
-    """One machine a worker process, shared by its tasks, with the pre-tokens encoded so far."""
+def machine(data: bytes, pattern: str) -> tuple[Transducer, TokenBytes, regex.Pattern, Remembered]:
+    """One machine a worker process, shared by its tasks, with the pre-tokens encoded so far: their ids
+    as decimals joined by commas, and as 32-bit integers."""
     key = hashlib.sha256(data + pattern.encode()).digest()
     if key not in _machines:
         _machines.clear()
-        _machines[key] = (Transducer(read_ranks(data)), regex.compile(pattern), {})
+        fst = Transducer(read_ranks(data))
+
+        def piece(p: str) -> tuple[str, bytes]:
+            ids = fst.encode(p.encode("utf-8", "replace"))
+            return ",".join(map(str, ids)), array("i", ids).tobytes()
+
+        _machines[key] = fst, TokenBytes(fst.bytes_of), regex.compile(pattern), Remembered(piece, MAX_PIECES)
     return _machines[key]
 
 
-#: Encoded pre-tokens remembered by a worker; beyond it they are forgotten.
-MAX_PIECES = 250_000
+#: Encoded pre-tokens that a worker remembers, twice: the last ones and those before.
+MAX_PIECES = 200_000
 #: Ids decoded at a time.
 DECODE_BLOCK = 65_536
 
@@ -227,26 +325,19 @@ def bpe_encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
         ranks = spark.sparkContext.broadcast(f.read())  # a vocabulary: a few MB at most
 
     def start():
-        fst, splitter, known = machine(ranks.value, pattern)
-        findall, sha256 = splitter.findall, hashlib.sha256
-
-        def piece(p: str) -> tuple[str, bytes]:
-            ids = fst.encode(p.encode("utf-8", "replace"))
-            if len(known) >= MAX_PIECES:
-                known.clear()
-            out = known[p] = (",".join(map(str, ids)), array("i", ids).tobytes())
-            return out
+        _, decoding, splitter, known = machine(ranks.value, pattern)
+        findall, sha256, get, add = splitter.findall, hashlib.sha256, known.young.get, known.add
 
         def work(rows):
             out = []
-            get = known.get
             for doc_id, text in rows:
-                parts = [get(p) or piece(p) for p in findall(text or "")]
+                parts = [get(p) or add(p) for p in findall(text or "")]
                 ids = array("i")
                 ids.frombytes(b"".join([p[1] for p in parts]))
-                decoder, digest = StreamDecoder(fst.bytes_of), sha256()
+                decoder, digest = StreamDecoder(decoding), sha256()
                 for at in range(0, len(ids), DECODE_BLOCK):
-                    digest.update(decoder.feed(ids[at : at + DECODE_BLOCK])[0])
+                    digest.update(decoder.feed(ids[at : at + DECODE_BLOCK]))
+                digest.update(decoder.finish())
                 row = (doc_id, len(ids), sha256(",".join([p[0] for p in parts]).encode()).hexdigest(), digest.hexdigest())
                 out.append((*row, ids) if with_ids else row)
             return out
