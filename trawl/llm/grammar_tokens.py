@@ -38,12 +38,12 @@ from pyspark.sql.types import StructType
 from .common import map_arrow, shared_dir, slices, table
 
 #: Ids a shard holds before it is closed, and bytes of text that are encoded at a time.
-SHARD_TOKENS, SLICE_BYTES = 1 << 21, 1 << 23
+SHARD_TOKENS, SLICE_BYTES = 1 << 21, 1 << 22
 #: Occurrences a pair needs. A round replaces the more frequent half of such pairs, at least
 #: PER_ROUND if there are; the rest wait for the next.
 PER_ROUND, MIN_COUNT = 2048, 24
 #: Encoded words that a worker remembers; beyond it they are forgotten.
-MAX_WORDS = 1_000_000
+MAX_WORDS = 250_000
 END_ID = 1
 _SCHEMA = (
     "part int, seq int, start_in_part long, doc_ids array<long>, doc_tokens array<int>, doc_at array<int>, "
