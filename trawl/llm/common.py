@@ -105,6 +105,15 @@ def slices(batch: pa.RecordBatch, column: int, size: int):
         at = to
 
 
+#: Rows of up to a few dozen bytes that may go to all executors at once.
+BROADCAST_ROWS = 1 << 20
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """For one side of a join: a hint to broadcast df, a saved table, if it has few rows; else df, for a join by shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     """At most n rows: those whose key has the smallest hashes.
 

@@ -14,12 +14,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import bounded_sample, map_arrow, saved, shingles, table, words
+from .common import bounded_sample, map_arrow, saved, shingles, slices, small, table, words
 
 SEED = 42
 #: Fingerprints of a tile; a meeting place of more is compared tile by tile.
@@ -29,32 +31,28 @@ _PARITY = [sum(1 << (i - 1) for i in range(1, 32) if i >> j & 1) for j in range(
 _PAIRS = np.array([[(1 << (i - 1)) | (1 << ((i ^ s) - 1)) for i in range(1, 32) if i < i ^ s <= 31] if s else [0] * 15 for s in range(32)], np.uint32)
 
 
-def fingerprint(features: list[str], words64: int = 1) -> bytes:
-    """A bit is 1 if it is set in over half of the features' XXH64 values; one value for each 64 bits."""
+def majority(hashes: bytes) -> np.ndarray:
+    """64 bits, the highest first: whether each is set in over half of the big-endian 64-bit values."""
+    h = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
+    total = sum(np.unpackbits(h[i : i + 4096], axis=1).sum(0, dtype=np.int64) for i in range(0, len(h), 4096))
+    return total * 2 > len(h)
+
+
+def fingerprint(features: list[str]) -> int:
+    """A bit is 1 if it is set in over half of the features' XXH64 values; as a signed 64-bit integer."""
     if not features:
-        return bytes(8 * words64)
-    out = []
-    for k in range(words64):
-        h = np.frombuffer(b"".join([xxhash.xxh64_digest(s, SEED + k) for s in features]), np.uint8).reshape(-1, 8)
-        total = sum(np.unpackbits(h[i : i + 4096], axis=1).sum(0, dtype=np.int64) for i in range(0, len(h), 4096))
-        out.append(np.packbits(total * 2 > len(h)).tobytes())
-    return b"".join(out)
+        return 0
+    bits = majority(b"".join([xxhash.xxh64_digest(s, SEED) for s in features]))
+    return int(np.packbits(bits).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, n: int, words64: int = 1, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (binary) from n-word shingles, repeats counted unless distinct."""
+def fingerprints(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp (long) from n-word shingles, repeats counted."""
 
     def start():
-        def work(rows):
-            out = []
-            for doc_id, text in rows:
-                s = shingles(words(text), n)
-                out.append((doc_id, fingerprint(sorted(set(s)) if distinct else s, words64)))
-            return out
+        return lambda rows: [(doc_id, fingerprint(shingles(words(text), n))) for doc_id, text in rows]
 
-        return work
-
-    return map_arrow(docs.select(id_col, text_col), f"{id_col} long, fp binary", start, rows=256)
+    return map_arrow(docs.select(id_col, text_col), f"{id_col} long, fp long", start, rows=256)
 
 
 def anchors(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,101 +70,103 @@ def anchors(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _meetings(nodes: DataFrame) -> DataFrame:
-    """key, node, home (nearest anchor) for every anchor of every block."""
-    schema = pa.schema([("key", pa.int64()), ("node", pa.binary()), ("home", pa.bool_())])
+    """key, node, fp, home (whether it is the nearest anchor) for every anchor of both blocks."""
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("home", pa.bool_())])
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                node = np.array(part.column("node").to_pylist(), object)
-                fps = part.column("fp").to_pylist()
-                if not fps:
-                    continue
-                blocks = np.frombuffer(b"".join(fps), ">u4").astype(np.uint32).reshape(len(fps), -1)
-                for b in range(blocks.shape[1]):
-                    found, real = anchors(blocks[:, b])
+                node, fp = (part.column(c).to_numpy() for c in ("node", "fp"))
+                for b, block in enumerate((fp >> 32, fp)):
+                    found, real = anchors(block.astype(np.uint32))
                     home = np.zeros_like(real)
                     home[:, 0] = True
-                    key = (found.astype(np.int64) | b << 32)[real]
-                    who = np.broadcast_to(np.arange(len(fps))[:, None], real.shape)[real]
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[who], pa.binary()), pa.array(home[real])], schema=schema)
+                    who = np.broadcast_to(np.arange(len(fp))[:, None], real.shape)[real]
+                    columns = (found.astype(np.int64) | b << 32)[real], node[who], fp[who], home[real]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+
+    return nodes.select("node", "fp").mapInArrow(run, "key long, node long, fp long, home boolean")
 
-    return nodes.select("node", "fp").mapInArrow(run, "key long, node binary, home boolean")
 
+def forest(n: int, distances, limit: float) -> list[tuple[int, int]]:
+    """Minimum spanning forest of the links of at most limit: pairs of numbers below n. Prim's method.
 
-def forest(fps: np.ndarray, limit: int) -> list[tuple[int, int, int]]:
-    """Minimum spanning forest of the links of at most limit bits: (i, j, distance). Prim's method."""
-    n = len(fps)
+    distances(i): of i to all.
+    """
     out = []
-    best, source = np.full(n, 1 << 20), np.zeros(n, int)
+    best, source = np.full(n, np.inf), np.zeros(n, int)
     left = np.ones(n, bool)
     for _ in range(n):
-        candidates = np.where(left, best, 1 << 30)
-        i = int(candidates.argmin())
-        if best[i] <= limit:
-            out.append((int(source[i]), i, int(best[i])))
+        i = int(np.where(left, best, np.inf).argmin())
+        if not left[i]:
+            i = int(left.argmax())
+        elif best[i] <= limit:
+            out.append((int(source[i]), i))
         left[i] = False
-        d = np.bitwise_count(fps ^ fps[i]).sum(1, dtype=np.int64)
+        d = distances(i)
         closer = d < best
         best[closer], source[closer] = d[closer], i
     return out
 
 
-def links(nodes: DataFrame, limit: int) -> DataFrame:
-    """a, b (nodes), distance: a spanning forest of all links of at most limit bits where anchors meet.
+def _in_tiles(rows: DataFrame, full: DataFrame, columns: list[str], compare) -> DataFrame:
+    """a, b: what compare() finds among the nodes of each meeting place, distinct.
 
-    nodes: node and fp, distinct. With two blocks no link of at most 3 bits is missed.
+    rows: key, node, whatever compare needs; full: key, n (nodes) of the places to look at. A place of
+    many nodes is cut into tiles, and each pair of tiles goes to a task by itself. compare gets a
+    dictionary of columns (sorted by node) and gives pairs of row numbers.
     """
-    by_key = W.partitionBy("key")
-    met = _meetings(nodes).withColumns({"n": F.count("*").over(by_key), "homes": F.max("home").over(by_key)})
-    met = met.where((F.col("n") > 1) & F.col("homes")).select("key", "node", "n")
+    met = rows.join(small(full), "key")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     own = F.pmod(F.xxhash64("node"), tiles).cast("int")
     dealt = met.withColumn("tiles", tiles).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("t"), F.greatest("own", "other").alias("u"), "node")
-    placed = dealt.join(nodes.select("node", "fp"), "node")
-    placed = placed.repartition("key", "t", "u").sortWithinPartitions("key", "t", "u", "node")
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("distance", pa.int32())])
-
-    def compare(node, fps, starts, ends):
-        a, b, d = [], [], []
-        size = ends - starts
-        two = starts[size == 2]
-        if len(two):
-            gap = np.bitwise_count(fps[two] ^ fps[two + 1]).sum(1, dtype=np.int64)
-            linked = gap <= limit
-            a += node[two[linked]].tolist()
-            b += node[two[linked] + 1].tolist()
-            d += gap[linked].tolist()
-        for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
-            for i, j, gap in forest(fps[s:e], limit):
-                i, j = sorted((i, j))
-                a.append(node[s + i])
-                b.append(node[s + j])
-                d.append(gap)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(d, pa.int32())], schema=schema)
+    dealt = dealt.select("key", F.least("own", "other").alias("t"), F.greatest("own", "other").alias("u"), "node", *columns)
+    dealt = dealt.repartition("key", "t", "u").sortWithinPartitions("key", "t", "u", "node")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def found(table: pa.Table, cuts: np.ndarray):
+        node = table.column("node").to_numpy()
+        kept = {c: table.column(c).to_numpy() for c in columns}
+        pairs = []
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            pairs += [(s + i, s + j) for i, j in compare({c: v[s:e] for c, v in kept.items()})]
+        at = np.array(pairs, np.int64).reshape(-1, 2)
+        ends = np.sort(node[at], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], schema=schema)
 
     def run(batches):
-        keys, node, fps = np.empty((0, 3), np.int64), np.empty(0, object), None
+        held = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            k = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "t", "u")])
-            f = np.frombuffer(b"".join(batch.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(batch.num_rows, -1)
-            keys = np.concatenate([keys, k])
-            node = np.concatenate([node, np.array(batch.column("node").to_pylist(), object)])
-            fps = f if fps is None else np.concatenate([fps, f])
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-            if len(cuts):
-                starts = np.concatenate([[0], cuts])
-                yield compare(node, fps, starts[:-1], starts[1:])
-                keys, node, fps = keys[cuts[-1] :], node[cuts[-1] :], fps[cuts[-1] :]
-        if len(keys):
-            yield compare(node, fps, np.array([0]), np.array([len(keys)]))
-
-    edges = placed.select("key", "t", "u", "node", "fp").mapInArrow(run, "a binary, b binary, distance int")
-    return edges.groupBy("a", "b").agg(F.min("distance").alias("distance"))
+            new = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, new]).combine_chunks() if held is not None else new
+            place = np.column_stack([held.column(c).to_numpy() for c in ("key", "t", "u")])
+            cuts = np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1
+            if len(cuts):  # the last place may go on in the next batch
+                yield found(held, np.append(0, cuts))
+                held = held.slice(cuts[-1])
+        if held is not None and held.num_rows:
+            yield found(held, np.array([0, held.num_rows]))
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def links(nodes: DataFrame, limit: int) -> DataFrame:
+    """a, b (nodes): a spanning forest of all links of at most limit bits where anchors meet.
+
+    nodes: node and fp (longs), saved, one row a node. No link of at most 3 bits is missed.
+    """
+    rows = _meetings(nodes)
+    full = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("home").alias("homes"))
+    full = saved(full.where((F.col("n") > 1) & F.col("homes")).select("key", "n"))
+
+    def compare(columns):
+        fps = columns["fp"]
+        if len(fps) == 2:
+            return [(0, 1)] if int(np.bitwise_count(fps[0] ^ fps[1])) <= limit else []
+        return forest(len(fps), lambda i: np.bitwise_count((fps ^ fps[i]).view(np.uint64)), limit)
+
+    return _in_tiles(rows.select("key", "node", "fp"), full, ["fp"], compare)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -201,139 +201,231 @@ def simhash_components(docs: DataFrame, n: int = 3, max_distance: int = 3, id_co
     if not 0 <= max_distance <= 3:
         raise ValueError("two blocks find links of at most 3 bits")
     fps = saved(fingerprints(docs, n, id_col=id_col, text_col=text_col))
-    least = fps.groupBy("fp").agg(F.min(id_col).alias("first_id"))
+    least = saved(fps.groupBy("fp").agg(F.min(id_col).alias("first_id")))
     roots = components(links(least.select(F.col("fp").alias("node"), "fp"), max_distance))
     rooted = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_fp = rooted.join(groups, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select(id_col, F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    return fps.join(by_fp, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Least hashes of a text by which near copies meet first; links between what they join need no look.
-MINS = 8
-#: Documents sampled for shingles that many texts share, which go last in the order of prefixes. Any
-#: order finds the same links.
+#: Documents sampled for shingles that many texts share, which go last in the order of prefixes, and
+#: the number of those. Any order finds the same links.
 SAMPLED, SHARED = 4000, 1 << 16
-_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def shingle_hashes(text: str | None, n: int) -> np.ndarray:
-    """Sorted 64-bit values of the distinct n-word shingles; a shorter text is one shingle, no words give none."""
-    own = words(text)
-    if not own:
-        return np.empty(0, np.uint64)
-    seen: dict[str, int] = {}
-    for w in own:
-        if w not in seen:
-            seen[w] = xxhash.xxh64_intdigest(w, SEED)
-    h = np.array([seen[w] for w in own], np.uint64)
-    k = min(n, len(h))
-    out = np.full(len(h) - k + 1, k, np.uint64)
-    for i in range(k):  # each place mixes the value so far, so the order of words counts
-        out = (out ^ (out >> np.uint64(29))) * _ODD[0] + h[i : len(h) - k + 1 + i]
-    out = (out ^ (out >> np.uint64(32))) * _ODD[1]
-    return np.unique(out ^ (out >> np.uint64(29)))
+#: Bits in which fingerprints of near duplicates may differ to be looked at where anchors meet.
+NEAR_BITS = 12
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """Of each text the sorted 64-bit values of its distinct n-word shingles; a shorter text is one
+    shingle, no words (a null text) give none."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    found = cut.flatten().dictionary_encode()
+    names = found.dictionary.to_pylist()
+    value = np.array([xxhash.xxh64_intdigest(w, SEED) for w in names], np.uint64)
+    word = found.indices.to_numpy()
+    real = word != (names.index("") if "" in names else -1)  # blanks at the ends leave empty words
+    h = value[word[real]]
+    ends = np.append(0, np.cumsum(real))[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+
+    def mixed(k: int) -> np.ndarray:
+        out = np.full(max(0, len(h) - k + 1), k, np.uint64)
+        for i in range(k):  # each place mixes the value so far, so the order of words counts
+            out = (out ^ (out >> np.uint64(29))) * _ODD[0] + h[i : len(h) - k + 1 + i]
+        out = (out ^ (out >> np.uint64(32))) * _ODD[1]
+        return out ^ (out >> np.uint64(29))
+
+    by_size = {n: mixed(n)}
+    sets = []
+    for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        k = min(n, e - s)
+        if k not in by_size:
+            by_size[k] = mixed(k)
+        own = np.sort(by_size[k][s : e - k + 1]) if k else h[:0]
+        sets.append(own[np.append(True, own[1:] != own[:-1])] if len(own) > 1 else own)
+    return sets
 
 
 def prefix(own: np.ndarray, hot: np.ndarray, weight: np.ndarray, similarity: float) -> np.ndarray:
-    """As many of a set's values, the rarest first, as it takes to meet every set of that similarity."""
+    """As many of a set's values, the rarest first, as it takes to meet every set of that similarity.
+
+    own: ascending; hot: frequent values, ascending, and their weights; the others come before them.
+    """
     if not len(own):
         return np.zeros(1, np.uint64)  # texts without words meet each other
-    w = np.zeros(len(own), np.int64)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
-        w = np.where(hot[at] == own, weight[at], 0)
-    return own[np.lexsort((own, w))[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1]]
+    n = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
+    if not len(hot):
+        return own[:n]
+    at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
+    is_hot = hot[at] == own
+    cold = own[~is_hot]
+    if len(cold) >= n:
+        return cold[:n]
+    rest = own[is_hot]
+    return np.append(cold, rest[np.lexsort((rest, weight[at[is_hot]]))][: n - len(cold)])
+
+
+def sketch(own: np.ndarray) -> bytes:
+    """Which places of a power of two, at least 64 and about as many as values, hold an odd number of the values."""
+    size = 64
+    while size < len(own):
+        size *= 2
+    odd = np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Sketches:
+    """Sketches of several sets. Two sets differ in no fewer values than their sketches in places; the
+    longer of two is folded to the other's size."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.own = [np.frombuffer(s, np.uint64) for s in sketches]
+        self.words = np.array([len(s) for s in self.own])
+        self.rows = {w: np.flatnonzero(self.words == w) for w in np.unique(self.words).tolist()}
+        self.packed = {w: np.stack([self.own[i] for i in rows.tolist()]) for w, rows in self.rows.items()}
+        self.folded = {w: p[:, : w // 2] ^ p[:, w // 2 :] for w, p in self.packed.items() if w > 1}
+
+    def differ(self, i: int) -> np.ndarray:
+        """Places that differ from i's; infinite where sizes are too far apart for the sets to be near."""
+        me, w = self.own[i], int(self.words[i])
+        out = np.full(len(self.own), np.inf)
+        out[self.rows[w]] = np.bitwise_count(self.packed[w] ^ me).sum(1, dtype=np.int64)
+        if w * 2 in self.rows:
+            out[self.rows[w * 2]] = np.bitwise_count(self.folded[w * 2] ^ me).sum(1, dtype=np.int64)
+        if w > 1 and w // 2 in self.rows:
+            out[self.rows[w // 2]] = np.bitwise_count(self.packed[w // 2] ^ (me[: w // 2] ^ me[w // 2 :])).sum(1, dtype=np.int64)
+        return out
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, hashed: DataFrame, n: int, similarity: float) -> DataFrame:
+    """The pairs a, b of nodes whose shingle sets are as similar as asked for, saved."""
+    pairs = saved(pairs)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id", "hash"), "node")
+    ends = saved(ends.withColumnsRenamed({"id": "__id", "hash": "__hash"}))
+    # By id as well, so that copies of a text do not meet in one task.
+    texts = hashed.join(small(ends), hashed["id"].eqNullSafe(ends["__id"]) & (hashed["hash"] == ends["__hash"])).select("node", "text")
+    schema = "node long, own array<long>"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def cut(batches):
+        for batch in batches:
+            for part in slices(batch, 1, SLICE_BYTES):
+                own = [s.view(np.int64) for s in shingle_sets(part.column(1), n)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, arrow.field(1).type)], schema=arrow)
 
+    sets = saved(texts.mapInArrow(cut, schema).dropDuplicates(["node"]))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    total = F.size("x") + F.size("y") - common
+    return saved(both.where((total == 0) | (common >= similarity * total - 1e-9)).select("a", "b"))
 
-def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, hash (md5 of the text), root: groups of texts linked by a Jaccard similarity of at least
-    `similarity` of their distinct n-word shingles. One row for each different id and text.
 
-    No link is missed: texts so alike share a value among the rarest of each (prefix filter). Before
-    that, texts with a least hash in common are compared along a chain, which joins most near copies
-    by links in proportion to their number; the prefixes then need comparing only between groups. A
-    null text counts as empty; texts without words are all alike.
-    """
-    hashed = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+#: Bytes of text that are cut into shingles at a time.
+SLICE_BYTES = 1 << 22
 
-    def cut():
-        return lambda rows: [(key, shingle_hashes(text, n).view(np.int64)) for key, text in rows]
 
-    some = map_arrow(bounded_sample(hashed, "hash", SAMPLED).select("hash", "text").dropDuplicates(["hash"]), "node binary, own array<long>", cut, rows=256)
+def _rooted(docs: DataFrame, n: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """hash, id (the least of the text's documents, null first), root for each different text, saved."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    hashed = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("hash"), text.alias("text"))
+
+    def sampled():
+        return lambda rows: [(own.view(np.int64),) for own in shingle_sets(pa.array([r[0] for r in rows]), n)]
+
+    some = map_arrow(bounded_sample(hashed, "hash", SAMPLED).select("text").distinct(), "own array<long>", sampled, rows=256)
     top = some.select(F.explode("own").alias("v")).groupBy("v").agg(F.count("*").alias("c")).where("c > 1").orderBy(F.desc("c"), "v").limit(SHARED).collect()
     hot = np.array([r["v"] for r in top], np.int64).view(np.uint64)
     weight = np.array([r["c"] for r in top], np.int64)[np.argsort(hot)]
     hot = np.sort(hot)
+    schema = "id long, hash binary, size int, fp long, odd binary, rare array<long>"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
-    def marked():
-        def work(rows):
-            out = []
-            for doc_id, key, text in rows:
-                own = shingle_hashes(text, n)
-                mins = [int((own * _ODD[2 + k]).min().view(np.int64)) if len(own) else 0 for k in range(MINS)]
-                odd = np.packbits(np.bincount((own >> np.uint64(54)).astype(np.int64), minlength=1024) & 1).view(np.int64)
-                out.append((doc_id, key, len(own), prefix(own, hot, weight, similarity).view(np.int64), mins, odd))
-            return out
-
-        return work
-
-    marks = saved(map_arrow(hashed, "id long, hash binary, size int, rare array<long>, mins array<long>, odd array<long>", marked, rows=256))
-    nodes = saved(marks.groupBy(F.col("hash").alias("node")).agg(F.min("id").alias("first_id"), F.first("size").alias("size"), F.first("odd").alias("odd")))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs a, b that are as similar as asked for.
-
-        Sets differ in no fewer values than places of 1024 that hold an odd number of the values of
-        one alone; pairs that differ in too many by that need no look at the sets.
-        """
-        for end in "ab":
-            pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("odd").alias(f"odd_{end}")), end)
-        differ = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-        pairs = pairs.where(differ <= (F.col("size_a") + F.col("size_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6)
-        pairs = saved(pairs.drop("size_a", "size_b", "odd_a", "odd_b"))
-        # One document of each text at an end: joined by id as well, so that copies do not meet in one task.
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first_id"), "node")
-        texts = hashed.join(ends, hashed["id"].eqNullSafe(ends["first_id"]) & (hashed["hash"] == ends["node"]), "left_semi")
-        sets = saved(map_arrow(texts.select("hash", "text").dropDuplicates(["hash"]), "node binary, own array<long>", cut, rows=256))
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        total = F.size("x") + F.size("y") - common
-        return saved(both.where((total == 0) | (common >= similarity * total - 1e-9)).select(*pairs.columns))
-
-    texts = marks.join(nodes, marks["id"].eqNullSafe(nodes["first_id"]) & (marks["hash"] == nodes["node"]), "left_semi").dropDuplicates(["hash"])
-    texts = texts.withColumnRenamed("hash", "node")
-    least = texts.select("node", F.posexplode("mins").alias("k", "key"))
-    chain = W.partitionBy("k", "key").orderBy(F.xxhash64("node", "k"), "node")
-    pairs = least.withColumn("last", F.lag("node").over(chain)).where(F.col("last").isNotNull())
-    pairs = saved(pairs.select(F.least("node", "last").alias("a"), F.greatest("node", "last").alias("b")).distinct())
-    roots = saved(components(verified(pairs)))
-    grouped = texts.select("node", "size", "rare").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    met = grouped.select("node", "size", "root", F.posexplode("rare").alias("at", "key"))
-    by_key = W.partitionBy("key")
-    met = met.withColumns({"low": F.min("root").over(by_key), "high": F.max("root").over(by_key)}).where("low < high")
-    met = saved(met.select("key", "node", "size", "root", "at"))
-    x, y = (met.select("key", *(F.col(c).alias(c + s) for c in ("node", "size", "root", "at"))) for s in "xy")
-    # At the first value that two sets share, what is left of both still holds all they have in common.
-    rest = F.least(F.col("sizex") - F.col("atx"), F.col("sizey") - F.col("aty"))
-    needed = (F.col("sizex") + F.col("sizey")) * similarity / (1 + similarity) - 1e-6
-    pairs = x.join(y, "key").where((F.col("nodex") < F.col("nodey")) & (F.col("rootx") != F.col("rooty")) & (rest >= needed))
-    pairs = saved(pairs.select(F.col("nodex").alias("a"), F.col("nodey").alias("b"), F.col("rootx").alias("ra"), F.col("rooty").alias("rb")).distinct())
-    joined = components(verified(pairs).select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    roots = nodes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    roots = roots.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    pairs = marks.select("id", "hash").distinct()
-    return pairs.join(roots, pairs["hash"] == roots["node"]).select("id", "hash", "root")
+    def marked(batches):
+        for batch in batches:
+            for part in slices(batch, 2, SLICE_BYTES):
+                sets = shingle_sets(part.column(2), n)
+                fps = [int(np.packbits(majority(s.byteswap().tobytes())).view(">i8")[0]) if len(s) else 0 for s in sets]
+                rare = [prefix(s, hot, weight, similarity).view(np.int64) for s in sets]
+                columns = part.column(0), part.column(1), list(map(len, sets)), fps, list(map(sketch, sets)), rare
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    marks = saved(hashed.mapInArrow(marked, schema).withColumn("node", F.monotonically_increasing_id()))
+    # One node for each different text.
+    first = marks.groupBy("hash").agg(F.min(F.struct("id", "node")).alias("first")).select("first.node")
+    nodes = saved(marks.select("node", "id", "hash", "size", "fp", "odd").join(small(saved(first)), "node"))
+    most = (1 - similarity) / (1 + similarity)  # of both sizes, values that differ
+
+    def near(columns, thin: bool):
+        size, root = columns["size"], columns["root"]
+        sketches = Sketches(columns["odd"])
+
+        def distances(i):
+            least, largest = np.minimum(size, size[i]), np.maximum(size, size[i])
+            d = sketches.differ(i)
+            ok = (d <= most * (least + largest) + 1e-6) & (least >= similarity * largest - 1e-6) & (root != root[i])
+            return np.where(ok, d / np.maximum(least + largest, 1), np.inf)
+
+        if thin:
+            return forest(len(size), distances, most + 1e-6)
+        return [(i, int(j)) for i in range(len(size) - 1) for j in np.flatnonzero(np.isfinite(distances(i)[i + 1 :])) + i + 1]
+
+    def grouped(known: DataFrame) -> DataFrame:
+        """node, root of every node, of the pairs that are links."""
+        roots = saved(components(known))
+        return saved(nodes.select("node").join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node")))
+
+    def several(rows: DataFrame) -> DataFrame:
+        """key, n of the keys that nodes of different roots have."""
+        keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+        return saved(keys.where("low < high").select("key", "n"))
+
+    # Near copies first, by their fingerprints, so that few values are shared between groups.
+    known = _verified(links(nodes.select("node", "fp"), NEAR_BITS), nodes, hashed, n, similarity)
+    roots = grouped(known)
+    rows = marks.select("node", "rare").join(small(roots), "node").select(F.explode("rare").alias("key"), "node", "root")
+    met = saved(rows.join(small(several(rows)), "key").select("key", "node"))
+    for thin in (True, False):
+        rows = met.join(small(roots), "node")
+        whole = rows.join(nodes.select("node", "size", "odd"), "node")
+        pairs = _in_tiles(whole, several(rows), ["size", "root", "odd"], lambda columns, thin=thin: near(columns, thin))
+        known = saved(known.unionByName(_verified(pairs, nodes, hashed, n, similarity)))
+        roots = grouped(known)
+    return saved(nodes.select("node", "id", "hash").join(small(roots), "node").select("id", "hash", "root"))
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, hash (md5 of the text), root: groups of texts linked by a Jaccard similarity of at least
+    `similarity` of their distinct n-word shingles. One row for each different id and text.
+
+    Fingerprints of the shingles meet at their anchors, and what lies near there is verified on the
+    shingles. As texts so alike may differ in more bits than anchors reach, the groups so found are
+    completed by a prefix filter, which misses no link: such texts share one of the rarest values of
+    each. Where values are shared between groups, first a minimum spanning forest of the pairs that
+    may be links is verified, then whatever may still link two groups. A null text counts as empty;
+    texts without words are all alike. Repeated rows give one row; a null id stays null. Other columns
+    are ignored, whatever their names; an empty table gives an empty result.
+    """
+    roots = _rooted(docs, n, similarity, id_col, text_col).select(F.col("hash").alias("__hash"), "root")
+    pairs = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("hash")).distinct()
+    return pairs.join(roots, pairs["hash"] == roots["__hash"]).select("id", "hash", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns kept, one of each group of near duplicates: that of the least id
-    (null ids first), of equal ids the least text hash, of equal rows any one."""
-    found = near_duplicates(docs, n, similarity, id_col, text_col)
-    first = found.groupBy("root").agg(F.min(F.struct("id", "hash")).alias("first")).select(F.col("first.id").alias("__id"), F.col("first.hash").alias("__hash"))
-    key = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    kept = docs.join(first, docs[id_col].eqNullSafe(first["__id"]) & (key == first["__hash"]), "left_semi")
-    return kept.dropDuplicates([id_col, text_col])
+    (null ids first), of equal ids the least text hash, of equal rows any one.
+
+    Groups are those of near_duplicates(), with its treatment of nulls and empty texts; other columns
+    may have any name that does not begin with two underscores. An empty table gives an empty result.
+    """
+    found = _rooted(docs, n, similarity, id_col, text_col)
+    first = found.groupBy("root").agg(F.min(F.struct("id", "hash")).alias("first")).select(F.col("first.id").alias("__id"), F.col("first.hash").alias("__first"))
+    # One key for the join and for repeated rows, so that documents are moved once.
+    first = first.withColumn("__key", F.xxhash64("__id", "__first"))
+    own = docs.withColumn("__hash", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    own = own.withColumn("__key", F.xxhash64(F.col(id_col), "__hash"))
+    kept = own.join(first, (own["__key"] == first["__key"]) & own[id_col].eqNullSafe(first["__id"]) & (own["__hash"] == first["__first"]), "left_semi")
+    return kept.dropDuplicates(["__key", id_col, "__hash"]).select(*docs.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
