@@ -185,7 +185,7 @@ def test_sketches_bound_the_difference():
     sets = [np.unique(np.append(rng.choice(base, n, replace=False), rng.integers(0, 2**63, m, dtype=np.uint64))) for n, m in rng.integers(1, 700, (60, 2))]
     sketches = simhash.Sketches([simhash.sketch(s) for s in sets])
     for i, a in enumerate(sets):
-        d = sketches.differ(i)
+        d = sketches.differ(np.full(len(sets), i), np.arange(len(sets)))
         for j, b in enumerate(sets):
             if np.isfinite(d[j]):
                 assert d[j] <= len(np.setxor1d(a, b))

@@ -115,7 +115,7 @@ def _in_tiles(rows: DataFrame, full: DataFrame, columns: list[str], compare) ->
 
     rows: key, node, whatever compare needs; full: key, n (nodes) of the places to look at. A place of
     many nodes is cut into tiles, and each pair of tiles goes to a task by itself. compare gets a
-    dictionary of columns (sorted by node) and gives pairs of row numbers.
+    dictionary of columns and where places begin and end in them, and gives pairs of row numbers.
     """
     met = rows.join(small(full), "key")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
@@ -126,13 +126,8 @@ def _in_tiles(rows: DataFrame, full: DataFrame, columns: list[str], compare) ->
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def found(table: pa.Table, cuts: np.ndarray):
-        node = table.column("node").to_numpy()
-        kept = {c: table.column(c).to_numpy() for c in columns}
-        pairs = []
-        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            pairs += [(s + i, s + j) for i, j in compare({c: v[s:e] for c, v in kept.items()})]
-        at = np.array(pairs, np.int64).reshape(-1, 2)
-        ends = np.sort(node[at], axis=1)
+        at = np.asarray(compare({c: table.column(c).to_numpy() for c in columns}, cuts), np.int64).reshape(-1, 2)
+        ends = np.sort(table.column("node").to_numpy()[at], axis=1)
         return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], schema=schema)
 
     def run(batches):
@@ -160,11 +155,15 @@ def links(nodes: DataFrame, limit: int) -> DataFrame:
     full = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("home").alias("homes"))
     full = saved(full.where((F.col("n") > 1) & F.col("homes")).select("key", "n"))
 
-    def compare(columns):
-        fps = columns["fp"]
-        if len(fps) == 2:
-            return [(0, 1)] if int(np.bitwise_count(fps[0] ^ fps[1])) <= limit else []
-        return forest(len(fps), lambda i: np.bitwise_count((fps ^ fps[i]).view(np.uint64)), limit)
+    def compare(columns, cuts):
+        out = []
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            fps = columns["fp"][s:e]
+            if e == s + 2:
+                out += [(s, s + 1)] if int(np.bitwise_count(fps[0] ^ fps[1])) <= limit else []
+            else:
+                out += [(s + i, s + j) for i, j in forest(e - s, lambda i, fps=fps: np.bitwise_count((fps ^ fps[i]).view(np.uint64)), limit)]
+        return out
 
     return _in_tiles(rows.select("key", "node", "fp"), full, ["fp"], compare)
 
@@ -212,6 +211,8 @@ def simhash_components(docs: DataFrame, n: int = 3, max_distance: int = 3, id_co
 #: Documents sampled for shingles that many texts share, which go last in the order of prefixes, and
 #: the number of those. Any order finds the same links.
 SAMPLED, SHARED = 4000, 1 << 16
+#: Nodes of a meeting place up to which all its pairs are looked at at once.
+FEW = 8
 #: Bits in which fingerprints of near duplicates may differ to be looked at where anchors meet.
 NEAR_BITS = 12
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -279,22 +280,29 @@ class Sketches:
     """Sketches of several sets. Two sets differ in no fewer values than their sketches in places; the
     longer of two is folded to the other's size."""
 
-    def __init__(self, sketches: list[bytes]):
-        self.own = [np.frombuffer(s, np.uint64) for s in sketches]
-        self.words = np.array([len(s) for s in self.own])
-        self.rows = {w: np.flatnonzero(self.words == w) for w in np.unique(self.words).tolist()}
-        self.packed = {w: np.stack([self.own[i] for i in rows.tolist()]) for w, rows in self.rows.items()}
-        self.folded = {w: p[:, : w // 2] ^ p[:, w // 2 :] for w, p in self.packed.items() if w > 1}
-
-    def differ(self, i: int) -> np.ndarray:
-        """Places that differ from i's; infinite where sizes are too far apart for the sets to be near."""
-        me, w = self.own[i], int(self.words[i])
-        out = np.full(len(self.own), np.inf)
-        out[self.rows[w]] = np.bitwise_count(self.packed[w] ^ me).sum(1, dtype=np.int64)
-        if w * 2 in self.rows:
-            out[self.rows[w * 2]] = np.bitwise_count(self.folded[w * 2] ^ me).sum(1, dtype=np.int64)
-        if w > 1 and w // 2 in self.rows:
-            out[self.rows[w // 2]] = np.bitwise_count(self.packed[w // 2] ^ (me[: w // 2] ^ me[w // 2 :])).sum(1, dtype=np.int64)
+    def __init__(self, sketches):
+        own = [np.frombuffer(s, np.uint64) for s in sketches]
+        self.words = np.array([len(s) for s in own], np.int64)
+        self.row = np.zeros(len(own), np.int64)  # in the table of its size
+        self.packed, self.folded = {}, {}
+        for w in np.unique(self.words).tolist():
+            at = np.flatnonzero(self.words == w)
+            self.row[at] = np.arange(len(at))
+            self.packed[w] = np.stack([own[i] for i in at.tolist()])
+            if w > 1:
+                self.folded[w] = self.packed[w][:, : w // 2] ^ self.packed[w][:, w // 2 :]
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Places in which each i's sketch differs from j's; infinite where sizes are too far apart for the sets to be near."""
+        out = np.full(len(i), np.inf)
+        a, b = self.words[i], self.words[j]
+        for w, table in self.packed.items():
+            ways = [(a == w) & (b == w), (table, i), (table, j)], [(a == 2 * w) & (b == w), (self.folded.get(2 * w), i), (table, j)], [(a == w) & (b == 2 * w), (table, i), (self.folded.get(2 * w), j)]
+            for which, (x, p), (y, q) in ways:
+                which = np.flatnonzero(which)
+                for at in range(0, len(which), 1 << 16):
+                    cut = which[at : at + (1 << 16)]
+                    out[cut] = np.bitwise_count(x[self.row[p[cut]]] ^ y[self.row[q[cut]]]).sum(1, dtype=np.int64)
         return out
 
 
@@ -356,19 +364,34 @@ def _rooted(docs: DataFrame, n: int, similarity: float, id_col: str, text_col: s
     nodes = saved(marks.select("node", "id", "hash", "size", "fp", "odd").join(small(saved(first)), "node"))
     most = (1 - similarity) / (1 + similarity)  # of both sizes, values that differ
 
-    def near(columns, thin: bool):
-        size, root = columns["size"], columns["root"]
+    def near(columns, cuts, thin: bool):
+        size, root = columns["size"].astype(np.int64), columns["root"]
         sketches = Sketches(columns["odd"])
 
-        def distances(i):
-            least, largest = np.minimum(size, size[i]), np.maximum(size, size[i])
-            d = sketches.differ(i)
-            ok = (d <= most * (least + largest) + 1e-6) & (least >= similarity * largest - 1e-6) & (root != root[i])
-            return np.where(ok, d / np.maximum(least + largest, 1), np.inf)
-
-        if thin:
-            return forest(len(size), distances, most + 1e-6)
-        return [(i, int(j)) for i in range(len(size) - 1) for j in np.flatnonzero(np.isfinite(distances(i)[i + 1 :])) + i + 1]
+        def distances(i, j):
+            """Of rows: as a share of both sizes, infinite where they cannot be a link or are in one group."""
+            least, largest = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            d = np.full(len(i), np.inf)
+            maybe = np.flatnonzero((least >= similarity * largest - 1e-6) & (root[i] != root[j]))
+            d[maybe] = sketches.differ(i[maybe], j[maybe])
+            return np.where(d <= most * (least + largest) + 1e-6, d / np.maximum(least + largest, 1), np.inf)
+
+        begin, length = cuts[:-1], np.diff(cuts)
+        out = [np.empty((0, 2), np.int64)]
+        for n_rows in np.unique(length[length > 1]).tolist():
+            starts = begin[length == n_rows]
+            if n_rows <= FEW or not thin:
+                for i in range(n_rows - 1):
+                    a = np.repeat(starts + i, n_rows - 1 - i)
+                    b = a + np.tile(np.arange(1, n_rows - i), len(starts))
+                    ok = np.isfinite(distances(a, b))
+                    out.append(np.column_stack([a[ok], b[ok]]))
+            else:
+                for s in starts.tolist():
+                    at = np.arange(s, s + n_rows)
+                    found = forest(n_rows, lambda i, at=at: distances(np.full(len(at), at[i]), at), most + 1e-6)
+                    out.append(np.array(found, np.int64).reshape(-1, 2) + s)
+        return np.concatenate(out)
 
     def grouped(known: DataFrame) -> DataFrame:
         """node, root of every node, of the pairs that are links."""
@@ -388,7 +411,7 @@ def _rooted(docs: DataFrame, n: int, similarity: float, id_col: str, text_col: s
     for thin in (True, False):
         rows = met.join(small(roots), "node")
         whole = rows.join(nodes.select("node", "size", "odd"), "node")
-        pairs = _in_tiles(whole, several(rows), ["size", "root", "odd"], lambda columns, thin=thin: near(columns, thin))
+        pairs = _in_tiles(whole, several(rows), ["size", "root", "odd"], lambda columns, cuts, thin=thin: near(columns, cuts, thin))
         known = saved(known.unionByName(_verified(pairs, nodes, hashed, n, similarity)))
         roots = grouped(known)
     return saved(nodes.select("node", "id", "hash").join(small(roots), "node").select("id", "hash", "root"))
