@@ -271,6 +271,54 @@ def test_variable_words_are_generalised(spark):
     assert all("Written by" not in r["text"] for r in out)
 
 
+def _prose(rng, n, tag=""):
+    return " ".join(f"{tag}{rng.choice('abcdefgh')}{rng.choice('klmnopqr')}{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(n))
+
+
+def test_line_templates_beside_a_crowd_of_near_copies(spark):
+    """A notice in unrelated texts goes, also from a crowd of near copies that holds it; the crowd's own lines stay."""
+    rng = random.Random(4)
+    notice = "This notice may be copied freely"
+    body = [_prose(rng, 12) for _ in range(9)]
+    docs = [[_prose(rng, 10) for _ in range(5)] + [notice] for _ in range(30)]
+    for _ in range(300):
+        copy = [*body, notice]
+        for _ in range(2):
+            at = rng.randrange(9)
+            w = copy[at].split()
+            w[rng.randrange(len(w))] = _prose(rng, 1)
+            copy[at] = " ".join(w)
+        docs.append(copy)
+    df = spark.createDataFrame([(i, "\n".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"].split("\n") for r in line_templates.drop_recurring_lines(df).collect()}
+    assert all(out[i] == [x for x in d if x != notice] for i, d in enumerate(docs))
+
+
+def test_passages_of_several_lines_go(spark):
+    """Also their inner lines, and a header that begins every text; of a long line few occurrences are enough."""
+    rng = random.Random(5)
+    passage, header, long = [_prose(rng, 9) for _ in range(6)], [_prose(rng, 8) for _ in range(3)], _prose(rng, 60)
+    docs = []
+    for i in range(40):
+        own = [_prose(rng, 12) for _ in range(8)]
+        at = rng.randrange(9)
+        docs.append(header + own[:at] + (passage if i % 2 else []) + own[at:] + ([long] if i < 4 else []))
+    df = spark.createDataFrame([(i, "\n".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"].split("\n") for r in line_templates.drop_recurring_lines(df).collect()}
+    gone = {*passage, *header, long}
+    assert all(out[i] == [x for x in d if x not in gone] for i, d in enumerate(docs))
+
+
+def test_templates_share_a_leaf(spark):
+    """Three templates of one length and opening, none in half of the leaf's lines, with variable words; prose beside them stays."""
+    rng = random.Random(6)
+    forms = ["Sent by {} to our readers every week", "Sent by {} from home without any delay", "Sent by {} under terms nobody has read"]
+    docs = [[_prose(rng, 11), forms[i % 3].format(_prose(rng, 1)) if i < 60 else "Sent by " + _prose(rng, 6), _prose(rng, 13), _prose(rng, 7)] for i in range(90)]
+    df = spark.createDataFrame([(i, "\n".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"].split("\n") for r in line_templates.drop_recurring_lines(df).collect()}
+    assert all(out[i] == [x for k, x in enumerate(d) if k != 1 or i >= 60] for i, d in enumerate(docs))
+
+
 # ---- top-k ----
 
 
