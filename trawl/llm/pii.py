@@ -1,16 +1,18 @@
 """Personal data: base patterns, and further spans picked by gradient-boosted trees.
 
 Generators of high recall propose spans, which may overlap: e-mail addresses with spelled-out signs,
-telephone numbers without a plus, card numbers with unusual separators, dotted addresses with
-bracketed dots. Boosted trees score each candidate by its format and context; Platt scaling on a
-held-out part turns the scores into probabilities, and each kind has the threshold that reaches the
-precision asked for. What the base patterns find stays whatever the trees say.
+telephone numbers without a plus, card numbers with unusual separators, addresses with bracketed dots
+or of version 6, and secrets: keys, tokens and passwords. Boosted trees score each candidate by its
+format and context; on texts kept apart, Platt scaling turns scores into probabilities, and on
+others each kind gets the threshold that reaches the precision asked for. What the base patterns find
+stays whatever the trees say.
 """
 
 from __future__ import annotations
 
-import hashlib
+import bisect
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, map_arrow, table
 
-KINDS = ("email", "ip", "card", "phone")
-#: Documents the trees are fitted on, at most; they are those with the smallest hash of doc_id.
-FIT_DOCS = 1500
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
+#: Documents the trees are fitted on, at most: those with the smallest hash of doc_id, unless they have more bytes than this.
+FIT_DOCS, FIT_BYTES = 1000, 1 << 16
 #: Precision that a kind's threshold must reach on the held-out candidates.
 PRECISION = 0.98
 
@@ -89,27 +92,30 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 #: Candidate generators by kind.
 _PROPOSE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[({<] ?(?:at|@) ?[\])}>] ?[A-Za-z0-9-]{1,63}(?:(?: ?[\[({<] ?(?:dot|\.) ?[\])}>] ?|\.| dot )[A-Za-z0-9-]{2,63}){1,5}", re.I),
-    "ip": re.compile(r"(?<![0-9.])[0-9]{1,4}(?:(?:\[\.\]|\(\.\)| \. | ?\[dot\] ?)[0-9]{1,4}){3}(?![0-9])", re.I),
-    "card": re.compile(r"(?<![0-9A-Za-z])[0-9]{2,6}(?:[ ._/-]{1,2}[0-9]{2,6}){1,6}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{12,20}(?![0-9A-Za-z])"),
+    "email": re.compile(r"[A-Za-z0-9._%+-]{1,64}(?: ?[\[({<] ?(?:at|@) ?[\])}>] ?| at )[A-Za-z0-9-]{1,63}(?:(?: ?[\[({<] ?(?:dot|\.) ?[\])}>] ?|\.| dot )[A-Za-z0-9-]{2,63}){1,5}", re.I),
+    "ip": re.compile(r"(?<![0-9.])[0-9]{1,4}(?:(?:\[\.\]|\(\.\)| \. | ?\[dot\] ?| dot )[0-9]{1,4}){3}(?![0-9])|(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:{1,2}){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", re.I),
+    "card": re.compile(r"(?<![0-9A-Za-z])[0-9]{2,6}(?:[ ._/-]{1,3}[0-9]{2,6}){1,6}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{12,20}(?![0-9A-Za-z])"),
     "phone": re.compile(r"(?<![0-9A-Za-z+])(?:00[0-9]|\([0-9]{2,5}\)|[0-9]{2,5})[ ./()-]{0,2}[0-9]{2,8}(?:[ ./()-]{1,2}[0-9]{2,8}){0,5}(?![0-9A-Za-z])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{10,}={0,2}|(?<=[=:\"'])(?=[!-~]*[0-9])[!#-&(-~]{6,}"),
 }
+#: What a text must hold, in lower case, to have candidates at all.
+_NEEDS = {"email": re.compile(r"[\[({<] ?(?:at|@) ?[\])}>]| at [a-z0-9-]+(?:\.[a-z]| ?[\[({<] ?dot| dot )"), **dict.fromkeys(("ip", "card", "phone", "secret"), re.compile("[0-9]"))}
 #: Words that stand before personal data, by kind.
 _CUES = {
     "email": ("mail", "contact", "write", "@"),
     "ip": ("ip", "addr", "host", "server"),
     "card": ("card", "visa", "credit", "pay", "karte", "carte", "tarjeta"),
     "phone": ("tel", "phone", "call", "fax", "mobil", "contact", "whats"),
+    "secret": ("pass", "pwd", "secret", "token", "key", "auth", "credential", "bearer"),
 }
-_SEPARATORS = " .-/()[]_"
+_SEPARATORS = " .-/()[]_:"
 
 
 def candidates(text: str, kinds=KINDS):
     for kind in kinds:
-        if kind == "email" and not re.search(r"[\[({<] ?(?:at|@) ?[\])}>]", text, re.I):
-            continue
-        for m in _PROPOSE[kind].finditer(text):
-            yield kind, m.start(), m.end()
+        if _NEEDS[kind].search(text.lower() if kind == "email" else text):
+            for m in _PROPOSE[kind].finditer(text):
+                yield kind, m.start(), m.end()
 
 
 def features(kind: str, text: str, start: int, end: int) -> list[float]:
@@ -120,6 +126,9 @@ def features(kind: str, text: str, start: int, end: int) -> list[float]:
     before, after = text[max(0, start - 24) : start], text[end : end + 12]
     ip = [int(g) for g in groups[:4] if len(g) < 5]
     sizes = [len(g) for g in groups] or [0]
+    classes = ["0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else "." for c in span]
+    letters = re.findall("[A-Za-z]+", span)
+    counts = Counter(span)
     return [
         len(span), len(digits), len(groups), max(sizes), min(sizes), sizes[0], sizes[-1], len(set(sizes)),
         *(span.count(c) for c in _SEPARATORS),
@@ -133,6 +142,10 @@ def features(kind: str, text: str, start: int, end: int) -> list[float]:
         float(any(w in before.lower() for w in _CUES[kind])),
         float(before[-1:].isalnum()), float(before[-1:] in "=#$€£:\"'/"), float(after[:1].isalnum()), float(after[:1] in "%€$\"'/"),
         sum(c.isdigit() for c in before), sum(c.isdigit() for c in after),
+        sum(a != b for a, b in zip(classes, classes[1:], strict=False)) / len(span),
+        -sum(c / len(span) * np.log2(c / len(span)) for c in counts.values()),
+        max(map(len, letters), default=0), classes.count("A") / len(span), classes.count("a") / len(span),
+        float(all(c in "0123456789abcdefABCDEF" for c in span)), sum(c in "aeiouAEIOU" for c in span) / len(span),
     ]
 
 
@@ -205,98 +218,186 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-np.clip(a * self.raw(x) + b, -30, 30)))
 
 
+def _some(rng, letters: str, low: int, high: int) -> str:
+    return "".join(letters[i] for i in rng.integers(0, len(letters), int(rng.integers(low, high + 1))))
+
+
+_DIGITS, _LOWER, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
+_ALNUM = _DIGITS + _LOWER + _LOWER.upper()
+
+
+def _made(kind: str, rng) -> str:
+    """Personal data of a kind, made up, in the form that the base patterns match; of a secret, any."""
+    if kind == "email":
+        return f"{_some(rng, _LOWER, 2, 8)}{'._'[rng.integers(2)]}{_some(rng, _LOWER + _DIGITS, 1, 8)}@{_some(rng, _LOWER, 3, 10)}.{('com', 'org', 'net', 'de', 'co.uk')[rng.integers(5)]}"
+    if kind == "ip":
+        return ".".join(map(str, rng.integers(1, 256, 4)))
+    if kind == "card":
+        d = "3456"[rng.integers(4)] + _some(rng, _DIGITS, 14, 14)
+        return next(d + c for c in _DIGITS if luhn(d + c))
+    if kind == "phone":
+        return f"+{rng.integers(1, 99)} {_some(rng, '123456789', 1, 1)}{_some(rng, _DIGITS, 8, 9)}"
+    body = (
+        lambda: _some(rng, _LOWER.upper(), 2, 5) + _some(rng, _LOWER.upper() + _DIGITS, 14, 30),
+        lambda: _some(rng, _HEX, 16, 64),
+        lambda: _some(rng, _ALNUM, 14, 48),
+        lambda: f"{_some(rng, _LOWER, 2, 4)}{'_-'[rng.integers(2)]}{_some(rng, _ALNUM, 16, 40)}",
+        lambda: _some(rng, _ALNUM + "+/", 24, 60) + "="[: rng.integers(2)],
+        lambda: _some(rng, _ALNUM + "!#%*", 8, 16),
+    )
+    form = int(rng.integers(len(body)))
+    value = body[form]()
+    while not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
+        value = body[form]()
+    return value
+
+
 def _rewritten(kind: str, span: str, rng) -> str:
-    """A base match in a form that the base patterns miss."""
+    """Personal data in a form that the base patterns miss."""
     digits = re.sub("[^0-9]", "", span)
     if kind == "email":
         local, host = span.split("@", 1)
-        at = ("[at]", "(at)", " [at] ", " (at) ", "{at}")[rng.integers(5)]
-        dot = (".", "[dot]", " (dot) ", " dot ")[rng.integers(4)]
+        at = ("[at]", "(at)", " [at] ", " (at) ", "{at}", "[@]", " at ")[rng.integers(7)]
+        dot = (".", "[dot]", " (dot) ", " dot ", "[.]")[rng.integers(5) if at != " at " else 3]
         return local + at + host.replace(".", dot)
     if kind == "ip":
-        return span.replace(".", ("[.]", "(.)", " . ", "[dot]")[rng.integers(4)])
+        if rng.integers(4) == 0:
+            return ":".join(_some(rng, _HEX, 1, 4) for _ in range(8))
+        return span.replace(".", ("[.]", "(.)", " . ", "[dot]", " dot ")[rng.integers(5)])
     if kind == "card":
         sep = (".", "/", "_", " - ", "  ")[rng.integers(5)]
         return sep.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    if kind == "secret":
+        return span
     d = digits[-10:]
-    return (f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}", f"00{digits[:2]} {d[:3]} {d[3:]}", f"0{d[1:4]}/{d[4:]}")[rng.integers(5)]
+    return (f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}", f"00{digits[:2]} {d[:3]} {d[3:]}", f"0{d[1:4]}/{d[4:]}", f"0{d[1:5]} {d[5:]}", f"{d[:3]} {d[3:6]} {d[6:]}")[rng.integers(7)]
 
 
 def _decoy(kind: str, rng) -> str:
     """Something of similar shape that is no personal data."""
-    n = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    n = lambda k: _some(rng, _DIGITS, k, k)
+    w = lambda: _some(rng, _LOWER, 3, 11)
     if kind == "email":
-        return f"{n(3)} (at) {n(2)}.{n(2)}"
+        return (f"{n(3)} (at) {n(2)}.{n(2)}", f"{w()} at {w()}.{w().title()}", f"{w()} at {w()} dot {w()}")[rng.integers(3)]
     if kind == "ip":
-        return ("[.]", " . ", "(.)")[rng.integers(3)].join(str(x) for x in rng.integers(256, 2000, 4))
+        return (("[.]", " . ", "(.)")[rng.integers(3)].join(str(x) for x in rng.integers(256, 2000, 4)), f"{n(2)}:{n(2)}:{n(2)}:{n(3)}", f"{n(1)}:{n(2)}:{n(2)}:{n(1)}")[rng.integers(3)]
     if kind == "card":
-        d = n(int(rng.integers(12, 20)))
+        d = _some(rng, _DIGITS, 12, 19)
         d = d[:-1] + str((int(d[-1]) + 1) % 10) if luhn(d) else d
         sep = ("", ".", "/", "_", " - ", "  ", " ", "-")[rng.integers(8)]
         return sep.join(d[i : i + 4] for i in range(0, len(d), 4))
+    if kind == "secret":
+        forms = (
+            f"{w()}{w()}{n(4)}", f"{w()}-{w()}-{n(2)}-{w()}", f"{w()}_{w()}_v{n(1)}", f"{w().title()}{w().title()}{n(2)}", f"{w()}-20{n(2)}-{n(2)}-{n(2)}", f"{n(4)}-{n(2)}-{n(2)}T{n(2)}",
+            f"{w()}/{w()}/{n(3)}/{w()}", f"{w().upper()}-{n(5)}", f"{n(6)}{w()[:2]}{n(6)}", f"{w()}{n(1)}-{w()}{n(1)}", f"{w()}{n(6)}", f"{n(13)}X"[-12:],
+        )
+        return forms[rng.integers(len(forms))]
     y, m = rng.integers(1900, 2100), f"{rng.integers(1, 13):02d}"
-    return (f"{y}-{m}-{n(2)}", f"{n(2)}.{m}.{y}", f"{n(2)}/{m}/{y}", f"{y}-{y + 1}", f"{n(3)}.{n(2)}", n(int(rng.integers(4, 9))), f"{n(2)} {n(3)}", f"{n(3)}.{n(3)}.{n(3)}", f"{n(4)}-{n(2)}", f"{n(3)}.{n(3)}")[rng.integers(10)]
+    return (f"{y}-{m}-{n(2)}", f"{n(2)}.{m}.{y}", f"{n(2)}/{m}/{y}", f"{y}-{y + 1}", f"{n(3)}.{n(2)}", _some(rng, _DIGITS, 4, 8), f"{n(2)} {n(3)}", f"{n(3)}.{n(3)}.{n(3)}", f"{n(4)}-{n(2)}", f"{n(3)}.{n(3)}")[rng.integers(10)]
+
+
+#: What may stand before a made-up secret, and after it.
+_SETTING = (("", ""), ("", ""), ("password=", ""), ("token = \"", "\""), ("api_key: ", ""), ("secret='", "'"), ("key=", ""))
 
 
 def fit(texts: list[str], seed: int = 7) -> tuple[dict[str, BoostedTrees], dict[str, float]]:
-    """Trees and thresholds by kind.
+    """Trees and thresholds by kind; none without texts, or where no threshold reaches PRECISION.
 
-    Positive candidates are base matches in the given texts, rewritten in place into forms that the
-    base patterns miss; negative ones are look-alikes put in the same places, and what the
-    generators propose elsewhere in the texts beside the base matches.
+    Positive candidates are base matches in the given texts, all of them, and made-up data put
+    between words, rewritten into forms that the base patterns miss; negative ones are look-alikes
+    put in the same places, and what the generators propose elsewhere in the texts beside the base
+    matches, except secrets, which texts may hold unmarked. Six texts of ten fit the trees, two
+    the scaling and two the threshold.
     """
     rng = np.random.default_rng(seed)
-    rows = {k: ([], []) for k in KINDS}
+    rows = {k: ([], [], []) for k in KINDS}
 
-    def add(kind, text, lo, hi, label):
+    def add(kind, part, left, new, right, label):
+        text, lo, hi = left + new + right, len(left), len(left) + len(new)
         for k, s, e in candidates(text, (kind,)):
             if s < hi and e > lo:
                 rows[k][0].append(features(k, text, s, e))
                 rows[k][1].append(float(label and s <= lo and e >= hi))
+                rows[k][2].append(part)
 
     for text in texts:
+        part = int(rng.integers(10))
         spans = base_spans(text)
-        for kind, lo, hi in spans[:8]:
+        places = [(kind, lo, hi, text[lo:hi]) for kind, lo, hi in spans]
+        blanks = [i for i, c in enumerate(text[:-1]) if c == " "]
+        if blanks:
+            places += [(kind, at, at, _made(kind, rng)) for kind in KINDS for at in [blanks[rng.integers(len(blanks))] + 1]]
+        for kind, lo, hi, found in places:
+            left, right = text[max(0, lo - 60) : lo], text[hi : hi + 60]
+            right = right if hi > lo else " " + right
             for label in (1, 1, 0, 0):
-                new = _rewritten(kind, text[lo:hi], rng) if label else _decoy(kind, rng)
-                left, right = text[max(0, lo - 60) : lo], text[hi : hi + 60]
-                add(kind, left + new + right, len(left), len(left) + len(new), label)
-        for kind, lo, hi in candidates(text):
-            if not any(s < hi and e > lo for _, s, e in spans):
+                before, after = _SETTING[rng.integers(len(_SETTING))] if kind == "secret" and label else ("", "")
+                new = _rewritten(kind, found, rng) if label else _decoy(kind, rng)
+                add(kind, part, left + before, new, after + right, label)
+        taken = _Intervals((lo, hi) for _, lo, hi in spans)
+        for kind, lo, hi in candidates(text, BASE_KINDS):
+            if not taken.meets(lo, hi):
                 rows[kind][0].append(features(kind, text, lo, hi))
                 rows[kind][1].append(0.0)
+                rows[kind][2].append(part)
     models, thresholds = {}, {}
-    for kind, (xs, ys) in rows.items():
-        if sum(ys) < 20 or len(ys) - sum(ys) < 20:
-            continue  # too few to learn from: this kind keeps its base matches alone
-        x, y = np.array(xs), np.array(ys)
-        held = rng.random(len(y)) < 0.25
-        model = BoostedTrees().fit(x[~held], y[~held]).calibrate(x[held], y[held])
-        p = model.probability(x[held])
-        levels = [t for t in np.linspace(0.5, 0.99, 50) if (p >= t).any() and y[held][p >= t].mean() >= PRECISION]
-        if levels:
-            models[kind], thresholds[kind] = model, float(levels[0])
+    for kind, (xs, ys, parts) in rows.items():
+        x, y, part = np.array(xs), np.array(ys), np.array(parts)
+        trained, scaled, judged = part < 6, (part == 6) | (part == 7), part > 7
+        if any(len(set(y[p].tolist())) < 2 for p in (trained, scaled, judged)):
+            continue
+        model = BoostedTrees().fit(x[trained], y[trained]).calibrate(x[scaled], y[scaled])
+        p = model.probability(x[judged])
+        order = np.argsort(-p, kind="stable")
+        precision = np.cumsum(y[judged][order]) / np.arange(1, len(order) + 1)
+        last = np.append(p[order][1:] != p[order][:-1], True)  # a threshold takes all candidates of one probability
+        good = np.flatnonzero((precision >= PRECISION) & last)
+        if len(good):
+            models[kind], thresholds[kind] = model, max(0.5, float(p[order][good[-1]]))
     return models, thresholds
 
 
-def find(texts: list[str], models: dict, thresholds: dict) -> list[list[tuple[str, int, int]]]:
-    """All spans of each text: base matches, then accepted candidates that overlap no other span."""
-    spans = [base_spans(t) for t in texts]
+class _Intervals:
+    """Spans that do not overlap after adding; whether another meets one of them takes a bisection."""
+
+    def __init__(self, spans=()):
+        self.starts, self.ends = [], []
+        for s, e in sorted(spans):
+            self.add(s, e)
+
+    def add(self, start: int, end: int) -> None:
+        """Those it meets are joined with it."""
+        i, j = bisect.bisect_right(self.ends, start), bisect.bisect_left(self.starts, end)
+        if i < j:
+            start, end = min(start, self.starts[i]), max(end, self.ends[j - 1])
+        self.starts[i:j], self.ends[i:j] = [start], [end]
+
+    def meets(self, start: int, end: int) -> bool:
+        return bisect.bisect_right(self.ends, start) < bisect.bisect_left(self.starts, end)
+
+
+def find(texts: list[str], models: dict, thresholds: dict) -> list[list[tuple[str, int, int, bool]]]:
+    """All spans of each text: base matches (marked so), then accepted candidates that overlap no other span."""
+    base = [base_spans(t) for t in texts]
+    taken = [_Intervals((s, e) for _, s, e in b) for b in base]
+    spans = [[(*x, True) for x in b] for b in base]
     for kind, model in models.items():
-        found = [(i, s, e) for i, t in enumerate(texts) if kind == "email" or _DIGIT.search(t) for _, s, e in candidates(t, (kind,))]
+        found = [(i, s, e) for i, t in enumerate(texts) for _, s, e in candidates(t, (kind,)) if not taken[i].meets(s, e)]
         if not found:
             continue
         p = model.probability(np.array([features(kind, texts[i], s, e) for i, s, e in found]))
         for k in np.argsort(-p, kind="stable"):
             i, s, e = found[k]
-            if p[k] >= thresholds[kind] and not any(a < e and b > s for _, a, b in spans[i]):
-                spans[i].append((kind, s, e))
+            if p[k] >= thresholds[kind] and not taken[i].meets(s, e):
+                spans[i].append((kind, s, e, False))
+                taken[i].add(s, e)
     order = {k: i for i, k in enumerate(KINDS)}
     return [sorted(s, key=lambda x: (order[x[0]], x[1])) for s in spans]
 
 
-def fit_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = FIT_DOCS) -> list[str]:
-    return [r[text_col] or "" for r in bounded_sample(docs.select(id_col, text_col), id_col, n).collect()]
+def fit_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = FIT_DOCS, size: int = FIT_BYTES) -> list[str]:
+    """Texts of at most n documents, without those of more than `size` bytes: no more than n times size bytes."""
+    return [r[0] or "" for r in bounded_sample(docs.select(id_col, text_col), id_col, n).where(F.coalesce(F.octet_length(text_col), F.lit(0)) <= size).select(text_col).collect()]
 
 
 def detect_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: tuple | None = None) -> DataFrame:
@@ -304,14 +405,15 @@ def detect_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Returns doc_id and spans, an array of kind, start, end (code points, end exclusive) and base,
     which tells what the base patterns matched; ordered by kind, then start. A null or empty text has no
-    spans. Null and repeated doc_ids keep their rows; other columns are ignored.
+    spans. Null and repeated doc_ids keep their rows; other columns are ignored. An empty table gives an
+    empty result; without texts to learn from only base matches are found.
     """
     models, thresholds = model or fit(fit_sample(docs, id_col, text_col))
 
     def start():
         def work(rows):
             found = find([t or "" for _, t in rows], models, thresholds)
-            return [(d, [{"kind": k, "start": s, "end": e, "base": (k, s, e) in base} for k, s, e in f]) for (d, t), f in zip(rows, found, strict=True) for base in [set(base_spans(t or ""))]]
+            return [(d, [{"kind": k, "start": s, "end": e, "base": b} for k, s, e, b in f]) for (d, _), f in zip(rows, found, strict=True)]
 
         return work
 
@@ -329,7 +431,10 @@ def redact(text: str, spans) -> str:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each kind and of all spans, a digest of the base spans, and all spans as text. Of nulls,
+    empty tables and repeated rows see detect_pii()."""
     found = detect_pii(table(spark, sf_dir, "documents"))
     text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     n = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *(n(k) for k in KINDS), F.sha2(text(F.filter("spans", lambda x: x["base"])), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+    digest = F.sha2(text(F.filter("spans", lambda x: x["base"])), 256).alias("base_sha256")
+    return found.select("doc_id", *(n(k) for k in BASE_KINDS), digest, text(F.col("spans")).alias("spans"), n("secret"), F.size("spans").cast("long").alias("n_spans"))
