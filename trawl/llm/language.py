@@ -24,6 +24,8 @@ FILTERS = 8
 FIT_DOCS = 2500
 #: Windows taken from each of them for training.
 FIT_WINDOWS = 3
+#: Bytes of a document learned from, at most.
+FIT_BYTES = 1 << 16
 UNDETERMINED = "und"
 
 
@@ -149,14 +151,16 @@ def fit(rows: list[tuple[str, str]], seed: int = 4) -> ByteConvNet:
             xs.append(x[pick])
             ys += [labels.index(label)] * len(pick)
     if not xs:
-        return ByteConvNet.new(labels or [UNDETERMINED]).compiled()
+        return ByteConvNet.new([UNDETERMINED]).compiled()
     return ByteConvNet.new(labels).train(np.concatenate(xs), np.array(ys)).compiled()
 
 
 def fit_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", n: int = FIT_DOCS) -> ByteConvNet:
-    """Learns from at most n documents with a language whose id's crc32 modulo 4 is not 2."""
+    """Learns from at most n documents with a language whose id's crc32 modulo 4 is not 2, those of more
+    than FIT_BYTES bytes left out, and from at most FIT_WINDOWS windows of each. Null and empty texts teach
+    nothing; without any text to learn from, the network knows no language and says `und` of all."""
     known = docs.select(id_col, text_col, lang_col).where(F.col(lang_col).isNotNull() & (fold_of(id_col, 4) != 2))
-    rows = bounded_sample(known, id_col, n).collect()
+    rows = bounded_sample(known, id_col, n).where(F.octet_length(text_col) <= FIT_BYTES).collect()
     return fit(sorted((r[text_col], r[lang_col]) for r in rows if r[text_col]))
 
 
@@ -179,7 +183,13 @@ MIN_SCORE = 0.3
 
 
 def keep_identified(docs: DataFrame, model: ByteConvNet, min_score: float = MIN_SCORE, text_col: str = "text") -> DataFrame:
-    """The documents, all columns kept, whose language is determined with at least min_score."""
+    """The documents, all columns kept, whose language is determined with at least min_score.
+
+    Null texts and texts without letters go. A model that has learned no language can reject none: all
+    documents stay. Repeated rows are treated alike; an empty table gives an empty result.
+    """
+    if model.labels == [UNDETERMINED]:
+        return docs
     net = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
