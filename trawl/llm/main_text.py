@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,7 @@ def blocks(page: str) -> list[Block]:
     """Blocks with text in page order."""
     out: list[Block] = []
     stack: list[tuple[str, int, bool, int, int]] = []  # element, boilerplate, in the article, section, number
+    is_open: Counter[str] = Counter()
     current, links, section, at, count = None, 0, 0, 0, 0
 
     def top():
@@ -125,7 +127,7 @@ def blocks(page: str) -> list[Block]:
             links = max(0, links + (-1 if closing else 1)) if closing or not links else links
         if not closing:
             while stack and stack[-1][0] in _IMPLIED and name in _IMPLIED[stack[-1][0]]:
-                stack.pop()
+                is_open[stack.pop()[0]] -= 1
             boiler, inside, part = top()
             if name in BLOCKS or name in ASIDE:
                 marks = " ".join(next(filter(None, g), "") for k, *g in _ATTRIBUTE.findall(attributes) if k.lower() in ("class", "id", "role")) if attributes else ""
@@ -145,9 +147,12 @@ def blocks(page: str) -> list[Block]:
                 if not m[4] or name not in VOID:
                     count += 1
                     stack.append((name, boiler, inside, part, count))
-        elif any(e[0] == name for e in stack):
-            while stack.pop()[0] != name:
-                pass
+                    is_open[name] += 1
+        elif is_open[name]:
+            ended = ""
+            while ended != name:
+                ended = stack.pop()[0]
+                is_open[ended] -= 1
             links = 0 if name in BLOCKS else links
     return out
 
