@@ -211,12 +211,13 @@ def test_containment_equals_brute_force(spark, monkeypatch):
             at = rng.randint(0, len(w))
             w[at:at] = item
         docs.append((d, " ".join(w)))
-    docs += [(100, None), (None, items[0][1]), (101, "ONE  two"), (101, "ONE  two")]
+    docs += [(100, None), (None, items[0][1]), (101, "ONE  two"), (101, "ONE  two"), (102, "there is one\ttwo in here"), (103, "one and two")]
     expected = []
     for d, t in docs:
-        own = set(shingles(words(t), 5))
         for i, s in items:
+            size = min(5, len(words(s)))  # an item of fewer words is one shingle of all of them
             theirs = set(shingles(words(s), 5))
+            own = set(shingles(words(t), size)) if size and len(words(t)) >= size else set()
             if theirs and len(theirs & own) >= 0.8 * len(theirs):
                 expected.append((i, d, len(theirs), len(theirs & own)))
     d = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, item_id int")
@@ -356,6 +357,36 @@ def test_topk_huge_numbers_and_empty_vectors(spark):
 # ---- pipeline ----
 
 
+EDGE_COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES[1:])
+def test_pipeline_stages_on_edges(spark, name, stage):
+    """Nulls in any column, empty, long and repeated texts; extra columns of clashing names go; empty tables."""
+    sf = "/root/testdata/sf0.001"
+    rows = [(1, "a b c", "en", "s", 5), (1, "a b c", "en", "s", 5), (None, None, None, None, None), (2, "", "en", None, 0), (3, "word " * 60_000, None, "s", None), (4, None, "en", "s", 1), (5, "\n\n", "en", "s", 2)]
+    docs = spark.createDataFrame([(*r, 7, b"x", "y") for r in rows], EDGE_COLUMNS + ", node int, hash binary, places string")
+    out = stage(spark, docs.select(*corpus_pipeline.COLUMNS) if name == "bpe" else docs, sf)
+    if name != "bpe":
+        assert out.columns == corpus_pipeline.COLUMNS
+    ids = sorted(str(r["doc_id"]) for r in out.collect())
+    # Empty and null texts are alike, and of equal rows one stays; the least id, null before all, is kept.
+    assert ids == (["1", "3", "None"] if name == "near_duplicates" else ["1", "1", "2", "3", "4", "5", "None"])
+    assert stage(spark, spark.createDataFrame([], EDGE_COLUMNS), sf).count() == 0
+
+
+def test_language_stage_on_edges(spark):
+    """Texts without letters go; without a language to learn, or texts to learn from, all documents stay."""
+    stage = dict(corpus_pipeline.STAGES)["language"]
+    en = "The quick brown fox jumps over the lazy dog and runs into the woods. "
+    rows = [(i, en * 3, "en", "s", 5) for i in range(20)] + [(100, None, "en", "s", 0), (101, "", None, "s", 0), (102, "1 2 3", None, None, None), (None, en, None, "s", 1)]
+    out = [r["doc_id"] for r in stage(spark, spark.createDataFrame(rows, EDGE_COLUMNS), "").collect()]
+    assert sorted(map(str, out)) == sorted(["None", *map(str, range(20))])
+    for unlabelled in ([(i, en, None, "s", 5) for i in range(3)], [(i, None, "en", "s", 5) for i in range(3)], [(2, "", "en", "s", 0)]):
+        assert stage(spark, spark.createDataFrame(unlabelled, EDGE_COLUMNS), "").count() == len(unlabelled)
+    assert stage(spark, spark.createDataFrame([], EDGE_COLUMNS), "").count() == 0
+
+
 def test_pipeline_stages(spark):
     """Every stage on what the one before kept: columns, and decisions against brute force."""
     sf = "/root/testdata/sf0.01"

@@ -50,10 +50,12 @@ def fold_of(column: str, modulus: int):
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which all executors of a cluster share.
 
-    The setting is made here only when it is absent, as in local tests.
+    A local session without the setting, as in tests, gets a folder of its own; a cluster must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(shared_dir, "local", None)
         if base is None:
             base = shared_dir.local = "file://" + tempfile.mkdtemp(prefix="trawl-shared-")
@@ -105,8 +107,8 @@ def slices(batch: pa.RecordBatch, column: int, size: int):
         at = to
 
 
-#: Rows of up to a few dozen bytes that may go to all executors at once.
-BROADCAST_ROWS = 1 << 20
+#: Rows that may go to all executors at once: of a few hundred bytes, and of two or three integers.
+BROADCAST_ROWS, BROADCAST_KEYS = 1 << 17, 1 << 20
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -140,7 +140,8 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = saved(paths.groupBy(*leaf).agg(F.count("*").alias("c")).where(F.col("c") >= _least(F.col("n"))).drop("c"))
     kept = saved(paths.join(small(full), leaf).select("id", "hash", "traits", "place", *leaf, "masked", F.md5("masked").alias("own")))
 
-    distinct = saved(kept.groupBy(*leaf, "own").agg(F.first("masked").alias("masked"), F.count_distinct("hash").alias("w")))
+    distinct = kept.groupBy(*leaf, "own", "hash").agg(F.first("masked").alias("masked"))
+    distinct = saved(distinct.groupBy(*leaf, "own").agg(F.first("masked").alias("masked"), F.count("*").alias("w")))
     # Leaves with one distinct line need no generalising.
     several = saved(distinct.groupBy(*leaf).agg(F.count("*").alias("c"), F.sum("w").alias("all")).where("c > 1").drop("c"))
     varied = distinct.join(small(several), leaf)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import bounded_sample, map_arrow, saved, shingles, slices, small, table, words
+from .common import BROADCAST_KEYS, bounded_sample, map_arrow, saved, shingles, slices, small, table, words
 
 SEED = 42
 #: Fingerprints of a tile; a meeting place of more is compared tile by tile.
@@ -117,7 +117,7 @@ def _in_tiles(rows: DataFrame, full: DataFrame, columns: list[str], compare) ->
     many nodes is cut into tiles, and each pair of tiles goes to a task by itself. compare gets a
     dictionary of columns and where places begin and end in them, and gives pairs of row numbers.
     """
-    met = rows.join(small(full), "key")
+    met = rows.join(small(full, BROADCAST_KEYS), "key")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     own = F.pmod(F.xxhash64("node"), tiles).cast("int")
     dealt = met.withColumn("tiles", tiles).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -231,17 +231,17 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     ends = np.append(0, np.cumsum(real))[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
 
     def mixed(k: int) -> np.ndarray:
-        out = np.full(max(0, len(h) - k + 1), k, np.uint64)
+        out = np.full(len(h) - k + 1, k, np.uint64)
         for i in range(k):  # each place mixes the value so far, so the order of words counts
             out = (out ^ (out >> np.uint64(29))) * _ODD[0] + h[i : len(h) - k + 1 + i]
         out = (out ^ (out >> np.uint64(32))) * _ODD[1]
         return out ^ (out >> np.uint64(29))
 
-    by_size = {n: mixed(n)}
+    by_size: dict[int, np.ndarray] = {}
     sets = []
     for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
         k = min(n, e - s)
-        if k not in by_size:
+        if k and k not in by_size:
             by_size[k] = mixed(k)
         own = np.sort(by_size[k][s : e - k + 1]) if k else h[:0]
         sets.append(own[np.append(True, own[1:] != own[:-1])] if len(own) > 1 else own)
@@ -330,7 +330,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, hashed: DataFrame, n: int, sim
 
 
 #: Bytes of text that are cut into shingles at a time.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 
 
 def _rooted(docs: DataFrame, n: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
@@ -361,7 +361,7 @@ def _rooted(docs: DataFrame, n: int, similarity: float, id_col: str, text_col: s
     marks = saved(hashed.mapInArrow(marked, schema).withColumn("node", F.monotonically_increasing_id()))
     # One node for each different text.
     first = marks.groupBy("hash").agg(F.min(F.struct("id", "node")).alias("first")).select("first.node")
-    nodes = saved(marks.select("node", "id", "hash", "size", "fp", "odd").join(small(saved(first)), "node"))
+    nodes = saved(marks.select("node", "id", "hash", "size", "fp", "odd").join(small(saved(first), BROADCAST_KEYS), "node"))
     most = (1 - similarity) / (1 + similarity)  # of both sizes, values that differ
 
     def near(columns, cuts, thin: bool):
@@ -396,7 +396,7 @@ def _rooted(docs: DataFrame, n: int, similarity: float, id_col: str, text_col: s
     def grouped(known: DataFrame) -> DataFrame:
         """node, root of every node, of the pairs that are links."""
         roots = saved(components(known))
-        return saved(nodes.select("node").join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node")))
+        return saved(nodes.select("node").join(small(roots, BROADCAST_KEYS), "node", "left").withColumn("root", F.coalesce("root", "node")))
 
     def several(rows: DataFrame) -> DataFrame:
         """key, n of the keys that nodes of different roots have."""
@@ -406,15 +406,15 @@ def _rooted(docs: DataFrame, n: int, similarity: float, id_col: str, text_col: s
     # Near copies first, by their fingerprints, so that few values are shared between groups.
     known = _verified(links(nodes.select("node", "fp"), NEAR_BITS), nodes, hashed, n, similarity)
     roots = grouped(known)
-    rows = marks.select("node", "rare").join(small(roots), "node").select(F.explode("rare").alias("key"), "node", "root")
-    met = saved(rows.join(small(several(rows)), "key").select("key", "node"))
+    rows = marks.select("node", "rare").join(small(roots, BROADCAST_KEYS), "node").select(F.explode("rare").alias("key"), "node", "root")
+    met = saved(rows.join(small(several(rows), BROADCAST_KEYS), "key").select("key", "node"))
     for thin in (True, False):
-        rows = met.join(small(roots), "node")
+        rows = met.join(small(roots, BROADCAST_KEYS), "node")
         whole = rows.join(nodes.select("node", "size", "odd"), "node")
         pairs = _in_tiles(whole, several(rows), ["size", "root", "odd"], lambda columns, cuts, thin=thin: near(columns, cuts, thin))
         known = saved(known.unionByName(_verified(pairs, nodes, hashed, n, similarity)))
         roots = grouped(known)
-    return saved(nodes.select("node", "id", "hash").join(small(roots), "node").select("id", "hash", "root"))
+    return saved(nodes.select("node", "id", "hash").join(small(roots, BROADCAST_KEYS), "node").select("id", "hash", "root"))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
