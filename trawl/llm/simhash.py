@@ -110,17 +110,16 @@ def forest(n: int, distances, limit: float) -> list[tuple[int, int]]:
     return out
 
 
-def _in_tiles(rows: DataFrame, full: DataFrame, columns: list[str], compare) -> DataFrame:
+def _in_tiles(rows: DataFrame, columns: list[str], compare) -> DataFrame:
     """a, b: what compare() finds among the nodes of each meeting place, distinct.
 
-    rows: key, node, whatever compare needs; full: key, n (nodes) of the places to look at. A place of
-    many nodes is cut into tiles, and each pair of tiles goes to a task by itself. compare gets a
-    dictionary of columns and where places begin and end in them, and gives pairs of row numbers.
+    rows: key, node, n (nodes of the place), whatever compare needs. A place of many nodes is cut into
+    tiles, and each pair of tiles goes to a task by itself. compare gets a dictionary of columns and
+    where places begin and end in them, and gives pairs of row numbers.
     """
-    met = rows.join(small(full, BROADCAST_KEYS), "key")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     own = F.pmod(F.xxhash64("node"), tiles).cast("int")
-    dealt = met.withColumn("tiles", tiles).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = rows.withColumn("tiles", tiles).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("t"), F.greatest("own", "other").alias("u"), "node", *columns)
     dealt = dealt.repartition("key", "t", "u").sortWithinPartitions("key", "t", "u", "node")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -165,7 +164,7 @@ def links(nodes: DataFrame, limit: int) -> DataFrame:
                 out += [(s + i, s + j) for i, j in forest(e - s, lambda i, fps=fps: np.bitwise_count((fps ^ fps[i]).view(np.uint64)), limit)]
         return out
 
-    return _in_tiles(rows.select("key", "node", "fp"), full, ["fp"], compare)
+    return _in_tiles(rows.select("key", "node", "fp").join(small(full, BROADCAST_KEYS), "key"), ["fp"], compare)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -306,6 +305,22 @@ class Sketches:
         return out
 
 
+def _sketched(pairs: DataFrame, nodes: DataFrame, most: float) -> DataFrame:
+    """The pairs a, b of nodes whose sketches do not rule out that they differ in no more than that share of both sizes."""
+    for end in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("odd").alias(f"odd_{end}")), end)
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            sketches = Sketches([*batch.column("odd_a").to_pylist(), *batch.column("odd_b").to_pylist()])
+            both = batch.column("size_a").to_numpy().astype(np.int64) + batch.column("size_b").to_numpy()
+            near = sketches.differ(np.arange(n), np.arange(n, 2 * n)) <= most * both + 1e-6
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, hashed: DataFrame, n: int, similarity: float) -> DataFrame:
     """The pairs a, b of nodes whose shingle sets are as similar as asked for, saved."""
     pairs = saved(pairs)
@@ -362,19 +377,20 @@ def _rooted(docs: DataFrame, n: int, similarity: float, id_col: str, text_col: s
     # One node for each different text.
     first = marks.groupBy("hash").agg(F.min(F.struct("id", "node")).alias("first")).select("first.node")
     nodes = saved(marks.select("node", "id", "hash", "size", "fp", "odd").join(small(saved(first), BROADCAST_KEYS), "node"))
-    most = (1 - similarity) / (1 + similarity)  # of both sizes, values that differ
+    # Of both sizes, what links have in common at least and what differs at most.
+    shared, most = similarity / (1 + similarity), (1 - similarity) / (1 + similarity)
 
     def near(columns, cuts, thin: bool):
-        size, root = columns["size"].astype(np.int64), columns["root"]
-        sketches = Sketches(columns["odd"])
+        size, rest, root = columns["size"].astype(np.int64), columns["rest"], columns["root"]
+        sketches = Sketches(columns["odd"]) if "odd" in columns else None
 
         def distances(i, j):
-            """Of rows: as a share of both sizes, infinite where they cannot be a link or are in one group."""
-            least, largest = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            """Of rows, by their sketches if there are any: as a share of both sizes, infinite where they cannot be a link or are in one group."""
+            both = size[i] + size[j]
             d = np.full(len(i), np.inf)
-            maybe = np.flatnonzero((least >= similarity * largest - 1e-6) & (root[i] != root[j]))
-            d[maybe] = sketches.differ(i[maybe], j[maybe])
-            return np.where(d <= most * (least + largest) + 1e-6, d / np.maximum(least + largest, 1), np.inf)
+            maybe = np.flatnonzero((np.minimum(rest[i], rest[j]) >= shared * both - 1e-6) & (root[i] != root[j]))
+            d[maybe] = sketches.differ(i[maybe], j[maybe]) if sketches else 0
+            return np.where(d <= most * both + 1e-6, d / np.maximum(both, 1), np.inf)
 
         begin, length = cuts[:-1], np.diff(cuts)
         out = [np.empty((0, 2), np.int64)]
@@ -399,19 +415,30 @@ def _rooted(docs: DataFrame, n: int, similarity: float, id_col: str, text_col: s
         return saved(nodes.select("node").join(small(roots, BROADCAST_KEYS), "node", "left").withColumn("root", F.coalesce("root", "node")))
 
     def several(rows: DataFrame) -> DataFrame:
-        """key, n of the keys that nodes of different roots have."""
-        keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-        return saved(keys.where("low < high").select("key", "n"))
+        """key, n of the keys that nodes of different roots have, without pairs that cannot be links.
+
+        At the first value that two sets share, what is left of each (its rest) holds all they have in common.
+        """
+        keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum("size").alias("size"), F.min("rest").alias("rest"))
+        may = (F.col("n") > 2) | (F.col("rest") >= shared * F.col("size") - 1e-6)
+        return saved(keys.where((F.col("low") < F.col("high")) & may).select("key", "n"))
 
     # Near copies first, by their fingerprints, so that few values are shared between groups.
     known = _verified(links(nodes.select("node", "fp"), NEAR_BITS), nodes, hashed, n, similarity)
     roots = grouped(known)
-    rows = marks.select("node", "rare").join(small(roots, BROADCAST_KEYS), "node").select(F.explode("rare").alias("key"), "node", "root")
-    met = saved(rows.join(small(several(rows), BROADCAST_KEYS), "key").select("key", "node"))
+    rows = marks.select("node", "size", "rare").join(small(roots, BROADCAST_KEYS), "node").select("node", "size", "root", F.posexplode("rare").alias("at", "key"))
+    rows = rows.select("key", "node", "root", "size", (F.col("size") - F.col("at")).alias("rest"))
+    keys = several(rows)
+    met = saved(rows.join(small(keys, BROADCAST_KEYS), "key").select("key", "node", "size", "rest"))
     for thin in (True, False):
         rows = met.join(small(roots, BROADCAST_KEYS), "node")
-        whole = rows.join(nodes.select("node", "size", "odd"), "node")
-        pairs = _in_tiles(whole, several(rows), ["size", "root", "odd"], lambda columns, cuts, thin=thin: near(columns, cuts, thin))
+        keys = keys if thin else several(rows)
+        places = rows.join(small(keys, BROADCAST_KEYS), "key")
+        compare = lambda columns, cuts, thin=thin: near(columns, cuts, thin)
+        # Pairs of small places are few, so sketches go to the pairs; of large ones, to the places.
+        few = _in_tiles(places.where(F.col("n") <= FEW), ["size", "rest", "root"], compare)
+        many = places.where(F.col("n") > FEW).join(nodes.select("node", "odd"), "node")
+        pairs = _sketched(few, nodes, most).unionByName(_in_tiles(many, ["size", "rest", "root", "odd"], compare)).distinct()
         known = saved(known.unionByName(_verified(pairs, nodes, hashed, n, similarity)))
         roots = grouped(known)
     return saved(nodes.select("node", "id", "hash").join(small(roots, BROADCAST_KEYS), "node").select("id", "hash", "root"))
