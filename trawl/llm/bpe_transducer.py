@@ -42,7 +42,7 @@ class Transducer:
     max_states bounds the remembered states; on reaching it they are forgotten and built anew.
     """
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {t: b for b, t in ranks.items()}
         self.length = {t: len(b) for b, t in ranks.items()}
@@ -122,7 +122,7 @@ class Transducer:
             key = x << self.bits | y
             m = self.joined.get(key)
             if m is None:
-                if len(self.joined) > 200_000:
+                if len(self.joined) > 400_000:
                     self.joined.clear()
                 m = self.joined[key] = self.ranks.get(self.bytes_of[x] + self.bytes_of[y], self.mask)
             next_x = xs[i + 1] if i < last_x else self.mask
@@ -307,7 +307,7 @@ def machine(data: bytes, pattern: str) -> tuple[Transducer, TokenBytes, regex.Pa
 
 
 #: Encoded pre-tokens that a worker remembers, twice: the last ones and those before.
-MAX_PIECES = 100_000
+MAX_PIECES = 150_000
 #: Ids decoded at a time.
 DECODE_BLOCK = 65_536
 
