@@ -11,6 +11,7 @@ import pytest
 
 from trawl.operators import content, highlight, history, mutations, volumes
 from trawl.operators.catalog import Catalog, derive, last_wins
+from trawl.plans import compile as compile_
 from trawl.plans import syntax as S
 from trawl.sources import storage
 from trawl.sources.filesystem import DirectorySource
@@ -155,12 +156,24 @@ def test_storage(spark, files, tmp_path):
     rows = storage.read_changes(spark, log)
     assert rows.where("corrupt").count() == 0
     assert storage.compact(spark, base, log, files=1) == 2
-    # The log's first event, number 0, is one that the snapshot has seen.
-    assert sorted(r["name"] for r in storage.read_snapshot(spark, base).collect())[:5] == [f"f{i}" for i in range(1, 6)] and storage.metadata(spark, base)["last_event"] == 5
+    # The log's first event, number 0, is new to a snapshot that has seen none.
+    assert sorted(r["name"] for r in storage.read_snapshot(spark, base).collect())[:6] == [f"f{i}" for i in range(6)] and storage.metadata(spark, base)["last_event"] == 5
     broken = rows.selectExpr("* except (corrupt)", "seq = 4 as corrupt")
     assert sorted(r["seq"] for r in mutations.replay(broken).collect()) == [0, 1, 2, 3]
 
 
+def test_mounts_with_a_slash_at_the_end(spark):
+    rows = spark.createDataFrame([("/data/a",), ("/data2/a",), ("/data",), ("/m5/x",)], "path_key string")
+    for n in (1, 101):  # few volumes and many
+        mounts = spark.createDataFrame([("/data/", False), *((f"/m{i}", True) for i in range(n))], "mount string, online boolean")
+        assert {r["path_key"]: r["is_offline"] for r in volumes.flag_offline(rows, mounts).collect()} == {"/data/a": True, "/data2/a": False, "/data": True, "/m5/x": False}
+
+
+@pytest.mark.parametrize("pattern,fine", [(r"c\++", True), ("[*+]x", True), (r"\\\\1", True), ("a{2}", True), ("a++", False), ("a*+b", False), (r"(a)\1", False), ("(?=a)", False), ("(?<!a)b", False), ("(?>a)", False), ("(?:a|b)+?", True), ("[", False), (r"\Qa++\E", True)])
+def test_patterns_read_part_by_part(spark, pattern, fine):
+    assert compile_.regex_ok(pattern) is fine
+
+
 def test_directories(spark, tmp_path):
     (tmp_path / "sub" / "deep" / "er").mkdir(parents=True)
     (tmp_path / "X.app" / "in").mkdir(parents=True)

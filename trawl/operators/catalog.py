@@ -134,9 +134,12 @@ class Catalog:
 
 @contextmanager
 def session(spark: SparkSession, name: str):
-    """Jobs started inside belong to a search session; an older one of the same name is cancelled."""
+    """Jobs started inside belong to a search session; an older one of the same name is cancelled. Without a name nothing is."""
+    if not name:
+        yield
+        return
     spark.interruptTag(name)
-    spark.addTag(name)
+    spark.addTag(name)  # of this thread
     try:
         yield
     finally:

@@ -16,9 +16,10 @@ FEW = 64
 def flag_offline(files: DataFrame, volumes: DataFrame) -> DataFrame:
     """Adds is_offline: the longest mount that holds the path is offline. Without a mount a record is online.
 
-    Offline records stay searchable.
+    Offline records stay searchable. A slash at the end of a mount does not count; a null mount holds nothing.
     """
-    v = volumes.select(F.lower("mount").alias("mount"), "online").groupBy("mount").agg(F.min("online").alias("online"))
+    mount = F.lower(F.rtrim(F.col("mount"), F.lit("/")))
+    v = volumes.select(F.when(mount == "", "/").otherwise(mount).alias("mount"), "online").where("mount is not null").groupBy("mount").agg(F.min("online").alias("online"))
     few = v.limit(FEW + 1).collect()
     if len(few) <= FEW:
         ordered = sorted(few, key=lambda r: -len(r["mount"]))

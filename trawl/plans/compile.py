@@ -13,7 +13,9 @@ from ..functions import text as T
 from . import syntax as S
 from .dates import Calendar
 
-_UNSAFE = re.compile(r"\(\?(?:[=!]|<[=!])|\\[1-9]|\\k<|[*+?}]\+|\(\?>")
+#: Parts of a pattern that are read as a whole: quoted text, an escape, a class (brackets in it escaped or not), a quantifier, a group's opening.
+_PARTS = re.compile(r"\\Q.*?(?:\\E|$)|\\k<|\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|(?:[*+?]|\{[0-9]+(?:,[0-9]*)?\})[+?]?|\(\?(?:<[=!]|[=!>])|.", re.S)
+_REFUSED = re.compile(r"\\[1-9]|\\k<|(?:[*+?]|\{.*\})\+|\(\?(?:<[=!]|[=!>])")
 
 
 def regex_ok(pattern: str) -> bool:
@@ -21,7 +23,7 @@ def regex_ok(pattern: str) -> bool:
 
     A bad pattern would only fail while the job runs, so it is found out here and matches nothing.
     """
-    if _UNSAFE.search(pattern):
+    if any(_REFUSED.fullmatch(m[0]) for m in _PARTS.finditer(pattern)):
         return False
     context = SparkContext._active_spark_context
     if context is not None:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import re
 import sys
 import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -35,12 +36,12 @@ class Api:
     def limit(text: str | None) -> int:
         return min(max(int(text), 1), MAX_LIMIT) if text and text.lstrip("-").isdigit() else DEFAULT_LIMIT
 
-    def search(self, q: str, limit: int, use_index: bool = True) -> dict:
-        """A file search; `infile:text` searches the contents."""
+    def search(self, q: str, limit: int, use_index: bool = True, client: str = "") -> dict:
+        """A file search; `infile:text` searches the contents. A client's search cancels that client's one before; without a client none is."""
         if q.strip().lower().startswith("infile:") and self.documents is not None:
             return self.search_content(q.strip()[7:].strip(), limit)
         began = time.perf_counter()
-        with session(self.catalog.spark, "search"):
+        with session(self.catalog.spark, client and "search-" + re.sub("[^A-Za-z0-9_-]", "_", client)):
             rows = self.catalog.search(q, limit, use_index=use_index).collect()  # limit rows at most
         found = [{"name": r["name"], "path": r["path"], "type": r["type"], "size": r["size"], "modTime": r["mod_time"]} for r in rows]
         return {"results": found, "count": len(found), "queryTimeMs": round((time.perf_counter() - began) * 1000, 2)}
@@ -77,7 +78,7 @@ class Api:
             return 400, {"error": "missing parameter q"}
         if url.path == "/api/search/content":
             return 200, self.search_content(args["q"], self.limit(args.get("limit")))
-        return 200, self.search(args["q"], self.limit(args.get("limit")), args.get("trigram") != "0")
+        return 200, self.search(args["q"], self.limit(args.get("limit")), args.get("trigram") != "0", args.get("session", ""))
 
     def post(self, target: str, body: bytes) -> tuple[int, dict]:
         path = urlsplit(target).path

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 META = "version long, written_at timestamp, last_event long, extra map<string,string>, offline array<string>"
 
 
+#: The last event of a snapshot that has seen none; events count from 0.
+NO_EVENT = -1
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
@@ -23,15 +27,17 @@ def versions(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.schema(META).parquet(f"{base}/_meta") if _exists(spark, f"{base}/_meta") else spark.createDataFrame([], META)
 
 
-def write_snapshot(files: DataFrame, base: str, *, version: int | None = None, last_event: int = 0, extra: dict | None = None, offline: list[str] | None = None, sort_by: str = "path") -> int:
+def write_snapshot(files: DataFrame, base: str, *, version: int | None = None, last_event: int = NO_EVENT, extra: dict | None = None, offline: list[str] | None = None, sort_by: str = "path") -> int:
     """Writes a snapshot, rows of a directory side by side, and makes it current. Returns its version.
 
     A version that is current already is left alone, so a repeated micro-batch does no harm.
     """
     spark = files.sparkSession
-    known = [r["version"] for r in versions(spark, base).select("version").collect()]
-    version = max(known, default=-1) + 1 if version is None else version
-    if version in known:
+    known = versions(spark, base)
+    if version is None:
+        last = known.agg(F.max("version")).first()[0]
+        version = 0 if last is None else last + 1
+    elif not known.where(F.col("version") == version).isEmpty():
         return version
     files.sortWithinPartitions(sort_by).write.mode("overwrite").parquet(f"{base}/v={version}")
     row = [(version, datetime.now(UTC), last_event, extra or {}, offline or [])]
@@ -63,7 +69,8 @@ def compact(spark: SparkSession, base: str, log: str | None = None, files: int |
     last = now["last_event"]
     if log is not None and _exists(spark, log):
         new = replay(read_changes(spark, log)).where(F.col("seq") > last)
-        rows, last = apply_changes(rows, new), new.agg(F.max("seq")).first()[0] or last
+        newest = new.agg(F.max("seq")).first()[0]
+        rows, last = apply_changes(rows, new), last if newest is None else newest
     rows = rows.repartitionByRange(files, "path", "name") if files else rows.repartitionByRange("path", "name")
     return write_snapshot(rows, base, last_event=last, extra=now["extra"], offline=now["offline"])
 

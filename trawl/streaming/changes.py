@@ -26,7 +26,7 @@ def merge_stream(changes: DataFrame, base: str, checkpoint: str, *, once: bool =
         version = first + number
         before = storage.read_snapshot(spark, base, version - 1)
         last = batch.agg({"seq": "max"}).first()[0]
-        storage.write_snapshot(apply_changes(before, batch), base, version=version, last_event=last or 0, extra={key: str(first)})
+        storage.write_snapshot(apply_changes(before, batch), base, version=version, last_event=storage.NO_EVENT if last is None else last, extra={key: str(first)})
 
     writer = changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
