@@ -252,16 +252,15 @@ def volume_offline_flag(spark, sf):
 
 
 def trigram_postings(spark, sf):
-    rows = catalog_files(spark, sf).where("path_lower like '/catalog/%'")
-    return postings.postings(rows, "name_lower").select(F.decode("tri", "utf-8").alias("tri"), "path_key")
+    return postings.postings(catalog_files(spark, sf), "name_lower").select(F.decode("tri", "utf-8").alias("tri"), "path_key")
 
 
 def trigram_candidates(spark, sf):
-    return postings.candidates(postings.postings(catalog_files(spark, sf).where("type = 1"), "name_lower"), "urgent")
+    return postings.candidates(postings.postings(catalog_files(spark, sf), "name_lower"), "urgent")
 
 
 def posting_sizes(spark, sf):
-    table = postings.postings(catalog_files(spark, sf).where("type = 1"), "name_lower")
+    table = postings.postings(catalog_files(spark, sf), "name_lower")
     return postings.posting_sizes(table, "widget").select(F.decode("tri", "utf-8").alias("tri"), "n")
 
 
@@ -270,7 +269,7 @@ def content_search(spark, sf):
 
 
 def content_snippet(spark, sf):
-    return content.search(sample.documents(spark, sf).where("lower(path_key) like '%/en/%'"), "the and", 200)
+    return content.search(sample.documents(spark, sf), "the and", 200)
 
 
 def content_described(spark, sf):
@@ -351,11 +350,11 @@ UNION ALL SELECT full_path, CAST(type AS INTEGER), CAST(size AS BIGINT), CAST(mo
 SELECT op, full_path, regexp_extract(full_path, '([^/]*)$', 1) AS name, regexp_replace(full_path, '/[^/]*$', '') AS path, type,
   CASE WHEN type = 1 THEN CAST(floor(value) AS BIGINT) ELSE 0 END AS size, mod_time, seq FROM e WHERE op IS NOT NULL""",
     "volume_offline_flag": f"{sample.FILES_SQL} SELECT full_path, (path_key = '/data/src0' OR starts_with(path_key, '/data/src0/') OR path_key = '/archive' OR starts_with(path_key, '/archive/')) AS is_offline FROM files",
-    "trigram_postings": f"{sample.FILES_SQL} {_TRI.format("pl LIKE '/catalog/%'")}",
-    "trigram_candidates": f"{sample.FILES_SQL} SELECT path_key FROM files WHERE type = 1 AND contains(nl, 'urg') AND contains(nl, 'rge') AND contains(nl, 'gen') AND contains(nl, 'ent')",
-    "posting_sizes": f"{sample.FILES_SQL} SELECT tri, count(*) AS n FROM ({_TRI.format('type = 1')}) WHERE tri IN ('wid', 'idg', 'dge', 'get') GROUP BY tri",
+    "trigram_postings": f"{sample.FILES_SQL} {_TRI.format("true")}",
+    "trigram_candidates": f"{sample.FILES_SQL} SELECT path_key FROM files WHERE contains(nl, 'urg') AND contains(nl, 'rge') AND contains(nl, 'gen') AND contains(nl, 'ent')",
+    "posting_sizes": f"{sample.FILES_SQL} SELECT tri, count(*) AS n FROM ({_TRI.format('true')}) WHERE tri IN ('wid', 'idg', 'dge', 'get') GROUP BY tri",
     "content_search": f"WITH {_CONTENTS} SELECT path_key, strpos(low, 'license') - 1 AS match_offset FROM contents WHERE contains(low, 'license')",
-    "content_snippet": f"""WITH {_CONTENTS}, h AS (SELECT path_key, content, strpos(low, 'the and') - 1 AS hit FROM contents WHERE contains(low, 'the and') AND path_key LIKE '%/en/%'),
+    "content_snippet": f"""WITH {_CONTENTS}, h AS (SELECT path_key, content, strpos(low, 'the and') - 1 AS hit FROM contents WHERE contains(low, 'the and')),
 s AS (SELECT *, greatest(hit - 80, 0) AS s0, least(hit + 7 + 80, length(content)) AS e, content[greatest(hit - 80, 0) + 1 : hit + 1] AS before FROM h),
 t AS (SELECT *, CASE WHEN s0 > 0 AND contains(before, chr(10)) THEN s0 + length(before) - strpos(reverse(before), chr(10)) + 1 ELSE s0 END AS b FROM s)
 SELECT path_key, CASE WHEN b > 0 THEN '...' ELSE '' END || trim(translate(content[b + 1 : e], chr(10) || chr(13), '  '), ' ' || chr(9)) || CASE WHEN e < length(content) THEN '...' ELSE '' END AS snippet, hit AS match_offset
