@@ -16,6 +16,7 @@ OPERATORS = {
     "op3_byte_bpe": ("bpe_transducer", "op3_byte_bpe"),
     "op8_line_templates": ("line_templates", "op8_line_templates"),
     "op10_topk": ("exact_topk", "op10_topk"),
+    "op11_piece_offsets": ("piece_offsets", "op11_piece_offsets"),
 }
 
 
