@@ -17,6 +17,8 @@ OPERATORS = {
     "op8_line_templates": ("line_templates", "op8_line_templates"),
     "op10_topk": ("exact_topk", "op10_topk"),
     "op11_piece_offsets": ("piece_offsets", "op11_piece_offsets"),
+    "op12_conversation_trie": ("conversation_trie", "op12_conversation_trie"),
+    "op13_collocations": ("collocations", "op13_collocations"),
 }
 
 
