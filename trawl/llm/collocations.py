@@ -29,7 +29,7 @@ from .common import saved, slices, table
 PIECE_ENDS, BREAK = r"[.,;:!?\n\x0B\f\r]", "."
 #: Most words of a phrase, least occurrences, percent of them at which a longer phrase stands for a shorter, phrases reported a language.
 WORDS, LEAST, SUBSUMED, TOP = 4, 30, 80, 2000
-SLICE_BYTES = 1 << 23
+SLICE_BYTES = 3 << 20
 #: Bits of a filter for each phrase it holds, and of any filter.
 BITS_EACH, MAX_BITS = 16, 1 << 27
 #: Parts into which each language is cut for its first ranking.
