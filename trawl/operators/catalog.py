@@ -12,6 +12,8 @@ from pyspark.sql import types as t
 from ..functions import text as T
 from ..plans import compile as C
 from ..plans import syntax as S
+from ..sources.store import Store
+from .indexes import TrigramIndex, needs
 
 #: Kinds of record.
 FILE, DIRECTORY, SYMLINK, OTHER, BUNDLE = 1, 2, 3, 4, 5
@@ -59,12 +61,22 @@ def last_wins(files: DataFrame, seq: str = "seq") -> DataFrame:
 class Catalog:
     """Searches over a derived files DataFrame.
 
-    postings: optional (tri, path_key) of match_path, which narrows a search to rows that hold all
-    trigrams of the texts every match must hold; it never changes results.
+    postings: optional (tri, path_key) of match_path, or a stored index of it (indexes.TrigramIndex) with
+    the number of files. Either narrows a search to rows that hold the trigrams of the texts every match
+    must hold; it never changes results.
     """
 
-    def __init__(self, files: DataFrame, postings: DataFrame | None = None):
+    def __init__(self, files: DataFrame, postings: DataFrame | None = None, *, index: TrigramIndex | None = None, total: int = 0):
         self.files, self.postings, self.spark = files, postings, files.sparkSession
+        self.index, self.total = index, total
+
+    @classmethod
+    def stored(cls, store: Store, files: str = "files", index: str = "names") -> Catalog:
+        """The catalog in a store, with its index if it has one."""
+        head = store.head()
+        t = head.tables[files]
+        has = f"{index}_postings" in head.tables
+        return cls(store._read(t), index=TrigramIndex(store, index, head.version) if has else None, total=t.rows + t.changed)
 
     def search(self, query: str, limit: int = 0, *, use_index: bool = True, now: datetime | None = None, tz: str = "UTC", home: str | None = None, adjacency: str = "reference") -> DataFrame:
         """Matching records in order of rank: priority, length of the path, path_key. limit 0: all.
@@ -80,7 +92,7 @@ class Catalog:
             if tree is None:
                 return self._ranked(self.files.where(F.lit(False)).withColumn("priority", F.lit(2)), limit)
             tree = S.rewrite(tree)
-            rows = self._narrowed(tree) if use_index and self.postings is not None else self.files
+            rows = self._narrowed(tree) if use_index else self.files
             found = rows.where(C.Compiler(now, tz, adjacency).column(tree)).withColumn("priority", C.priority(S.scoring_text(tree)))
         return self._ranked(found, limit)
 
@@ -90,6 +102,10 @@ class Catalog:
         return out.select("name", F.col("full_path").alias("path"), "type", "size", "mod_time", "priority", "path_key")
 
     def _narrowed(self, tree) -> DataFrame:
+        if self.index is not None:
+            return self.index.narrowed(self.files, needs(tree), self.total)
+        if self.postings is None:
+            return self.files
         tris = sorted({g for text in C.required_texts(tree) if text.isascii() for g in T.trigrams_of(text)})
         if not tris:
             return self.files

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import GONE, Commit, Store
+from .indexes import ROW_GROUP, TrigramIndex, all_of, certain, codes_of, row_id
 
 MAX_SIZE = 1 << 20
 
@@ -80,3 +82,70 @@ def search(documents: DataFrame, keyword: str, limit: int = 100, *, verify: bool
 def described(matches: DataFrame, files: DataFrame) -> DataFrame:
     """Content matches with their file's name, path and kind."""
     return matches.join(files.select("path_key", F.col("name").alias("file_name"), F.col("full_path").alias("file_path"), F.col("type").alias("file_type")), "path_key")
+
+
+class ContentIndex:
+    """Contents and their trigram index in a store: what is searched, and how it follows the files.
+
+    `contents` (path_key, id, mod_time, content_hash, content) is sorted by id, so a search reads the pages of
+    its candidates. All methods that give deltas leave the commit to the caller, who can add other tables'.
+    """
+
+    TABLE, INDEX = "contents", "words"
+
+    def __init__(self, store: Store, version: int | None = None):
+        self.store = store
+        self.commit = store.head() if version is None else store.at(version)
+
+    @property
+    def documents(self) -> DataFrame:
+        return self.store._read(self.commit.tables[self.TABLE])
+
+    @staticmethod
+    def rows(documents: DataFrame) -> DataFrame:
+        return with_hash(documents).select("path_key", row_id().alias("id"), "mod_time", "content_hash", "content")
+
+    @classmethod
+    def built(cls, store: Store, documents: DataFrame) -> dict:
+        """The index's tables over documents (path_key, content, mod_time; one row a key), for Store.replace. Null contents are left out."""
+        rows = cls.rows(documents.where("content is not null")).repartitionByRange("id").sortWithinPartitions("id")
+        contents = store.stage(rows, cls.TABLE, ROW_GROUP)
+        return {cls.TABLE: (contents, "path_key")} | TrigramIndex.built(store, cls.INDEX, contents.df, "content")
+
+    def deltas(self, documents: DataFrame, gone: DataFrame) -> dict:
+        """For documents as they are now and keys (path_key) that are gone, as Store.change takes them.
+
+        A document whose mod_time is known and as before is taken for unchanged; one with the content it
+        had gets its new time, and keeps its postings. gone may hold keys that were never indexed.
+        """
+        seen = self.documents.select("path_key", F.col("mod_time").alias("old_time"), F.col("content_hash").alias("old_hash"))
+        now = self.rows(documents.where("content is not null")).join(seen, "path_key", "left")
+        same_time = (F.col("mod_time") == F.col("old_time")) & (F.col("mod_time") != 0)
+        now = now.where(~F.coalesce(same_time, F.lit(False))).withColumn("as_before", F.coalesce(F.col("content_hash") == F.col("old_hash"), F.lit(False)))
+        lost = seen.join(gone.select("path_key").distinct(), "path_key", "left_semi").select("path_key")
+        columns = ["path_key", "id", "mod_time", "content_hash", "content"]
+        marks = lost.select("path_key", row_id().alias("id"), *(F.lit(None).cast(k).alias(c) for c, k in (("mod_time", "long"), ("content_hash", "long"), ("content", "string"))), F.lit(True).alias(GONE))
+        both = now.select(*columns, "as_before", F.lit(False).alias(GONE)).unionByName(marks.withColumn("as_before", F.lit(False)))
+        # Written once; the index reads it back, and only rows with new texts.
+        staged = self.store.stage(both, self.TABLE)
+        new = staged.df.where("not gone and not as_before")
+        return {self.TABLE: staged} | TrigramIndex.changed(self.store, self.INDEX, new, staged.df.where("gone"), "content")
+
+    @classmethod
+    def compact(cls, store: Store) -> Commit:
+        store.compact(cls.TABLE, lambda df: df.repartitionByRange("id").sortWithinPartitions("id"), block=ROW_GROUP)
+        TrigramIndex.compact(store, cls.INDEX)
+        return store.head()
+
+    def search(self, keyword: str, limit: int = 100, *, verify: bool = True, context: int = 80) -> DataFrame:
+        """As search() over the documents, with the index where that is cheaper. verify=False takes the index's word."""
+        t = self.commit.tables[self.TABLE]
+        index = TrigramIndex(self.store, self.INDEX, self.commit.version)
+        tris = T.trigrams_of(keyword)
+        if not verify and tris:
+            lengths = index.lengths(codes_of(keyword))
+            found = self.documents.select("path_key", "id").join(index.ids(keyword, lengths, every=True), "id", "left_semi")
+            rows = found.select("path_key", F.lit("").alias("snippet"), F.lit(0).cast("long").alias("match_offset")).orderBy("path_key")
+            return rows.limit(limit) if limit else rows
+        need = all_of([p for p in [certain(keyword)] if len(p) >= 3]) if tris else None
+        return search(index.narrowed(self.documents, need, t.rows + t.changed), keyword, limit, context=context)

@@ -35,6 +35,17 @@ def apply_changes(files: DataFrame, changes: DataFrame) -> DataFrame:
     return derive(last.select("r.record.*"))
 
 
+def delta(changes: DataFrame) -> DataFrame:
+    """A batch as the present rows of the paths it touches: the catalog's columns, and gone for those removed.
+
+    What each path comes to does not depend on the catalog, so the batch alone is shuffled.
+    """
+    last = _steps(_complete(changes)).groupBy("path_key").agg(F.max_by(F.struct("gone", "record"), F.struct("seq", "step")).alias("r"))
+    rows = derive(last.select("path_key", "r.gone", "r.record.*").withColumnRenamed("path_key", "_key"))
+    # A removed path has no record of its own to derive the key from.
+    return rows.withColumn("path_key", F.col("_key")).drop("_key")
+
+
 def _complete(changes: DataFrame) -> DataFrame:
     missing = {c: F.lit(0) for c in ("inode", "dev_id") if c not in changes.columns}
     out = changes.withColumns(missing)

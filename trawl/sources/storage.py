@@ -1,78 +1,68 @@
-"""Snapshots, change logs and their metadata as Parquet folders.
+"""Snapshots of a catalog and change logs, as Parquet folders.
 
-A snapshot is written whole to v=N and becomes current when its row is added to the _meta table, so a
-reader sees the old or the new one and never a part.
+A snapshot is the table `files` of a store: see there how commits, deltas and readers get along.
 """
 
 from __future__ import annotations
 
-from datetime import UTC, datetime
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-META = "version long, written_at timestamp, last_event long, extra map<string,string>, offline array<string>"
-
+from .store import NO_EVENT, Commit, Store
 
-#: The last event of a snapshot that has seen none; events count from 0.
-NO_EVENT = -1
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+FILES, KEY = "files", "path_key"
 
 
 def versions(spark: SparkSession, base: str) -> DataFrame:
-    return spark.read.schema(META).parquet(f"{base}/_meta") if _exists(spark, f"{base}/_meta") else spark.createDataFrame([], META)
+    return Store(spark, base).commits()
 
 
-def write_snapshot(files: DataFrame, base: str, *, version: int | None = None, last_event: int = NO_EVENT, extra: dict | None = None, offline: list[str] | None = None, sort_by: str = "path") -> int:
-    """Writes a snapshot, rows of a directory side by side, and makes it current. Returns its version.
+def write_snapshot(files: DataFrame, base: str, *, read: int | None = None, last_event: int = NO_EVENT, extra: dict | None = None, offline: list[str] | None = None, sort_by: str = "path") -> int:
+    """Writes a whole snapshot, rows of a directory side by side, and makes it current. Returns its version.
 
-    A version that is current already is left alone, so a repeated micro-batch does no harm.
+    read: the version that files were made from; if another is current by then, store.Conflict is raised.
     """
-    spark = files.sparkSession
-    known = versions(spark, base)
-    if version is None:
-        last = known.agg(F.max("version")).first()[0]
-        version = 0 if last is None else last + 1
-    elif not known.where(F.col("version") == version).isEmpty():
-        return version
-    files.sortWithinPartitions(sort_by).write.mode("overwrite").parquet(f"{base}/v={version}")
-    row = [(version, datetime.now(UTC), last_event, extra or {}, offline or [])]
-    spark.createDataFrame(row, META).coalesce(1).write.mode("append").parquet(f"{base}/_meta")
-    return version
+    return Store(files.sparkSession, base).replace({FILES: (files.sortWithinPartitions(sort_by), KEY)}, read=read, last_event=last_event, extra=extra, offline=offline).version
 
 
 def metadata(spark: SparkSession, base: str) -> dict | None:
-    row = versions(spark, base).orderBy(F.desc("version")).first()
-    return row.asDict() if row else None
+    head = Store(spark, base).head()
+    return head and {"version": head.version, "written_at": head.written_at, "last_event": head.last_event, "extra": head.extra, "offline": head.offline}
 
 
 def read_snapshot(spark: SparkSession, base: str, version: int | None = None) -> DataFrame:
     """The current snapshot, or an earlier version."""
-    if version is None:
-        row = metadata(spark, base)
-        if row is None:
-            raise FileNotFoundError(f"no snapshot in {base}")
-        version = row["version"]
-    return spark.read.parquet(f"{base}/v={version}")
+    return Store(spark, base).read(FILES, version)
 
 
 def compact(spark: SparkSession, base: str, log: str | None = None, files: int | None = None) -> int:
-    """Rewrites the current snapshot, a log's sound part merged in, as a new version of few files."""
-    from ..operators.mutations import apply_changes, replay
+    """Merges a log's sound part into the snapshot and rewrites it, with all deltas, into few files.
+
+    Metadata stays. Deltas that a stream adds meanwhile are kept.
+    """
+    from ..operators.mutations import delta, replay
 
-    now = metadata(spark, base)
-    rows = read_snapshot(spark, base, now["version"])
-    last = now["last_event"]
+    store = Store(spark, base)
     if log is not None and _exists(spark, log):
-        new = replay(read_changes(spark, log)).where(F.col("seq") > last)
+        new = replay(read_changes(spark, log)).where(F.col("seq") > store.head().last_event)
         newest = new.agg(F.max("seq")).first()[0]
-        rows, last = apply_changes(rows, new), last if newest is None else newest
-    rows = rows.repartitionByRange(files, "path", "name") if files else rows.repartitionByRange("path", "name")
-    return write_snapshot(rows, base, last_event=last, extra=now["extra"], offline=now["offline"])
+        if newest is not None:
+            store.change({FILES: delta(new)}, last_event=newest)
+    ordered = lambda df: (df.repartitionByRange(files, "path", "name") if files else df.repartitionByRange("path", "name")).sortWithinPartitions("path")
+    return store.compact(FILES, ordered).version
+
+
+def maintain(store: Store, name: str = FILES, share: float = 0.25) -> Commit | None:
+    """Compacts a table whose deltas have grown to a share of it; else does nothing."""
+    from ..operators.mutations import should_compact
+
+    t = store.head().tables[name]
+    return store.compact(name) if should_compact(t.rows, t.changed, share) else None
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def append_changes(changes: DataFrame, log: str) -> None:

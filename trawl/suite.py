@@ -15,16 +15,21 @@ from pyspark.sql import functions as F
 from . import sample_catalog as sample
 from .operators import content, history, highlight, mutations, postings, volumes
 from .operators.catalog import Catalog, derive, last_wins
+from .operators.indexes import TrigramIndex, codes_of, row_id
 from .sources import storage
-from .streaming.changes import merge_stream, read_feed
+from .sources.store import Store
+from .streaming.changes import follow_stream, guarded_stream, merge_stream, read_feed, with_followers
 
 _catalogs: dict[tuple, DataFrame] = {}
+_stores: dict[tuple, Store] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder where spark.checkpoint.dir says, which a cluster shares; a local one where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(work_dir, "local", None)
         if base is None:
             base = work_dir.local = "file://" + tempfile.mkdtemp(prefix="trawl-suite-")
@@ -41,6 +46,26 @@ def catalog_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _catalogs[key]
 
 
+def new_store(spark: SparkSession, sf_dir: str, *, names: bool = False, contents: DataFrame | None = None) -> Store:
+    """The catalog in a store of its own, with an index of its names and with contents, if asked for."""
+    store = Store(spark, work_dir(spark))
+    tables = {storage.FILES: (store.stage(catalog_files(spark, sf_dir), storage.FILES), storage.KEY)}
+    if names:
+        tables |= TrigramIndex.built(store, "names", catalog_files(spark, sf_dir), "match_path")
+    if contents is not None:
+        tables |= content.ContentIndex.built(store, contents)
+    store.replace(tables)
+    return store
+
+
+def indexed_store(spark: SparkSession, sf_dir: str) -> Store:
+    """The catalog, its documents' contents and the indexes of both, made once a session and table folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        _stores[key] = new_store(spark, sf_dir, names=True, contents=sample.documents(spark, sf_dir))
+    return _stores[key]
+
+
 #: Query, SQL condition, lower-cased text that ranks (None: none), limit.
 SEARCHES: dict[str, tuple[str, str, str | None, int]] = {
     "substr_and": ("doc src1", "contains(mp, 'doc') AND contains(mp, 'src1')", "doc", 0),
@@ -57,6 +82,12 @@ SEARCHES: dict[str, tuple[str, str, str | None, int]] = {
     "glob_generic": ("doc_?5*.t?t", r"regexp_full_match(nl, 'doc_.5.*\.t.t', 's')", None, 0),
     "glob_fullpath": ("*/src1/*/doc_*", "regexp_full_match(mp, '.*/src1/.*/doc_.*', 's')", None, 0),
     "glob_with_specials": ("*_1*%*", "regexp_full_match(nl, '.*_1.*%.*', 's')", None, 0),
+    "glob_with_dash": ("order_*-n?t-*", "regexp_full_match(nl, 'order_.*-n.t-.*', 's')", None, 0),
+    "glob_exact": ("doc_8.t?t | DOC_9.md", "nl SIMILAR TO 'doc_8[.]t.t' OR contains(mp, 'doc_9.md')", "doc_9.md", 0),
+    "dm_today": ("dm:today | dm:yesterday", "mod_time BETWEEN 1706572800 AND 1706745599", None, 0),
+    "dm_thisyear": ("dm:thisyear", "mod_time BETWEEN 1704067200 AND 1735689599", None, 0),
+    "dm_lastyear": ("dm:lastyear doc", "mod_time BETWEEN 1672531200 AND 1704067199 AND contains(mp, 'doc')", "doc", 0),
+    "filter_arg_angle": ("<size:>10kb | size:<100 > ext:md", "(size > 10240 OR size < 100) AND ext = 'md'", None, 0),
     "regex_name": (r"regex:^order_[0-9]{3}_", r"regexp_matches(nl, '(?i)^order_[0-9]{3}_') OR regexp_matches(mp, '(?i)^order_[0-9]{3}_')", None, 0),
     "regex_path": (r"regex:/199[5-7]/0[12]/", r"regexp_matches(nl, '(?i)/199[5-7]/0[12]/') OR regexp_matches(mp, '(?i)/199[5-7]/0[12]/')", None, 0),
     "regex_invalid": ("regex:[abc", "false", None, 0),
@@ -160,8 +191,26 @@ def dir_list_nested(spark, sf):
 
 
 def indexed_search(spark, sf):
-    files = catalog_files(spark, sf)
-    return _shown(Catalog(files, postings.postings(files, "match_path")).search("widget red", now=sample.NOW))
+    return _shown(Catalog.stored(indexed_store(spark, sf)).search("widget red", now=sample.NOW))
+
+
+def regex_atoms_search(spark, sf):
+    return _shown(Catalog.stored(indexed_store(spark, sf)).search(r"regex:/brand#1[0-9]/.*(widget|gear)_[0-9]*7$", now=sample.NOW))
+
+
+def regex_nested_repetition(spark, sf):
+    """A pattern that makes a backtracking engine try ever more ways."""
+    return _shown(Catalog(catalog_files(spark, sf)).search(r"regex:^(d+o*)+(c|c_)+([0-9]+)*9\.txt$", now=sample.NOW))
+
+
+def indexed_search_after_changes(spark, sf):
+    """An index that follows a batch of changes as deltas, is searched, compacted, and searched again."""
+    store = new_store(spark, sf, names=True)
+    with_followers(store, sample.changes(spark, sf), None, set())
+    before = _shown(Catalog.stored(store).search("f3.log | widget", now=sample.NOW)).withColumn("compacted", F.lit(False))
+    store.compact(storage.FILES)
+    TrigramIndex.compact(store, "names")
+    return before.unionByName(_shown(Catalog.stored(store).search("f3.log | widget", now=sample.NOW)).withColumn("compacted", F.lit(True)))
 
 
 def recent_topk(spark, sf):
@@ -222,20 +271,84 @@ def change_log_replay(spark, sf):
     return _rows(mutations.apply_changes(catalog_files(spark, sf), mutations.replay(storage.read_changes(spark, log))))
 
 
-def stream_merge_changes(spark, sf):
-    base, feed, checkpoint = (work_dir(spark) for _ in range(3))
-    storage.write_snapshot(catalog_files(spark, sf), base)
-    changes = sample.changes(spark, sf)
-    # Two deliveries, in order: the feed's batches follow the times of its files.
+def _delivered(spark, changes, start, between=lambda: None):
+    """Two deliveries, in order: a feed's batches follow the times of its files. start(feed, checkpoint) begins the stream."""
+    feed, checkpoint = work_dir(spark), work_dir(spark)
     half = changes.agg((F.max("seq") / 2).alias("m")).first()["m"] or 0
     changes.where(F.col("seq") <= half).write.mode("append").parquet(feed)
-    stream = lambda: merge_stream(read_feed(spark, feed, changes.schema), base, checkpoint).awaitTermination()
-    stream()
+    start(read_feed(spark, feed, changes.schema), checkpoint).awaitTermination()
+    between()
     changes.where(F.col("seq") > half).write.mode("append").parquet(feed)
-    stream()
+    start(read_feed(spark, feed, changes.schema), checkpoint).awaitTermination()
+
+
+def stream_merge_changes(spark, sf):
+    base = work_dir(spark)
+    storage.write_snapshot(catalog_files(spark, sf), base)
+    _delivered(spark, sample.changes(spark, sf), lambda feed, checkpoint: merge_stream(feed, base, checkpoint))
     return _rows(storage.read_snapshot(spark, base))
 
 
+def stream_compact_stream(spark, sf):
+    """A compaction between two micro-batches, and what the metadata is after both."""
+    base = work_dir(spark)
+    storage.write_snapshot(catalog_files(spark, sf), base, extra={"owner": "suite"}, offline=["/Archive"])
+    _delivered(spark, sample.changes(spark, sf), lambda feed, checkpoint: merge_stream(feed, base, checkpoint), lambda: storage.compact(spark, base))
+    now = storage.metadata(spark, base)
+    return _rows(storage.read_snapshot(spark, base)).withColumns({"last_event": F.lit(now["last_event"]).cast("long"), "owner": F.lit(now["extra"].get("owner")), "offline": F.lit(",".join(now["offline"]))})
+
+
+def stream_gap_rescans(spark, sf):
+    """A feed that lost events: a scan of all files takes their place, and later events follow it."""
+    base, changes = work_dir(spark), sample.changes(spark, sf)
+    storage.write_snapshot(catalog_files(spark, sf), base)
+    lost = changes.where("seq < 100 or seq >= 200")
+    half = changes.agg((F.max("seq") / 2).alias("m")).first()["m"] or 0
+    scan = lambda: mutations.apply_changes(catalog_files(spark, sf), changes.where(F.col("seq") <= half))
+    _delivered(spark, lost, lambda feed, checkpoint: guarded_stream(feed, base, checkpoint, scan))
+    return _rows(storage.read_snapshot(spark, base)).withColumn("rescanned", F.lit(storage.metadata(spark, base)["extra"].get("rescanned")))
+
+
+def _edited(spark, sf):
+    """Documents as they are after every third was rewritten, and the changes of the catalog that tell so; every fifth is removed."""
+    docs = sample.documents(spark, sf)
+    now = docs.withColumn("content", F.when(F.col("mod_time") % 3 == 0, F.concat("content", F.lit(" New Appendix"))).otherwise(F.col("content"))).withColumn("mod_time", F.col("mod_time") + F.when(F.col("mod_time") % 3 == 0, 1).otherwise(0))
+    files = catalog_files(spark, sf).where("path_lower like '/data/%' and type = 1")
+    op = F.when(F.col("mod_time") % 5 == 0, "REMOVE").when(F.col("mod_time") % 3 == 0, "UPDATE")
+    changes = files.select(op.alias("op"), "full_path", "name", "path", "type", (F.col("size") + 13).alias("size"), (F.col("mod_time") + 1).alias("mod_time"), F.monotonically_increasing_id().alias("seq")).where("op is not null")
+    return now, changes
+
+
+def content_index_roundtrip(spark, sf):
+    """A stored content index, changed, searched, compacted and searched again."""
+    store = new_store(spark, sf, contents=sample.documents(spark, sf))
+    now, changes = _edited(spark, sf)
+    index = content.ContentIndex(store)
+    keys = changes.select(F.lower("full_path").alias("path_key"), "op")
+    store.change(index.deltas(now.join(keys.where("op = 'UPDATE'"), "path_key", "left_semi"), keys.where("op = 'REMOVE'")))
+    out = None
+    for compacted in (False, True):
+        if compacted:
+            content.ContentIndex.compact(store)
+        for word in ("new appendix", "License"):
+            found = content.ContentIndex(store).search(word, 0).select("path_key", "match_offset", F.lit(word).alias("word"), F.lit(compacted).alias("compacted"))
+            out = found if out is None else out.unionByName(found)
+    return out
+
+
+def stream_content_follow_up(spark, sf):
+    """Contents follow the files in the same commits; only texts of four kinds are kept."""
+    kinds = {"txt", "md", "cpp", "py"}
+    store = new_store(spark, sf, names=True, contents=sample.documents(spark, sf).where(r"regexp_like(path_key, '[.](txt|md|cpp|py)$')"))
+    now, changes = _edited(spark, sf)
+    read = lambda files: now.join(files.select("path_key"), "path_key", "left_semi")
+    _delivered(spark, changes, lambda feed, checkpoint: follow_stream(feed, store.path, checkpoint, read, kinds))
+    kept = content.ContentIndex(store).documents.select("path_key", "mod_time", F.length("content").cast("long").alias("n_chars"))
+    found = content.ContentIndex(store).search("new appendix", 0).select("path_key", F.lit(True).alias("has_appendix"))
+    files = store.read(storage.FILES).where("path_lower like '/data/%' and type = 1").select("path_key", "size")
+    return files.join(kept, "path_key", "left").join(found, "path_key", "left").withColumn("has_appendix", F.coalesce("has_appendix", F.lit(False)))
+
+
 def events_to_changes(spark, sf):
     e = sample.read(spark, sf, "events")
     place = F.element_at(F.array(*map(F.lit, ("/live/a.txt", "/Apps/X.app/Contents/b", "/.Trashes/c", "/live/d", "/live/Y.app"))), (F.col("event_id") % 5 + 1).cast("int"))
@@ -259,21 +372,33 @@ def trigram_candidates(spark, sf):
     return postings.candidates(postings.postings(catalog_files(spark, sf), "name_lower"), "urgent")
 
 
+def index_candidates(spark, sf):
+    """What the stored index gives for a text, before any condition is checked."""
+    index = TrigramIndex(indexed_store(spark, sf), "names")
+    ids = index.ids("urgent", index.lengths(codes_of("urgent")), every=True)
+    return catalog_files(spark, sf).withColumn("id", row_id()).join(ids, "id", "left_semi").select("path_key")
+
+
 def posting_sizes(spark, sf):
     table = postings.postings(catalog_files(spark, sf), "name_lower")
     return postings.posting_sizes(table, "widget").select(F.decode("tri", "utf-8").alias("tri"), "n")
 
 
 def content_search(spark, sf):
-    return content.search(sample.documents(spark, sf), "License", 0).select("path_key", "match_offset")
+    return content.ContentIndex(indexed_store(spark, sf)).search("License", 0).select("path_key", "match_offset")
 
 
 def content_snippet(spark, sf):
-    return content.search(sample.documents(spark, sf), "the and", 200)
+    return content.ContentIndex(indexed_store(spark, sf)).search("the and", 200)
+
+
+def content_scan(spark, sf):
+    """The same without an index."""
+    return content.search(sample.documents(spark, sf), "License", 0).select("path_key", "match_offset")
 
 
 def content_described(spark, sf):
-    found = content.search(sample.documents(spark, sf), "password", 0)
+    found = content.ContentIndex(indexed_store(spark, sf)).search("token", 0)
     return content.described(found, catalog_files(spark, sf)).select("file_name", "file_path", "file_type", "match_offset")
 
 
@@ -321,7 +446,26 @@ _TRI = "SELECT DISTINCT nl[i:i+2] AS tri, path_key FROM (SELECT nl, path_key, un
 _SEARCHED = "searched AS (SELECT CASE WHEN event_id % 2 = 0 THEN upper(event_type[1]) || event_type[2:] ELSE event_type END || ' ' || user_id % 5 AS query, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events)"
 _HISTORY = "SELECT arg_max(query, {'ts': ts, 'query': query}) AS query, max(ts) AS last_used, count(*) AS count, lower(query) AS key FROM searched GROUP BY lower(query)"
 
+_FOUND = "CASE WHEN nl = 'f3.log' THEN 0 WHEN starts_with(nl, 'f3.log') THEN 1 WHEN contains(nl, 'f3.log') THEN 2 ELSE 3 END"
+_EDITED = f"""{_CONTENTS}, edited AS (
+  SELECT path_key, CASE WHEN mod_time % 3 = 0 THEN content || ' New Appendix' ELSE content END AS content, mod_time + CASE WHEN mod_time % 3 = 0 THEN 1 ELSE 0 END AS mod_time
+  FROM contents WHERE mod_time % 5 <> 0), lowered AS (SELECT path_key, mod_time, content, translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM edited)"""
+
 _SQL = {
+    "regex_atoms_search": _search_sql("regexp_matches(mp, '(?i)/brand#1[0-9]/.*(widget|gear)_[0-9]*7$')", None, 0),
+    "regex_nested_repetition": _search_sql(r"regexp_matches(nl, '^(d+o*)+(c|c_)+([0-9]+)*9\.txt$')", None, 0),
+    "indexed_search_after_changes": f"""SELECT name, path, type, size, mod_time, priority, compacted FROM (
+  SELECT regexp_extract(full_path, '([^/]*)$', 1) AS name, full_path AS path, type, size, mod_time, lower(full_path) AS mp, lower(regexp_extract(full_path, '([^/]*)$', 1)) AS nl, {_FOUND} AS priority
+  FROM ({_MERGED})) CROSS JOIN (SELECT unnest([false, true]) AS compacted) WHERE contains(mp, 'f3.log') OR contains(mp, 'widget')""",
+    "stream_compact_stream": f"SELECT *, (SELECT max(event_id) FROM events) AS last_event, 'suite' AS owner, '/Archive' AS offline FROM ({_MERGED})",
+    "stream_gap_rescans": f"SELECT *, 'gap' AS rescanned FROM ({_MERGED})",
+    "content_index_roundtrip": f"""WITH {_EDITED} SELECT path_key, strpos(low, lower(word)) - 1 AS match_offset, word, compacted FROM lowered
+CROSS JOIN (SELECT unnest(['new appendix', 'License']) AS word) CROSS JOIN (SELECT unnest([false, true]) AS compacted) WHERE contains(low, lower(word))""",
+    "stream_content_follow_up": f"""{sample.FILES_SQL}, {_EDITED},
+f AS (SELECT path_key, CASE WHEN mod_time % 3 = 0 THEN size + 13 ELSE size END AS size, ext IN ('txt', 'md', 'cpp', 'py') AS kept FROM files WHERE starts_with(pl, '/data/') AND type = 1 AND mod_time % 5 <> 0)
+SELECT f.path_key, f.size, l.mod_time, length(l.content) AS n_chars, coalesce(contains(low, 'new appendix'), false) AS has_appendix FROM f LEFT JOIN lowered l ON f.kept AND l.path_key = f.path_key""",
+    "index_candidates": f"{sample.FILES_SQL} SELECT path_key FROM files WHERE contains(mp, 'urg') AND contains(mp, 'rge') AND contains(mp, 'gen') AND contains(mp, 'ent')",
+    "content_scan": f"WITH {_CONTENTS} SELECT path_key, strpos(low, 'license') - 1 AS match_offset FROM contents WHERE contains(low, 'license')",
     "dir_list": f"{sample.FILES_SQL} SELECT name, full_path AS path, type, size, mod_time, 2 AS priority FROM files WHERE pl IN (SELECT path_key FROM files WHERE type = 2 AND nl = '1996' AND contains(pl, 'archive'))",
     "dir_list_nested": f"{sample.FILES_SQL} SELECT name, full_path AS path, type, size, mod_time, 2 AS priority FROM files WHERE pl IN (SELECT path_key FROM files WHERE type = 2 AND nl = 'src1' AND contains(pl, 'data'))",
     "indexed_search": _search_sql("contains(mp, 'widget') AND contains(mp, 'red')", "widget", 0),
@@ -359,7 +503,7 @@ s AS (SELECT *, greatest(hit - 80, 0) AS s0, least(hit + 7 + 80, length(content)
 t AS (SELECT *, CASE WHEN s0 > 0 AND contains(before, chr(10)) THEN s0 + length(before) - strpos(reverse(before), chr(10)) + 1 ELSE s0 END AS b FROM s)
 SELECT path_key, CASE WHEN b > 0 THEN '...' ELSE '' END || trim(translate(content[b + 1 : e], chr(10) || chr(13), '  '), ' ' || chr(9)) || CASE WHEN e < length(content) THEN '...' ELSE '' END AS snippet, hit AS match_offset
 FROM t ORDER BY path_key LIMIT 200""",
-    "content_described": f"{sample.FILES_SQL}, {_CONTENTS} SELECT name AS file_name, full_path AS file_path, type AS file_type, strpos(low, 'password') - 1 AS match_offset FROM contents JOIN files USING (path_key) WHERE contains(low, 'password')",
+    "content_described": f"{sample.FILES_SQL}, {_CONTENTS} SELECT name AS file_name, full_path AS file_path, type AS file_type, strpos(low, 'token') - 1 AS match_offset FROM contents JOIN files USING (path_key) WHERE contains(low, 'token')",
     "content_eligible": f"{sample.FILES_SQL} SELECT {_R} FROM files WHERE type = 1 AND CASE WHEN ext = '' THEN nl ELSE ext END IN ('txt', 'md', 'json')",
     "content_incremental": f"WITH {_CONTENTS} SELECT path_key, mod_time FROM contents WHERE mod_time % 3 = 0 OR (mod_time % 2 <> 0 AND mod_time % 5 = 0)",
     "history_entries": f"WITH {_SEARCHED} SELECT query, last_used, count FROM ({_HISTORY}) ORDER BY last_used DESC, key LIMIT 12",
@@ -367,8 +511,9 @@ FROM t ORDER BY path_key LIMIT 200""",
 }
 OTHERS = [
     dir_list, dir_list_nested, indexed_search, recent_topk, status_counts, type_stats, extension_stats, dedup_last_wins, lookup_path, lookup_many, remove_subtree, rescan_subtree,
-    merge_changes, merge_renames, change_log_replay, stream_merge_changes, events_to_changes, volume_offline_flag, trigram_postings, trigram_candidates, posting_sizes,
-    content_search, content_snippet, content_described, content_eligible, content_incremental, history_entries, history_suggest, highlight_ranges,
+    merge_changes, merge_renames, change_log_replay, stream_merge_changes, stream_compact_stream, stream_gap_rescans, stream_content_follow_up, events_to_changes, volume_offline_flag, trigram_postings, trigram_candidates, posting_sizes,
+    index_candidates, regex_atoms_search, regex_nested_repetition, indexed_search_after_changes,
+    content_search, content_scan, content_snippet, content_described, content_index_roundtrip, content_eligible, content_incremental, history_entries, history_suggest, highlight_ranges,
 ]
 
 
