@@ -164,13 +164,16 @@ def stripes(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", wor
     seen = None
     for k in range(words):
         elements = _stripes(rows, k, seen).select("lang", "prefix", F.explode("counts").alias("next", "n"))
-        merged = elements.groupBy("lang", "prefix", "next").agg(F.sum("n").alias("n"))
+        # One string is a smaller row to shuffle than three; words hold no newline.
+        merged = elements.groupBy(F.concat_ws("\n", "prefix", "next", "lang").alias("key")).agg(F.sum("n").alias("n"))
+        if k:
+            merged = merged.where(F.col("n") >= least)
+        parts = F.split("key", "\n", 3)
+        merged = merged.select(parts[2].alias("lang"), parts[0].alias("prefix"), parts[1].alias("next"), "n")
         if k == 0:
             merged = saved(merged)
             every = merged.groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit("").alias("prefix"), F.lit("").alias("next"), "n")
             merged = merged.where(F.col("n") >= least).unionByName(every)
-        else:
-            merged = merged.where(F.col("n") >= least)
         phrase = F.col("next") if k == 0 else F.concat_ws(" ", "prefix", "next")
         rounds.append(saved(merged.select("lang", "prefix", "next", phrase.alias("phrase"), "n")))
         if k + 1 < words:
