@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from contextlib import contextmanager
 from datetime import datetime
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,15 +150,40 @@ class Catalog:
         return self.files.where("ext <> ''").groupBy("ext").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
+class Cancelled(RuntimeError):
+    """A newer search of the same session took this one's place."""
+
+
+_sessions: dict[tuple[str, str], str] = {}
+_sessions_lock = Lock()
+
+
 @contextmanager
 def session(spark: SparkSession, name: str):
-    """Jobs started inside belong to a search session; an older one of the same name is cancelled. Without a name nothing is."""
+    """Jobs started inside belong to a search session; an older search of the same name is cancelled, whatever
+    thread it runs in, and raises Cancelled there. Without a name nothing is cancelled."""
     if not name:
         yield
         return
-    spark.interruptTag(name)
-    spark.addTag(name)  # of this thread
+    context = spark.sparkContext
+    key, group = (context.applicationId, name), f"{name}-{uuid.uuid4().hex}"
+    with _sessions_lock:
+        older, _sessions[key] = _sessions.get(key), group
+    if older is not None:
+        context._jsc.sc().cancelJobGroupAndFutureJobs(older)  # also jobs that it has yet to start
+    context.setJobGroup(group, f"search of {name}", interruptOnCancel=True)
     try:
         yield
+        if _sessions.get(key) != group:
+            raise Cancelled(name)
+    except Exception as e:
+        if _sessions.get(key) != group:
+            raise Cancelled(name) from e
+        raise
     finally:
-        spark.removeTag(name)
+        context.setLocalProperty("spark.jobGroup.id", None)
+        context.setLocalProperty("spark.job.description", None)
+        context.setLocalProperty("spark.job.interruptOnCancel", None)
+        with _sessions_lock:
+            if _sessions.get(key) == group:
+                del _sessions[key]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +11,8 @@ from ..sources.store import GONE, Commit, Store
 from .indexes import ROW_GROUP, TrigramIndex, all_of, certain, codes_of, row_id
 
 MAX_SIZE = 1 << 20
+#: Bytes of texts that a task reads before it hands them on.
+READ_BYTES = 8 << 20
 
 
 def eligible(files: DataFrame, extensions: set[str]) -> DataFrame:
@@ -30,6 +33,37 @@ def readable(contents: DataFrame, max_size: int = MAX_SIZE) -> DataFrame:
     return text.select(F.lower(path).alias("path_key"), F.decode("content", "UTF-8").alias("content"), F.unix_timestamp("modificationTime").alias("mod_time"))
 
 
+def read_files(files: DataFrame, max_size: int = MAX_SIZE) -> DataFrame:
+    """path_key, content, mod_time of catalog rows whose file is a readable text; tasks open the files themselves.
+
+    The files must be readable where the tasks run. One that is not there, too large or no text gives no row.
+    """
+
+    def run(batches):
+        rows, size = [], 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["path_key", "content", "mod_time"])
+
+        for batch in batches:
+            for key, path, time in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                try:
+                    with open(path, "rb") as f:
+                        data = f.read(max_size + 1)
+                except OSError:
+                    continue
+                if 0 < len(data) <= max_size and b"\0" not in data[:8192]:
+                    rows.append((key, data.decode("utf-8", "replace"), time))
+                    size += len(data)
+                if size > READ_BYTES:
+                    yield out()
+                    rows, size = [], 0
+        if rows:
+            yield out()
+
+    return files.select("path_key", "full_path", "mod_time").mapInArrow(run, "path_key string, content string, mod_time long")
+
+
 def with_hash(documents: DataFrame) -> DataFrame:
     return documents.withColumn("content_hash", F.xxhash64("content"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from datetime import UTC, datetime
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,6 +41,53 @@ def regex_ok(pattern: str) -> bool:
     return True
 
 
+#: Repetitions without an upper bound that a backtracking engine may try in turn; more of them go to the other engine.
+FEW_REPEATS = 2
+_UNBOUNDED = re.compile(r"[*+]\??|\{[0-9]+,\}\??")
+
+
+def backtracks(pattern: str) -> bool:
+    """Whether a backtracking engine may take more than a small power of a text's length: repetitions, or
+    alternatives, inside a repetition, or many repetitions in a row."""
+    groups: list[bool] = []  # of each open group: whether there is a choice inside
+    repeats, choice = 0, False  # choice: inside the group that ended just now
+    for m in _PARTS.finditer(pattern):
+        part = m[0]
+        if part.startswith("("):
+            groups.append(False)
+            continue
+        many = _UNBOUNDED.fullmatch(part) is not None
+        if part == ")":
+            choice = groups.pop() if groups else False
+            if groups and choice:
+                groups[-1] = True
+            continue
+        if many:
+            repeats += 1
+            if choice:
+                return True
+        if groups and (many or part in ("|", "?", "??") or part.startswith("{")):
+            groups[-1] = True
+        choice = False
+    return repeats > FEW_REPEATS
+
+
+def linear_match(pattern: str):
+    """A Column function that matches as rlike, letters of either case, by an automaton: in time linear in the
+    text, whatever the pattern. None if the pattern is not one for it."""
+    pattern = re.sub(r"\\Q(.*?)(?:\\E|$)", lambda m: re.escape(m[1]), pattern, flags=re.S)
+    try:
+        pc.match_substring_regex(pa.array([""]), pattern, ignore_case=True)
+    except pa.ArrowInvalid:
+        return None
+
+    @F.arrow_udf("boolean")
+    def matches(texts: pa.Array) -> pa.Array:
+        return pc.fill_null(pc.match_substring_regex(texts, pattern, ignore_case=True), False)
+
+    return matches
+
+
 def compared(column: Column, op: str, a: int, b: int) -> Column:
     match op:
         case "..":
@@ -79,7 +128,12 @@ class Compiler:
                 return T.glob(path if "/" in low and not t.name_only else name, low)
             case S.REGEX:
                 pattern = f"(?iu){t.text}"
-                return name.rlike(pattern) | path.rlike(pattern) if regex_ok(pattern) else F.lit(False)
+                if not regex_ok(pattern):
+                    return F.lit(False)
+                if backtracks(t.text):
+                    matches = linear_match(t.text)
+                    return matches(name) | matches(path) if matches else F.lit(False)
+                return name.rlike(pattern) | path.rlike(pattern)
             case S.WHOLE_WORD:
                 return T.whole_word(name, low)
             case S.WHOLE_NAME:

@@ -1,6 +1,6 @@
 """A small HTTP and JSON-RPC front end over a catalog. The work runs as Spark jobs; this only parses and prints.
 
-    python -m trawl.service --snapshots /data/catalog --documents /data/documents --port 8123
+    python -m trawl.service --cache-dir /data/catalog --root /srv/files --port 8123
 """
 
 from __future__ import annotations
@@ -10,25 +10,29 @@ import json
 import re
 import sys
 import time
+from functools import partial
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import content
-from .operators.catalog import Catalog, session
+from .operators.catalog import Cancelled, Catalog, derive, session
+from .operators.indexes import TrigramIndex
 from .sources import storage
+from .sources.filesystem import DirectorySource
+from .sources.store import Store
 
 DEFAULT_LIMIT, MAX_LIMIT = 100, 10_000
 
 
 class Api:
-    """Answers as dictionaries. documents: path_key, content; None without a content index.
+    """Answers as dictionaries. documents: path_key, content, or a stored content index; None without either.
 
     rebuild: functions that make a new catalog ("index") and new documents ("content") when asked to.
     """
 
-    def __init__(self, catalog: Catalog | None, documents: DataFrame | None = None, rebuild: dict | None = None):
+    def __init__(self, catalog: Catalog | None, documents: DataFrame | content.ContentIndex | None = None, rebuild: dict | None = None):
         self.catalog, self.documents, self.rebuild = catalog, documents, rebuild or {}
         self.config = {"extensions": ["txt", "md"], "maxFileSize": content.MAX_SIZE}
 
@@ -37,17 +41,21 @@ class Api:
         return min(max(int(text), 1), MAX_LIMIT) if text and text.lstrip("-").isdigit() else DEFAULT_LIMIT
 
     def search(self, q: str, limit: int, use_index: bool = True, client: str = "") -> dict:
-        """A file search; `infile:text` searches the contents. A client's search cancels that client's one before; without a client none is."""
+        """A file search; `infile:text` searches the contents. A client's search cancels that client's one before, which answers with nothing; without a client none is."""
         if q.strip().lower().startswith("infile:") and self.documents is not None:
             return self.search_content(q.strip()[7:].strip(), limit)
         began = time.perf_counter()
-        with session(self.catalog.spark, client and "search-" + re.sub("[^A-Za-z0-9_-]", "_", client)):
-            rows = self.catalog.search(q, limit, use_index=use_index).collect()  # limit rows at most
+        try:
+            with session(self.catalog.spark, client and "search-" + re.sub("[^A-Za-z0-9_-]", "_", client)):
+                rows = self.catalog.search(q, limit, use_index=use_index).collect()  # limit rows at most
+        except Cancelled:
+            rows = []
         found = [{"name": r["name"], "path": r["path"], "type": r["type"], "size": r["size"], "modTime": r["mod_time"]} for r in rows]
         return {"results": found, "count": len(found), "queryTimeMs": round((time.perf_counter() - began) * 1000, 2)}
 
     def search_content(self, q: str, limit: int) -> dict:
-        rows = content.described(content.search(self.documents, q, limit), self.catalog.files).orderBy("file_path").collect()
+        search = self.documents.search if isinstance(self.documents, content.ContentIndex) else partial(content.search, self.documents)
+        rows = content.described(search(q, limit), self.catalog.files).orderBy("file_path").collect()
         found = [{"fileName": r["file_name"], "filePath": r["file_path"], "snippet": r["snippet"], "matchOffset": r["match_offset"]} for r in rows]
         return {"results": found, "count": len(found)}
 
@@ -57,7 +65,21 @@ class Api:
 
     def status(self) -> dict:
         row = self.catalog.status().first()
-        return {"liveRecordCount": row["live_records"], "files": row["files"], "folders": row["folders"], "contentIndexedFileCount": self.documents.count() if self.documents is not None else 0}
+        return {"liveRecordCount": row["live_records"], "files": row["files"], "folders": row["folders"], "contentIndexedFileCount": self.indexed_files()}
+
+    def indexed_files(self) -> int:
+        if self.documents is None:
+            return 0
+        return (self.documents.documents if isinstance(self.documents, content.ContentIndex) else self.documents).count()
+
+    def read_contents(self, paths: DataFrame) -> DataFrame:
+        """Contents of catalog rows, by the present settings: files of the extensions, texts of maxFileSize bytes at most."""
+        return content.read_files(content.eligible(paths, set(self.config["extensions"])), self.config["maxFileSize"])
+
+    def answer(self, method: str, target: str, body: bytes = b"") -> tuple[int, dict]:
+        if method not in ("GET", "POST"):
+            return 405, {"error": "Method not allowed"}
+        return self.get(target) if method == "GET" else self.post(target, body)
 
     def get(self, target: str) -> tuple[int, dict]:
         url = urlsplit(target)
@@ -94,6 +116,8 @@ class Api:
             given = json.loads(body or b"{}")
         except ValueError:
             return 400, {"error": "body is not JSON"}
+        if not isinstance(given, dict) or not isinstance(given.get("extensions", []), list) or not isinstance(given.get("maxFileSize", 0), int):
+            return 400, {"error": "extensions must be a list and maxFileSize a number"}
         self.config |= {k: given[k] for k in self.config if k in given}
         return 200, self.config
 
@@ -151,11 +175,10 @@ def server(api: Api, port: int = 0) -> ThreadingHTTPServer:
             self.end_headers()
             self.wfile.write(data)
 
-        def do_GET(self):  # noqa: N802
-            self._send(*api.get(self.path))
+        def _any(self):
+            self._send(*api.answer(self.command, self.path, self.rfile.read(int(self.headers.get("Content-Length") or 0))))
 
-        def do_POST(self):  # noqa: N802
-            self._send(*api.post(self.path, self.rfile.read(int(self.headers.get("Content-Length") or 0))))
+        do_GET = do_POST = do_PUT = do_DELETE = do_PATCH = do_OPTIONS = _any  # noqa: N815
 
         def log_message(self, *args):
             pass
@@ -163,18 +186,53 @@ def server(api: Api, port: int = 0) -> ThreadingHTTPServer:
     return ThreadingHTTPServer(("127.0.0.1", port), Handler)
 
 
-def main() -> None:
+def scanned(spark: SparkSession, root: str, hidden: bool) -> DataFrame:
+    """The files below root as a catalog; root must be readable by all executors."""
+    spark.dataSource.register(DirectorySource)
+    return derive(spark.read.format("directories").option("skip_hidden", str(not hidden).lower()).load(root))
+
+
+def indexed(spark: SparkSession, cache: str, files: DataFrame, contents: DataFrame | None = None) -> Store:
+    """A store at cache with the catalog, the index of its names and, if given, contents with theirs."""
+    store = Store(spark, cache)
+    staged = store.stage(files.sortWithinPartitions("path"), storage.FILES)
+    tables = {storage.FILES: (staged, storage.KEY)} | TrigramIndex.built(store, "names", staged.df, "match_path")
+    store.replace(tables | (content.ContentIndex.built(store, contents) if contents is not None else {}))
+    return store
+
+
+def main(arguments: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("--snapshots", required=True)
-    p.add_argument("--documents")
+    p.add_argument("--cache-dir", "--snapshots", dest="cache", required=True, help="folder of the store")
+    p.add_argument("--root", help="scan this directory into the store first")
+    p.add_argument("--show-hidden", action="store_true", help="scan hidden files too")
+    p.add_argument("--documents", help="contents as Parquet: path_key, content")
     p.add_argument("--port", type=int, default=8123)
     p.add_argument("--rpc", action="store_true", help="JSON-RPC on standard input instead of HTTP")
-    a = p.parse_args()
+    a = p.parse_args(arguments)
     spark = SparkSession.builder.appName("trawl").getOrCreate()
-    make = {"index": lambda: Catalog(storage.read_snapshot(spark, a.snapshots))}
+    api = Api(None)
+
+    def rebuild(contents: bool = True) -> Catalog:
+        store = Store(spark, a.cache)
+        if a.root:
+            files = scanned(spark, a.root, a.show_hidden).persist()
+            store = indexed(spark, a.cache, files, api.read_contents(files))
+            files.unpersist()
+        if f"{content.ContentIndex.TABLE}" in store.head().tables:
+            api.documents = content.ContentIndex(store)
+        return Catalog.stored(store)
+
+    def again() -> DataFrame | content.ContentIndex:
+        if a.documents:
+            return spark.read.parquet(a.documents)
+        api.catalog = rebuild()
+        return api.documents
+
+    api.rebuild = {"index": rebuild, "content": again}
+    api.catalog = rebuild()
     if a.documents:
-        make["content"] = lambda: spark.read.parquet(a.documents)
-    api = Api(make["index"](), make["content"]() if a.documents else None, make)
+        api.documents = again()
     serve_rpc(api) if a.rpc else server(api, a.port).serve_forever()
 
 

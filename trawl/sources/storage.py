@@ -17,11 +17,14 @@ def versions(spark: SparkSession, base: str) -> DataFrame:
     return Store(spark, base).commits()
 
 
-def write_snapshot(files: DataFrame, base: str, *, read: int | None = None, last_event: int = NO_EVENT, extra: dict | None = None, offline: list[str] | None = None, sort_by: str = "path") -> int:
+def write_snapshot(files: DataFrame, base: str, *, version: int | None = None, read: int | None = None, last_event: int = NO_EVENT, extra: dict | None = None, offline: list[str] | None = None, sort_by: str = "path") -> int:
     """Writes a whole snapshot, rows of a directory side by side, and makes it current. Returns its version.
 
     read: the version that files were made from; if another is current by then, store.Conflict is raised.
+    version: the number it should get; if the snapshot has that already, nothing is written.
     """
+    if version is not None and version in Store(files.sparkSession, base).versions():
+        return version
     return Store(files.sparkSession, base).replace({FILES: (files.sortWithinPartitions(sort_by), KEY)}, read=read, last_event=last_event, extra=extra, offline=offline).version
 
 
@@ -40,16 +43,19 @@ def compact(spark: SparkSession, base: str, log: str | None = None, files: int |
 
     Metadata stays. Deltas that a stream adds meanwhile are kept.
     """
-    from ..operators.mutations import delta, replay
+    from ..operators.mutations import apply_changes, replay
 
-    store = Store(spark, base)
+    store, new, last = Store(spark, base), None, NO_EVENT
     if log is not None and _exists(spark, log):
         new = replay(read_changes(spark, log)).where(F.col("seq") > store.head().last_event)
         newest = new.agg(F.max("seq")).first()[0]
-        if newest is not None:
-            store.change({FILES: delta(new)}, last_event=newest)
-    ordered = lambda df: (df.repartitionByRange(files, "path", "name") if files else df.repartitionByRange("path", "name")).sortWithinPartitions("path")
-    return store.compact(FILES, ordered).version
+        new, last = (None, NO_EVENT) if newest is None else (new, newest)
+
+    def arranged(rows: DataFrame) -> DataFrame:
+        rows = rows if new is None else apply_changes(rows, new)
+        return (rows.repartitionByRange(files, "path", "name") if files else rows.repartitionByRange("path", "name")).sortWithinPartitions("path")
+
+    return store.compact(FILES, arranged, last_event=last).version
 
 
 def maintain(store: Store, name: str = FILES, share: float = 0.25) -> Commit | None:

@@ -214,8 +214,11 @@ class Store:
         """Whether a writer's change of this number is in the store."""
         return int(head.extra.get(writer, -1)) >= number
 
-    def compact(self, name: str, arrange: Callable[[DataFrame], DataFrame] = lambda df: df, *, block: int | None = None) -> Commit:
-        """Folds a table's deltas into a new base. Deltas that others add meanwhile stay behind it."""
+    def compact(self, name: str, arrange: Callable[[DataFrame], DataFrame] = lambda df: df, *, block: int | None = None, last_event: int = NO_EVENT) -> Commit:
+        """Folds a table's deltas into a new base. Deltas that others add meanwhile stay behind it.
+
+        arrange may sort the rows, and merge in what was logged up to last_event.
+        """
         head = self.head()
         old = head.tables[name]
         new = self.stage(arrange(self._read(old)), name, block)
@@ -224,7 +227,7 @@ class Store:
             t = now.tables[name]
             if t.base != old.base or t.deltas[: len(old.deltas)] != old.deltas:
                 raise Conflict(f"{name} was replaced while it was compacted")
-            return self._after(now, now.tables | {name: Table(t.key, new.folder, t.deltas[len(old.deltas) :], new.rows, t.changed - old.changed)}, NO_EVENT, None, None)
+            return self._after(now, now.tables | {name: Table(t.key, new.folder, t.deltas[len(old.deltas) :], new.rows, t.changed - old.changed)}, last_event, None, None)
 
         return self._commit(make)
 

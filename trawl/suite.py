@@ -195,7 +195,7 @@ def indexed_search(spark, sf):
 
 
 def regex_atoms_search(spark, sf):
-    return _shown(Catalog.stored(indexed_store(spark, sf)).search(r"regex:/brand#1[0-9]/.*(widget|gear)_[0-9]*7$", now=sample.NOW))
+    return _shown(Catalog.stored(indexed_store(spark, sf)).search(r"regex:/brand#1[0-9]/.*wid+get_[0-9]*7$", now=sample.NOW))
 
 
 def regex_nested_repetition(spark, sf):
@@ -452,7 +452,7 @@ _EDITED = f"""{_CONTENTS}, edited AS (
   FROM contents WHERE mod_time % 5 <> 0), lowered AS (SELECT path_key, mod_time, content, translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM edited)"""
 
 _SQL = {
-    "regex_atoms_search": _search_sql("regexp_matches(mp, '(?i)/brand#1[0-9]/.*(widget|gear)_[0-9]*7$')", None, 0),
+    "regex_atoms_search": _search_sql("regexp_matches(mp, '(?i)/brand#1[0-9]/.*wid+get_[0-9]*7$')", None, 0),
     "regex_nested_repetition": _search_sql(r"regexp_matches(nl, '^(d+o*)+(c|c_)+([0-9]+)*9\.txt$')", None, 0),
     "indexed_search_after_changes": f"""SELECT name, path, type, size, mod_time, priority, compacted FROM (
   SELECT regexp_extract(full_path, '([^/]*)$', 1) AS name, full_path AS path, type, size, mod_time, lower(full_path) AS mp, lower(regexp_extract(full_path, '([^/]*)$', 1)) AS nl, {_FOUND} AS priority
