@@ -313,3 +313,19 @@ def test_an_older_search_of_a_session_ends(spark):
         assert Catalog(files).search("d").count() == 4
     with session(spark, ""):
         assert Catalog(files).search("d").count() == 4
+
+
+QUERY_HINTS = ["test", "a | te", "d/te", "b/", "*.t?t", "ww:te", "wfn:TEST.md", "regex:t.s?", "regex:x*", "case:Te", "path:a file:t", "regex:[", "e/é st", "tt t te es", "regex:^(a+)+"]
+
+
+def test_highlights_as_columns_equal_the_rules(spark):
+    from trawl.operators import highlight
+
+    rng = random.Random(8)
+    texts = ["test.md", "TEST.md", "Te te-te.txt", "", "aé/É", "tttt", "x", None, "a b/test"] + ["".join(rng.choice("teTsadb/. éx") for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    rows = spark.createDataFrame([(n, p) for n in texts for p in ("/a/b", "", "/d/te", None, "/tést/Te")], "name string, path string").persist()
+    for q in QUERY_HINTS:
+        wanted = [h for h in highlight.hints(q) if not (h.mode == S.REGEX and compile_.backtracks(h.text))]
+        for r in highlight.highlighted(rows, q).collect():
+            expected = highlight.both(r["name"] or "", r["path"] or "", wanted)
+            assert ([tuple(x) for x in r["ranges"]["name"]], [tuple(x) for x in r["ranges"]["path"]]) == expected, (q, r)

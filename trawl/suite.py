@@ -432,6 +432,13 @@ def highlight_ranges(spark, sf):
     return highlight.highlighted(found.withColumn("path", F.regexp_replace("path", "/[^/]*$", "")), "doc src1")
 
 
+def highlight_marked(spark, sf):
+    """The ranges as text, of a term and of the name that a path query asks for."""
+    found = Catalog(catalog_files(spark, sf)).search("src1/doc d", now=sample.NOW).select("name", F.regexp_replace("path", "/[^/]*$", "").alias("path"))
+    marked = highlight.highlighted(found, "n/doc d")
+    return marked.select("name", "path", highlight.shown(F.col("ranges.name")).alias("name_ranges"), highlight.shown(F.col("ranges.path")).alias("path_ranges"))
+
+
 _R = "full_path, type, size, mod_time"
 _CHANGES = r"""changes AS (
   SELECT CASE event_type WHEN 'signup' THEN 'ADD' WHEN 'error' THEN 'REMOVE' ELSE 'UPDATE' END AS op, '/live/u' || user_id || '/f' || event_id % 7 || '.log' AS full_path,
@@ -465,6 +472,10 @@ CROSS JOIN (SELECT unnest(['new appendix', 'License']) AS word) CROSS JOIN (SELE
 f AS (SELECT path_key, CASE WHEN mod_time % 3 = 0 THEN size + 13 ELSE size END AS size, ext IN ('txt', 'md', 'cpp', 'py') AS kept FROM files WHERE starts_with(pl, '/data/') AND type = 1 AND mod_time % 5 <> 0)
 SELECT f.path_key, f.size, l.mod_time, length(l.content) AS n_chars, coalesce(contains(low, 'new appendix'), false) AS has_appendix FROM f LEFT JOIN lowered l ON f.kept AND l.path_key = f.path_key""",
     "index_candidates": f"{sample.FILES_SQL} SELECT path_key FROM files WHERE contains(mp, 'urg') AND contains(mp, 'rge') AND contains(mp, 'gen') AND contains(mp, 'ent')",
+    "highlight_marked": f"""{sample.FILES_SQL}, hit AS (SELECT name, path, nl, pl FROM files WHERE contains(mp, 'src1') AND contains(nl, 'doc') AND contains(mp, 'd')),
+d AS (SELECT *, list_filter(range(0, length(nl)), lambda i: nl[i + 1] = 'd') AS in_name, list_filter(range(0, length(pl)), lambda i: pl[i + 1] = 'd') AS in_path FROM hit)
+SELECT name, path, array_to_string(list_transform(in_name, lambda i: CASE WHEN nl[i + 1 : i + 3] = 'doc' THEN i || '-' || i + 3 ELSE i || '-' || i + 1 END), ',') AS name_ranges,
+  array_to_string(list_transform(in_path, lambda i: i || '-' || i + 1), ',') AS path_ranges FROM d""",
     "content_scan": f"WITH {_CONTENTS} SELECT path_key, strpos(low, 'license') - 1 AS match_offset FROM contents WHERE contains(low, 'license')",
     "dir_list": f"{sample.FILES_SQL} SELECT name, full_path AS path, type, size, mod_time, 2 AS priority FROM files WHERE pl IN (SELECT path_key FROM files WHERE type = 2 AND nl = '1996' AND contains(pl, 'archive'))",
     "dir_list_nested": f"{sample.FILES_SQL} SELECT name, full_path AS path, type, size, mod_time, 2 AS priority FROM files WHERE pl IN (SELECT path_key FROM files WHERE type = 2 AND nl = 'src1' AND contains(pl, 'data'))",
@@ -513,7 +524,7 @@ OTHERS = [
     dir_list, dir_list_nested, indexed_search, recent_topk, status_counts, type_stats, extension_stats, dedup_last_wins, lookup_path, lookup_many, remove_subtree, rescan_subtree,
     merge_changes, merge_renames, change_log_replay, stream_merge_changes, stream_compact_stream, stream_gap_rescans, stream_content_follow_up, events_to_changes, volume_offline_flag, trigram_postings, trigram_candidates, posting_sizes,
     index_candidates, regex_atoms_search, regex_nested_repetition, indexed_search_after_changes,
-    content_search, content_scan, content_snippet, content_described, content_index_roundtrip, content_eligible, content_incremental, history_entries, history_suggest, highlight_ranges,
+    content_search, content_scan, content_snippet, content_described, content_index_roundtrip, content_eligible, content_incremental, history_entries, history_suggest, highlight_ranges, highlight_marked,
 ]
 
 
