@@ -1,8 +1,10 @@
 """Row-wise operators: BPE, toxicity, language, main text, personal data, token files."""
 
 import hashlib
+import html
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -431,3 +433,63 @@ def test_pii_time_grows_with_the_text(pii_model):
         pii.find([" ".join(f"(743) 555-{i:05d}" for i in range(n))], *pii_model)
         took.append(time.process_time() - at)
     assert took[1] < 8 * took[0] + 1
+
+
+@pytest.mark.parametrize("size", [66_000, 1_000_000])
+def test_language_learns_from_long_texts_alone(spark, size):
+    words = {"en": "the cat and that dog were with this house ", "de": "der hund und eine katze sind nicht hier zuhause "}
+    rows = [(i, words[lang] * (size // 44) + f" {i}", lang) for i in range(12) for lang in [("en", "de")[i % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    out = language.identify_language(docs, language.fit_documents(docs)).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in out} == {i: lang for i, _, lang in rows}
+
+
+def test_language_takes_few_windows_of_a_text():
+    text = "".join(f"word{i} " for i in range(100_000))
+    drawn = language.sampled_windows(text, 7)
+    assert len(drawn) == language.FIT_WINDOWS and drawn == language.sampled_windows(text, 7) != language.sampled_windows(text, 8)
+    assert language.sampled_windows("short", 7) == [] and len(language.sampled_windows("x" * 24, 7)) == 1
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<div class="content">' + "".join(f"<p>A line of it, {i}.</p>" for i in range(10)) + "</div>", "\n".join(f"A line of it, {i}." for i in range(10))),
+        ("<p>Short note.</p>", "Short note."),
+        ("plain  text\nwithout tags", "plain text without tags"),
+        ("<body><nav><a href=a>Home</a></nav><h1>Poem</h1><p>First line</p><p>Second line</p><footer>2020</footer></body>", "Poem\nFirst line\nSecond line"),
+        ("<div>" + "".join(f"<p>{'这是一个没有常用词的段落' * 7}{i}</p>" for i in range(10)) + "</div>", "\n".join(f"{'这是一个没有常用词的段落' * 7}{i}" for i in range(10))),
+        ("<nav>Home</nav><footer>2020</footer>", ""),
+        ("<ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul>", ""),
+    ],
+)
+def test_main_text_of_short_blocks_alone(page, text):
+    assert main_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("page", ["<svg>" * 4000, "<button>x" * 4000, "<svg>" * 4000 + "</svg>", "<title>" * 20_000, "".join(f"<x{i}><svg>a</svg>" for i in range(4000)), "<object><p>" * 4000 + "</object>"])
+def test_main_text_of_unclosed_elements_takes_linear_time(page):
+    began = time.perf_counter()
+    main_text.main_text(page)
+    assert time.perf_counter() - began < 1
+
+
+def test_main_text_of_the_sample_from_the_first_line(spark):
+    """The heading of a page, which is not in its document, and every line of the document."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    right, n = 0, 0
+    for r, p in zip(main_text.extract_main_text(pages).orderBy("page_id").collect(), pages.orderBy("page_id").collect(), strict=True):
+        source = docs[int(re.search(r"/(\d+)(?:\.html|[/?#]|$)", r["url"])[1])]
+        heading = re.search(r"<h1[^>]*>(.*?)</h1>", p["html"], re.S)
+        lines = [x for x in (re.sub(r"\s+", " ", x).strip() for x in source.split("\n")) if x]
+        lead = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]+>", "", heading[1]))).strip()] if heading else []
+        right, n = right + (r["text"].split("\n") == [x for x in lead if x] + lines), n + 1
+    assert right >= 0.99 * n
+
+
+def test_toxicity_on_the_given_labels(spark):
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect() if r["toxic"] is not None}
+    out = [(labels[r["doc_id"]], r["predicted"]) for r in toxicity.op4_toxicity(spark, "/root/testdata/sf0.1").where("held_out").collect() if r["doc_id"] in labels]
+    hit, false, missed = (sum(pair == p for pair in out) for p in ((1, 1), (0, 1), (1, 0)))
+    assert len(out) > 500 and hit / (hit + missed) >= 0.85 and hit / (hit + false) >= 0.85

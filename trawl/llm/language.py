@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, filter_arrow, fold_of, map_arrow, table
+from .common import bounded_sample, filter_arrow, fold_of, id_crc, map_arrow, table
 
 #: Bytes of a window; shorter ends are padded with zero bytes, which add nothing.
 WINDOW = 192
@@ -24,8 +24,6 @@ FILTERS = 8
 FIT_DOCS = 2500
 #: Windows taken from each of them for training.
 FIT_WINDOWS = 3
-#: Bytes of a document learned from, at most.
-FIT_BYTES = 1 << 16
 UNDETERMINED = "und"
 
 
@@ -140,28 +138,43 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def fit(rows: list[tuple[str, str]], seed: int = 4) -> ByteConvNet:
     """Trains on (text, label) rows; a label is what the text's windows learn."""
-    rng = np.random.default_rng(seed)
-    labels = sorted({label for _, label in rows})
-    xs, ys = [], []
-    for text, label in rows:
-        x, used = windows(text)
-        x = x[used >= WINDOW // 8]
-        if len(x):
-            pick = rng.permutation(len(x))[:FIT_WINDOWS]
-            xs.append(x[pick])
-            ys += [labels.index(label)] * len(pick)
-    if not xs:
+    drawn = []
+    for k, (text, label) in enumerate(rows):
+        drawn += [(w, label) for w in sampled_windows(text, seed * 1_000_003 + k)]
+    return fit_windows(drawn)
+
+
+def sampled_windows(text: str, seed: int) -> list[bytes]:
+    """At most FIT_WINDOWS of the text's windows, chosen alike in every run; ends that are too short teach nothing."""
+    x, used = windows(text)
+    x = x[used >= WINDOW // 8]
+    return [w.tobytes() for w in x[np.random.default_rng(seed).permutation(len(x))[:FIT_WINDOWS]]]
+
+
+def fit_windows(drawn: list[tuple[bytes, str]]) -> ByteConvNet:
+    """Trains on (window, label) rows; without any the network knows no language."""
+    if not drawn:
         return ByteConvNet.new([UNDETERMINED]).compiled()
-    return ByteConvNet.new(labels).train(np.concatenate(xs), np.array(ys)).compiled()
+    labels = sorted({label for _, label in drawn})
+    x = np.frombuffer(b"".join(w for w, _ in drawn), np.uint8).reshape(-1, WINDOW)
+    return ByteConvNet.new(labels).train(x, np.array([labels.index(label) for _, label in drawn])).compiled()
 
 
 def fit_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", n: int = FIT_DOCS) -> ByteConvNet:
-    """Learns from at most n documents with a language whose id's crc32 modulo 4 is not 2, those of more
-    than FIT_BYTES bytes left out, and from at most FIT_WINDOWS windows of each. Null and empty texts teach
-    nothing; without any text to learn from, the network knows no language and says `und` of all."""
-    known = docs.select(id_col, text_col, lang_col).where(F.col(lang_col).isNotNull() & (fold_of(id_col, 4) != 2))
-    rows = bounded_sample(known, id_col, n).where(F.octet_length(text_col) <= FIT_BYTES).collect()
-    return fit(sorted((r[text_col], r[lang_col]) for r in rows if r[text_col]))
+    """Learns from at most n documents with a language and a text whose id's crc32 modulo 4 is not 2, and
+    from at most FIT_WINDOWS windows of each, wherever in the text they are.
+
+    Windows are drawn by the tasks, so a text of any length can be learned from and the driver sees
+    n x FIT_WINDOWS x WINDOW bytes at most. Without any text to learn from, as in an empty table, the
+    network knows no language and says `und` of all.
+    """
+    known = docs.select(id_col, text_col, lang_col).where(F.col(lang_col).isNotNull() & (F.octet_length(text_col) >= WINDOW // 8) & (fold_of(id_col, 4) != 2))
+
+    def start():
+        return lambda rows: [(i, lang, w) for i, text, lang in rows for w in sampled_windows(text, id_crc(i))]
+
+    drawn = map_arrow(bounded_sample(known, id_col, n), f"{id_col} long, {lang_col} string, window binary", start, rows=16).collect()
+    return fit_windows([(w, lang) for _, lang, w in sorted((r[id_col], r[lang_col], bytes(r["window"])) for r in drawn)])
 
 
 def identify_language(docs: DataFrame, model: ByteConvNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,6 +212,7 @@ def keep_identified(docs: DataFrame, model: ByteConvNet, min_score: float = MIN_
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, learned from three quarters of them; null texts and texts without letters are `und`."""
     docs = table(spark, sf_dir, "documents")
     out = identify_language(docs, fit_documents(docs))
     return out.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")

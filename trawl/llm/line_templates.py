@@ -131,8 +131,11 @@ def _recurring(spots: DataFrame) -> DataFrame:
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, hash (of the text), places (array of int, from 0) of the lines whose template recurs.
 
-    A null text counts as empty; lines without tokens are none. Null and repeated ids and repeated rows
-    give their rows' places once each; other columns are ignored; an empty table gives an empty result.
+    A null text counts as empty; lines without tokens are none. A text of one line has nothing beside it
+    that could tell a copy, with small edits, from an unrelated text, so it adds to no template's count;
+    its line still goes if other texts make the template recur. Of a leaf's equally frequent tokens at a
+    place the greatest is the fixed one. Null and repeated ids and repeated rows give their rows' places
+    once each; other columns are ignored; an empty table gives an empty result.
     """
     leaf = ["n", "lead"]
     paths = _path(_lines(docs, id_col, text_col))

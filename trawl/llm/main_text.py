@@ -9,9 +9,12 @@ section of the page.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections import Counter
+from functools import cache
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +76,10 @@ def blocks(page: str) -> list[Block]:
     is_open: Counter[str] = Counter()
     current, links, section, at, count = None, 0, 0, 0, 0
 
+    @cache
+    def tags() -> _Tags:
+        return _Tags(page)
+
     def top():
         return stack[-1][1:4] if stack else (NONE, False, 0)
 
@@ -110,11 +117,10 @@ def blocks(page: str) -> list[Block]:
                 end = _end_of(name).search(page, at)
                 at = end.end() if end else len(page)
             elif name in ("noscript", "template", "iframe", "svg", "math", "object", "select", "button") and not attributes.endswith("/"):
-                at = _after(page, name, at, stack[-1][0] if stack else "")
+                at = tags().after(name, m.start(), at, stack[-1][0] if stack else "")
             continue
         if name == "title" and not closing:
-            end = _end_of(name).search(page, at)
-            at = end.end() if end else at
+            at = tags().closing(name, at)
             continue
         if name == "br":
             add(" ")
@@ -167,23 +173,58 @@ def _end_of(name: str) -> re.Pattern:
     return _ends[name]
 
 
-def _after(page: str, name: str, at: int, parent: str) -> int:
-    """Where an element that begins before `at` ends; at its own tag if its parent, or the page, ends first."""
-    depth, inner = 1, 0
-    key = f"{name} {parent}"
-    if key not in _ends:
-        _ends[key] = re.compile(rf"<(/?)({name}{'|' + re.escape(parent) if parent else ''})(?=[\s/>])[^<>]*?(/?)>", re.I)
-    for m in _ends[key].finditer(page, at):
-        step = -1 if m[1] else 0 if m[3] else 1
-        if m[2].lower() == name:
-            depth += step
-            if not depth:
-                return m.end()
-        else:
-            inner += step
-            if inner < 0:
-                break
-    return at
+class _Tags:
+    """Where elements end, from one reading of a page's tags, however many elements are open."""
+
+    _EVERY = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?=[\s/>])[^<>]*?(/?)>")
+
+    def __init__(self, page: str):
+        #: Of each element: (begin, end, step in depth) of its tags.
+        self.tags: dict[str, list[tuple[int, int, int]]] = {}
+        for m in self._EVERY.finditer(page):
+            self.tags.setdefault(m[2].lower(), []).append((m.start(), m.end(), -1 if m[1] else 0 if m[3] else 1))
+        self.ends: dict[str, dict[int, int]] = {}
+        self.closings: dict[str, list[tuple[int, int]]] = {}
+        self.depths: dict[str, tuple[list[int], list[int], list[int]]] = {}
+
+    def closing(self, name: str, at: int) -> int:
+        """Where the next closing tag ends; at, if there is none."""
+        if name not in self.closings:
+            self.closings[name] = [(start, end) for start, end, step in self.tags.get(name, []) if step < 0]
+        k = bisect.bisect_left(self.closings[name], (at,))
+        return self.closings[name][k][1] if k < len(self.closings[name]) else at
+
+    def after(self, name: str, begin: int, at: int, parent: str) -> int:
+        """Where the element whose tag stands from begin to at ends; at that tag if its parent, or the page, ends first."""
+        if name not in self.ends:
+            ends, waiting = self.ends.setdefault(name, {}), []
+            for start, end, step in self.tags.get(name, []):
+                if step > 0:
+                    waiting.append(start)
+                elif step < 0 and waiting:
+                    ends[waiting.pop()] = end
+        end = self.ends[name].get(begin, at)
+        return at if parent and parent != name and self._closes(parent, at, end) else end
+
+    def _closes(self, parent: str, at: int, end: int) -> bool:
+        """Whether a parent that is open at `at` ends before `end`."""
+        if parent not in self.depths:
+            tags = self.tags.get(parent, [])
+            depth = [0, *accumulate(step for _, _, step in tags)]
+            self.depths[parent] = [e for _, e, _ in tags], depth, _next_below(depth)
+        ends, _, below = self.depths[parent]
+        first = below[bisect.bisect_right(ends, at)] - 1  # depth k is that after k tags
+        return first < len(ends) and ends[first] <= end
+
+
+def _next_below(depth: list[int]) -> list[int]:
+    """For each place the next one where the depth is less; the length where there is none."""
+    out, waiting = [len(depth)] * len(depth), []
+    for i, d in enumerate(depth):
+        while waiting and depth[waiting[-1]] > d:
+            out[waiting.pop()] = i
+        waiting.append(i)
+    return out
 
 
 def first_pass(b: Block) -> int:
@@ -245,9 +286,9 @@ def main_text(page: str | None) -> str:
             if not b.inside:
                 b.boiler, b.label = True, BAD
     elif not any(b.label == GOOD for b in found):  # a language without a list of stop words
-        for b in found:
-            if b.label == UNSURE and not b.heading and len(b.text) >= LONG:
-                b.label = GOOD
+        unsure = [b for b in found if b.label == UNSURE and not b.heading]
+        for b in [b for b in unsure if len(b.text) >= LONG] or unsure:  # of short blocks alone, none is less text than another
+            b.label = GOOD
     second_pass(found)
     return "\n".join(b.text for b in found if b.label == GOOD)
 
@@ -266,4 +307,5 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
 
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; a null html and a page without main text give an empty text."""
     return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.col("n_chars").cast("long").alias("n_chars"))
