@@ -117,8 +117,13 @@ def subsumed(child: str, parent: str) -> bool:
 
 def merge_rescans(pending: set[str], new: list[str]) -> set[str]:
     """Paths to rescan, none below another."""
-    every = pending | set(new)
-    return {p for p in every if not any(q != p and subsumed(p, q) for q in every)}
+    out: set[str] = set()
+    top = None
+    for slashed, p in sorted((p.rstrip("/") + "/", p) for p in pending | set(new)):  # what lies below a path follows it at once
+        if top is None or not slashed.startswith(top):
+            out.add(p)
+            top = slashed
+    return out
 
 
 def throttled(path: str, last: dict[str, float], now: float, interval: float = 300.0) -> bool:

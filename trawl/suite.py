@@ -19,6 +19,7 @@ from .operators.indexes import TrigramIndex, codes_of, row_id
 from .sources import storage
 from .sources.store import Store
 from .streaming.changes import follow_stream, guarded_stream, merge_stream, read_feed, with_followers
+from .streaming.rescans import due_scans, rescanned
 
 _catalogs: dict[tuple, DataFrame] = {}
 _stores: dict[tuple, Store] = {}
@@ -124,6 +125,8 @@ SEARCHES: dict[str, tuple[str, str, str | None, int]] = {
     "dc_alias": ("dc:2023-12", "mod_time BETWEEN 1701388800 AND 1704067199", None, 0),
     "da_alias": ("da:>=2024", "mod_time >= 1704067200", None, 0),
     "macro_doc": ("doc: src3", "ext IN ('pdf','doc','docx','xls','xlsx','ppt','pptx','txt','rtf','odt','ods','odp','csv','md') AND contains(mp, 'src3')", "src3", 0),
+    "macro_doc_src1": ("doc: src1", "ext IN ('pdf','doc','docx','xls','xlsx','ppt','pptx','txt','rtf','odt','ods','odp','csv','md') AND contains(mp, 'src1')", "src1", 0),
+    "macro_not_pic": ("src1 !<pic: | audio: | video: | exe: >", "contains(mp, 'src1') AND ext NOT IN ('jpg','jpeg','png','gif','bmp','tiff','tif','webp','svg','ico','heic','heif','raw','mp3','wav','flac','aac','ogg','m4a','wma','alac','mp4','avi','mkv','mov','wmv','flv','webm','m4v','app','dmg','pkg','sh','command','csh','action')", "src1", 0),
     "macro_zip": ("zip:", "ext IN ('rar','zip','7z','tar','gz','bz2','xz','tgz','zst','lz4')", None, 0),
     "macro_exe": ("exe: widget", "ext IN ('app','dmg','pkg','sh','command','csh','action') AND contains(mp, 'widget')", "widget", 0),
     "macro_pic_or_audio": ("pic: | audio: | video:", "ext IN ('jpg','jpeg','png','gif','bmp','tiff','tif','webp','svg','ico','heic','heif','raw','mp3','wav','flac','aac','ogg','m4a','wma','alac','mp4','avi','mkv','mov','wmv','flv','webm','m4v')", None, 0),
@@ -136,6 +139,8 @@ SEARCHES: dict[str, tuple[str, str, str | None, int]] = {
     "slash_gap_right": ("archive/1/*/order_1", "SEGMENTS(['archive','1'], [true,false]) AND contains(nl, 'order_1')", "order_1", 0),
     "dir_exact": ("/archive/1996/", "SEGMENTS(['archive'], [true]) AND nl = '1996' AND type = 2", None, 0),
     "slash_and_filter": ("src2/doc ext:txt;md", "contains(mp, 'src2') AND contains(nl, 'doc') AND ext IN ('txt','md')", "doc", 0),
+    "slash_and_filter_src1": ("src1/doc ext:txt;md", "contains(mp, 'src1') AND contains(nl, 'doc') AND ext IN ('txt','md')", "doc", 0),
+    "tilde_is_home": ("~/doc_1", "SEGMENTS(['data','src1'], [true,true]) AND contains(nl, 'doc_1')", "doc_1", 0),
     "blank": ("  ", "false", None, 0),
     "leading_pipe": ("| doc", "false", None, 0),
     "bare_bang": ("doc !", "contains(mp, 'doc') AND contains(mp, '!')", "doc", 0),
@@ -172,12 +177,56 @@ def _shown(found: DataFrame) -> DataFrame:
 
 
 def _search(query: str, limit: int) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf: _shown(Catalog(catalog_files(spark, sf)).search(query, limit, now=sample.NOW))
+    return lambda spark, sf: _shown(Catalog(catalog_files(spark, sf)).search(query, limit, now=sample.NOW, home="/data/src1"))
 
 
 # ---- other operators ----
 
 
+def media_kinds(spark, sf):
+    """The catalog's parts under names of media files: which kinds find which."""
+    kinds = ("mp3", "FLAC", "mp4", "Mkv", "JPG", "svg", "pdf", "csv", "app", "zip", "none")
+    ext = F.element_at(F.array(*map(F.lit, kinds)), (F.col("size") / 1024 % len(kinds)).cast("int") + 1)
+    files = derive(catalog_files(spark, sf).where("path_lower like '/catalog/%'").select(F.concat("name", F.lit("."), ext).alias("name"), "path", F.lit(1).alias("type"), "size", "mod_time"))
+    found = None
+    for kind in ("audio", "video", "pic", "doc", "exe", "zip"):
+        one = Catalog(files).search(f"{kind}:").select(F.lit(kind).alias("kind"), "path")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def page_two(spark, sf):
+    return _shown(Catalog.page(Catalog(catalog_files(spark, sf)).search("doc", now=sample.NOW), 1, 40))
+
+
+def prune_contents(spark, sf):
+    return content.prune(sample.documents(spark, sf), catalog_files(spark, sf).where("size > 500")).select("path_key", "mod_time")
+
+
+def content_unverified(spark, sf):
+    """What the index alone says, without a look at the texts."""
+    return content.ContentIndex(indexed_store(spark, sf)).search("token", 0, verify=False)
+
+
+def compact_snapshot(spark, sf):
+    """A log merged in by a compaction."""
+    base, log = work_dir(spark), work_dir(spark)
+    storage.write_snapshot(catalog_files(spark, sf), base)
+    storage.append_changes(sample.changes(spark, sf), log)
+    storage.compact(spark, base, log)
+    return _rows(storage.read_snapshot(spark, base))
+
+
+def volume_registry(spark, sf):
+    """Mounts and unmounts as users' events tell them, and what is mounted at the next start."""
+    e = sample.read(spark, sf, "events")
+    mount = F.concat(F.lit("/Volumes/"), (F.col("user_id") % 12).cast("string"))
+    event = F.when(F.col("event_type") == "error", "FORGET").when(F.col("event_type") == "view", "MOUNT").otherwise("UNMOUNT")
+    known = volumes.update(sample.volumes(spark), e.select(mount.alias("mount"), event.alias("event"), F.col("event_id").alias("seq")))
+    here = e.where("event_id < 60").select(mount.alias("mount"))
+    return known.withColumn("at", F.lit("events")).unionByName(volumes.reconcile(known, here).withColumn("at", F.lit("start")))
+
+
 def _rows(files: DataFrame) -> DataFrame:
     return files.select("full_path", "type", "size", "mod_time")
 
@@ -200,7 +249,7 @@ def regex_atoms_search(spark, sf):
 
 def regex_nested_repetition(spark, sf):
     """A pattern that makes a backtracking engine try ever more ways."""
-    return _shown(Catalog(catalog_files(spark, sf)).search(r"regex:^(d+o*)+(c|c_)+([0-9]+)*9\.txt$", now=sample.NOW))
+    return _shown(Catalog(catalog_files(spark, sf)).search(r"regex:^(d+o*)+(c_?)+([0-9]+)*6\.txt$", now=sample.NOW))
 
 
 def indexed_search_after_changes(spark, sf):
@@ -309,6 +358,29 @@ def stream_gap_rescans(spark, sf):
     return _rows(storage.read_snapshot(spark, base)).withColumn("rescanned", F.lit(storage.metadata(spark, base)["extra"].get("rescanned")))
 
 
+def rescan_requests(spark, sf):
+    """Requests to scan directories again, as a stream: bursts of a volume's become scans of what they cover."""
+    e = sample.read(spark, sf, "events")
+    volume = F.concat(F.lit("/data/src"), (F.col("user_id") % 20).cast("string"))
+    below = F.element_at(F.array(*map(F.lit, ("/en", "", "/en/a", "/de"))), (F.col("event_id") % 4 + 1).cast("int"))
+    requests = e.select(volume.alias("volume"), F.concat(volume, below).alias("path"), F.timestamp_seconds(sample.seconds("ts")).alias("ts"))
+    feed, out, checkpoint = (work_dir(spark) for _ in range(3))
+    requests.write.parquet(feed)
+    due = due_scans(read_feed(spark, feed, requests.schema), debounce=3600, throttle=0)
+    due.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(due.schema).parquet(out).select("volume", "path", F.col("at").cast("long").alias("at"))
+
+
+def rescan_commits(spark, sf):
+    """Two directories scanned again: what is there now takes the place of all that was below them."""
+    store = new_store(spark, sf)
+    files = catalog_files(spark, sf)
+    roots = spark.createDataFrame([("/Data/src1/",), ("/archive/1996",)], "path string")
+    scan = lambda roots: files.where("(path_lower like '/data/src1/%' or path_lower like '/archive/1996/%') and size % 2 = 0").select("name", "path", "type", (F.col("size") + 1).alias("size"), "mod_time", "inode", "dev_id")
+    rescanned(store, roots, scan)
+    return _rows(store.read(storage.FILES))
+
+
 def _edited(spark, sf):
     """Documents as they are after every third was rewritten, and the changes of the catalog that tell so; every fifth is removed."""
     docs = sample.documents(spark, sf)
@@ -460,12 +532,29 @@ _EDITED = f"""{_CONTENTS}, edited AS (
 
 _SQL = {
     "regex_atoms_search": _search_sql("regexp_matches(mp, '(?i)/brand#1[0-9]/.*wid+get_[0-9]*7$')", None, 0),
-    "regex_nested_repetition": _search_sql(r"regexp_matches(nl, '^(d+o*)+(c|c_)+([0-9]+)*9\.txt$')", None, 0),
+    "regex_nested_repetition": _search_sql(r"regexp_matches(nl, '^(d+o*)+(c_?)+([0-9]+)*6\.txt$')", None, 0),
     "indexed_search_after_changes": f"""SELECT name, path, type, size, mod_time, priority, compacted FROM (
   SELECT regexp_extract(full_path, '([^/]*)$', 1) AS name, full_path AS path, type, size, mod_time, lower(full_path) AS mp, lower(regexp_extract(full_path, '([^/]*)$', 1)) AS nl, {_FOUND} AS priority
   FROM ({_MERGED})) CROSS JOIN (SELECT unnest([false, true]) AS compacted) WHERE contains(mp, 'f3.log') OR contains(mp, 'widget')""",
     "stream_compact_stream": f"SELECT *, (SELECT max(event_id) FROM events) AS last_event, 'suite' AS owner, '/Archive' AS offline FROM ({_MERGED})",
     "stream_gap_rescans": f"SELECT *, 'gap' AS rescanned FROM ({_MERGED})",
+    "rescan_requests": """WITH r AS (
+  SELECT '/data/src' || user_id % 20 AS volume, '/data/src' || user_id % 20 || ['/en', '', '/en/a', '/de'][event_id % 4 + 1] AS path, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events),
+b AS (SELECT *, sum(CASE WHEN t - before >= 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY volume ORDER BY t, path) AS burst FROM (SELECT *, lag(t) OVER (PARTITION BY volume ORDER BY t, path) AS before FROM r)),
+p AS (SELECT DISTINCT volume, burst, path FROM b), d AS (SELECT volume, burst, max(t) + 3600 AS "at" FROM b GROUP BY ALL)
+SELECT volume, path, "at" FROM p JOIN d USING (volume, burst) WHERE "at" <= (SELECT max(t) FROM r) AND NOT EXISTS (SELECT 1 FROM p q WHERE q.volume = p.volume AND q.burst = p.burst AND starts_with(p.path, q.path || '/'))""",
+    "rescan_commits": f"""{sample.FILES_SQL}, scanned AS (SELECT *, path_key = '/data/src1' OR starts_with(path_key, '/data/src1/') OR path_key = '/archive/1996' OR starts_with(path_key, '/archive/1996/') AS below FROM files)
+SELECT {_R} FROM scanned WHERE NOT below UNION ALL SELECT full_path, type, size + 1, mod_time FROM scanned WHERE (starts_with(pl, '/data/src1/') OR starts_with(pl, '/archive/1996/')) AND size % 2 = 0""",
+    "media_kinds": f"""{sample.FILES_SQL}, m AS (SELECT full_path || '.' || x AS path, lower(x) AS x FROM (SELECT *, ['mp3', 'FLAC', 'mp4', 'Mkv', 'JPG', 'svg', 'pdf', 'csv', 'app', 'zip', 'none'][size // 1024 % 11 + 1] AS x FROM files WHERE starts_with(pl, '/catalog/')))
+SELECT MAP {{'mp3': 'audio', 'flac': 'audio', 'mp4': 'video', 'mkv': 'video', 'jpg': 'pic', 'svg': 'pic', 'pdf': 'doc', 'csv': 'doc', 'app': 'exe', 'zip': 'zip'}}[x] AS kind, path FROM m WHERE x <> 'none'""",
+    "page_two": _search_sql("contains(mp, 'doc')", "doc", 0) + " ORDER BY priority, strlen(path), lower(path) LIMIT 40 OFFSET 40",
+    "prune_contents": f"{sample.FILES_SQL}, {_CONTENTS} SELECT path_key, contents.mod_time FROM contents JOIN files USING (path_key) WHERE size > 500",
+    "content_unverified": f"WITH {_CONTENTS} SELECT path_key, '' AS snippet, 0 AS match_offset FROM contents WHERE contains(low, 'tok') AND contains(low, 'oke') AND contains(low, 'ken')",
+    "compact_snapshot": _MERGED,
+    "volume_registry": """WITH e AS (SELECT '/Volumes/' || user_id % 12 AS mount, CASE event_type WHEN 'error' THEN 'FORGET' WHEN 'view' THEN 'MOUNT' ELSE 'UNMOUNT' END AS event, event_id FROM events),
+known AS (SELECT mount, arg_max(event, event_id) = 'MOUNT' AS online FROM e GROUP BY mount HAVING arg_max(event, event_id) <> 'FORGET' UNION ALL SELECT unnest(['/data/src0', '/data', '/Archive']), unnest([false, true, false])),
+here AS (SELECT DISTINCT mount FROM e WHERE event_id < 60)
+SELECT mount, online, 'events' AS "at" FROM known UNION ALL SELECT coalesce(k.mount, h.mount), h.mount IS NOT NULL, 'start' FROM known k FULL JOIN here h USING (mount)""",
     "content_index_roundtrip": f"""WITH {_EDITED} SELECT path_key, strpos(low, lower(word)) - 1 AS match_offset, word, compacted FROM lowered
 CROSS JOIN (SELECT unnest(['new appendix', 'License']) AS word) CROSS JOIN (SELECT unnest([false, true]) AS compacted) WHERE contains(low, lower(word))""",
     "stream_content_follow_up": f"""{sample.FILES_SQL}, {_EDITED},
@@ -522,8 +611,9 @@ FROM t ORDER BY path_key LIMIT 200""",
 }
 OTHERS = [
     dir_list, dir_list_nested, indexed_search, recent_topk, status_counts, type_stats, extension_stats, dedup_last_wins, lookup_path, lookup_many, remove_subtree, rescan_subtree,
-    merge_changes, merge_renames, change_log_replay, stream_merge_changes, stream_compact_stream, stream_gap_rescans, stream_content_follow_up, events_to_changes, volume_offline_flag, trigram_postings, trigram_candidates, posting_sizes,
+    merge_changes, merge_renames, change_log_replay, stream_merge_changes, stream_compact_stream, stream_gap_rescans, stream_content_follow_up, rescan_requests, rescan_commits, events_to_changes, volume_offline_flag, trigram_postings, trigram_candidates, posting_sizes,
     index_candidates, regex_atoms_search, regex_nested_repetition, indexed_search_after_changes,
+    media_kinds, page_two, prune_contents, content_unverified, compact_snapshot, volume_registry,
     content_search, content_scan, content_snippet, content_described, content_index_roundtrip, content_eligible, content_incremental, history_entries, history_suggest, highlight_ranges, highlight_marked,
 ]
 
