@@ -34,6 +34,9 @@ LOOKED_UP = 4
 LITERAL_IDS, BROADCAST_IDS = 64, 1 << 20
 #: Bytes of a row group in sorted tables.
 ROW_GROUP = 4 << 20
+#: Lengths that the driver remembers; a version's never change.
+MAX_KNOWN = 100_000
+_lengths: dict[tuple[str, str, int], dict[int, int]] = {}
 
 
 def row_id(key: str = "path_key") -> Column:
@@ -141,9 +144,17 @@ class TrigramIndex:
 
     def lengths(self, wanted: list[int]) -> dict[int, int]:
         """Upper bounds of the postings' lengths of some trigrams: one row a trigram reaches the driver."""
-        table = self.store._read(self.commit.tables[f"{self.name}_lengths"])
-        found = table.where(F.col("tri").isin(wanted)).groupBy("tri").agg(F.sum("n").alias("n")).collect() if wanted else []
-        return {c: 0 for c in wanted} | {r["tri"]: r["n"] for r in found}
+        known = _lengths.setdefault((self.store.path, self.name, self.commit.version), {})
+        new = [c for c in wanted if c not in known]
+        if new:
+            if sum(map(len, _lengths.values())) > MAX_KNOWN:
+                _lengths.clear()
+                known = _lengths.setdefault((self.store.path, self.name, self.commit.version), {})
+                new = wanted
+            table = self.store._read(self.commit.tables[f"{self.name}_lengths"])
+            found = table.where(F.col("tri").isin(new)).groupBy("tri").agg(F.sum("n").alias("n")).collect()
+            known |= {c: 0 for c in new} | {r["tri"]: r["n"] for r in found}
+        return {c: known[c] for c in wanted}
 
     def bound(self, need, lengths: dict[int, int]) -> int | None:
         """At most so many rows can match; None: any number can."""

@@ -10,6 +10,7 @@ import json
 import re
 import sys
 import time
+import uuid
 from functools import partial
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
@@ -20,7 +21,7 @@ from .operators import content
 from .operators.catalog import Cancelled, Catalog, derive, session
 from .operators.indexes import TrigramIndex
 from .sources import storage
-from .sources.filesystem import DirectorySource
+from .sources.filesystem import scan
 from .sources.store import Store
 
 DEFAULT_LIMIT, MAX_LIMIT = 100, 10_000
@@ -186,10 +187,10 @@ def server(api: Api, port: int = 0) -> ThreadingHTTPServer:
     return ThreadingHTTPServer(("127.0.0.1", port), Handler)
 
 
-def scanned(spark: SparkSession, root: str, hidden: bool) -> DataFrame:
-    """The files below root as a catalog; root must be readable by all executors."""
-    spark.dataSource.register(DirectorySource)
-    return derive(spark.read.format("directories").option("skip_hidden", str(not hidden).lower()).load(root))
+def scanned(spark: SparkSession, root: str, hidden: bool, work: str) -> DataFrame:
+    """The files below root as a catalog; root must be readable by all executors. Levels of the scan are kept in work."""
+    done = scan(spark, root, work, skip_hidden=not hidden, report=lambda p: print(f"level {p.level}: {p.records} records, {p.errors} errors, {p.waiting} directories to go", file=sys.stderr))
+    return derive(done.records)
 
 
 def indexed(spark: SparkSession, cache: str, files: DataFrame, contents: DataFrame | None = None) -> Store:
@@ -216,7 +217,7 @@ def main(arguments: list[str] | None = None) -> None:
     def rebuild(contents: bool = True) -> Catalog:
         store = Store(spark, a.cache)
         if a.root:
-            files = scanned(spark, a.root, a.show_hidden).persist()
+            files = scanned(spark, a.root, a.show_hidden, f"{a.cache}/_scans/{uuid.uuid4().hex}").persist()
             store = indexed(spark, a.cache, files, api.read_contents(files))
             files.unpersist()
         if f"{content.ContentIndex.TABLE}" in store.head().tables:
