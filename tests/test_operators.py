@@ -229,6 +229,20 @@ def test_service(spark, files):
     assert "world.cpp" in first["result"]["content"][0]["text"] and second["error"]["code"] == -32700
 
 
+def test_entry_where_the_corpus_part_is_gone(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    copy = tmp_path / "repo"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "*.json", "*.md"))
+    assert not (copy / "trawl" / "llm").exists() and not (copy / "corpus_pipeline.py").exists()
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 100 and not any(n.startswith('op') or n == 'pipeline' for n in q) and set(o) <= set(q); import trawl.service, trawl.streaming.rescans"
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, timeout=120, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
 def test_entry_without_the_corpus_part():
     import __spark_entry__ as entry
 
