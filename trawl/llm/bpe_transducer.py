@@ -349,6 +349,7 @@ def bpe_encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digests of each document's ids and of the bytes decoded from them; a null text has none."""
     import public_tokenizers
 
     return bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)

@@ -169,6 +169,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, share: float = SHARE, n: in
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items and the documents that contain them; null and empty texts contain nothing. See contained_items()."""
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

@@ -115,6 +115,7 @@ def exact_topk(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "v
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of each query; vectors that are null or hold null or non-finite numbers take no part."""
     return exact_topk(table(spark, sf_dir, "embeddings"))
 
 

@@ -325,6 +325,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op2_grammar_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and crc32 of each document's ids, from the files; a null text has the end id alone."""
     import public_tokenizers
 
     path = shared_dir(spark)

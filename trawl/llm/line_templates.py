@@ -185,6 +185,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, dropped lines and a digest of what is left of each document; a null text has no lines."""
     out = drop_recurring_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 

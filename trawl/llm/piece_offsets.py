@@ -34,6 +34,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 SLICE_BYTES, MAX_CHUNKS = 1 << 22, 400_000
 #: Symbols up to which each merge is found by looking at all pairs; longer chunks keep a heap.
 FEW_SYMBOLS = 24
+#: The rank of a pair that is no piece.
+NEVER = float("inf")
 
 
 def fields(message: bytes):
@@ -180,6 +182,8 @@ class Pieces:
         self.unknown_text = settings[44].decode() if 44 in settings else " ⁇ "
         self.byte_ids = [self.reserved[f"<0x{b:02X}>"] for b in range(256)] if settings.get(35, 0) else None
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids or [])}
+        #: Ids whose piece is not their text.
+        self.spelled = frozenset(self.reserved.values())
         #: Merges never cross the border before a mark if no piece holds a mark after another character.
         self.separable = not any(b == MARK != a for p in self.ids for a, b in zip(p, p[1:], strict=False))
         self.chunks: dict[str, tuple[bytes, bytes, bytes]] = {}
@@ -194,19 +198,19 @@ class Pieces:
         symbols = list(norm)
         if len(symbols) > FEW_SYMBOLS:
             return self._merged_by_heap(symbols)
-        never = float("inf")
-        ranks = [order.get(a + b, never) for a, b in zip(symbols, symbols[1:], strict=False)]
+        get = order.get
+        ranks = [get(a + b, NEVER) for a, b in zip(symbols, symbols[1:], strict=False)]
         while ranks:
             best = min(ranks)
-            if best == never:
+            if best == NEVER:
                 break
             i = ranks.index(best)
-            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            pair = symbols[i] = symbols[i] + symbols.pop(i + 1)
             del ranks[i]
             if i < len(ranks):
-                ranks[i] = order.get(symbols[i] + symbols[i + 1], never)
+                ranks[i] = get(pair + symbols[i + 1], NEVER)
             if i:
-                ranks[i - 1] = order.get(symbols[i - 1] + symbols[i], never)
+                ranks[i - 1] = get(symbols[i - 1] + pair, NEVER)
         return symbols
 
     def _merged_by_heap(self, symbols: list[str]) -> list[str]:
@@ -296,7 +300,11 @@ class Pieces:
     def chunk(self, source: str) -> tuple[bytes, bytes, bytes]:
         """ids, ends (32-bit integers) and decoded bytes of what lies between two borders, as it stands in a text."""
         ids, ends = self.projected(*self.normalizer(source, prefix=False))
-        return array("I", ids).tobytes(), array("I", ends).tobytes(), self.decode(ids, first=False).encode("utf-8", "replace")
+        if self.spelled.isdisjoint(ids):
+            text = "".join([self.pieces[i] for i in ids]).replace(MARK, " ")
+        else:
+            text = self.decode(ids, first=False)
+        return array("I", ids).tobytes(), array("I", ends).tobytes(), text.encode("utf-8", "replace")
 
     def columns(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, memoryview, np.ndarray]:
         """Of all texts, one after another: ids, piece ends (bytes of their own text), how many each text has,

@@ -148,7 +148,8 @@ def _in_tiles(rows: DataFrame, columns: list[str], compare) -> DataFrame:
 def links(nodes: DataFrame, limit: int) -> DataFrame:
     """a, b (nodes): a spanning forest of all links of at most limit bits where anchors meet.
 
-    nodes: node and fp (longs), saved, one row a node. No link of at most 3 bits is missed.
+    nodes: node and fp (longs, not null), saved, one row a node; equal fp are a link of 0 bits. No link of
+    at most 3 bits is missed. No nodes, or none that meet, give no rows.
     """
     rows = _meetings(nodes)
     full = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("home").alias("homes"))
@@ -168,7 +169,11 @@ def links(nodes: DataFrame, limit: int) -> DataFrame:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, root (least node reachable) for every node of edges a, b. Alternating large and small stars."""
+    """node, root (least node reachable) for every node of edges a, b. Alternating large and small stars.
+
+    Repeated edges, both directions and edges from a node to itself change nothing; nulls are not allowed.
+    A node without an edge to another has no row, and no edges give none.
+    """
     now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -479,4 +484,5 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, i
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each document; a text without words, null too, has fingerprint 0 and is linked like any other."""
     return simhash_components(table(spark, sf_dir, "documents"))

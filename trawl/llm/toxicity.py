@@ -237,6 +237,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of each document, empty and null texts too, learned from four fifths of the labels."""
     docs = table(spark, sf_dir, "documents")
     out = score_toxicity(docs, learn_from_labels(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
