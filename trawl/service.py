@@ -66,7 +66,8 @@ class Api:
 
     def status(self) -> dict:
         row = self.catalog.status().first()
-        return {"liveRecordCount": row["live_records"], "files": row["files"], "folders": row["folders"], "contentIndexedFileCount": self.indexed_files()}
+        # With deltas a store holds more records than live ones, until it is compacted.
+        return {"totalRecordCount": max(self.catalog.total, row["live_records"]), "liveRecordCount": row["live_records"], "files": row["files"], "folders": row["folders"], "contentIndexedFileCount": self.indexed_files()}
 
     def indexed_files(self) -> int:
         if self.documents is None:
