@@ -89,14 +89,14 @@ def path_segments(path: Column, segments, adjacency: str = "reference") -> Colum
 
 
 def trigrams(text: Column) -> Column:
-    """Distinct three-byte substrings of the ASCII-lowered UTF-8 bytes, in order of appearance."""
+    """Distinct three-byte substrings of the ASCII-lowered UTF-8 bytes, in order of appearance; a null text has none."""
     # As a variable of a lambda the bytes are made once, not anew for each trigram; as hexadecimal digits equal ones are found by hash.
     def of(raw: Column) -> Column:
         places = F.sequence(F.lit(1), F.greatest(F.octet_length(raw) - 2, F.lit(1)))
         every = F.array_distinct(F.transform(places, lambda i: F.hex(F.substr(raw, i, F.lit(3)))))
         return F.when(F.octet_length(raw) < 3, F.array().cast("array<binary>")).otherwise(F.transform(every, lambda x: F.unhex(x)))
 
-    return F.element_at(F.transform(F.array(F.encode(ascii_lower(text), "utf-8")), of), 1)
+    return F.element_at(F.transform(F.array(F.encode(ascii_lower(F.coalesce(text, F.lit(""))), "utf-8")), of), 1)
 
 
 def trigrams_of(text: str) -> list[bytes]:

@@ -48,8 +48,8 @@ _FOLDED = "\u017f\u0131\u212a", "sik"
 
 
 def codes(text: Column) -> Column:
-    """Distinct trigrams of the ASCII-lowered UTF-8 bytes; none in fewer than three bytes."""
-    raw = F.encode(F.translate(T.ascii_lower(text), *_FOLDED), "utf-8")
+    """Distinct trigrams of the ASCII-lowered UTF-8 bytes; none in fewer than three bytes or a null."""
+    raw = F.encode(F.translate(T.ascii_lower(F.coalesce(text, F.lit(""))), *_FOLDED), "utf-8")
 
     def of(r: Column) -> Column:
         places = F.sequence(F.lit(1), F.greatest(F.octet_length(r) - 2, F.lit(1)))
