@@ -58,6 +58,23 @@ def test_deltas_equal_a_rewrite(spark, few, tmp_path):
         Store(spark, f"file://{tmp_path}/none").change({})
 
 
+def test_folded_deltas_read_alike(spark, tmp_path, docs, monkeypatch):
+    store = indexed_store(spark, tmp_path, docs)
+    for n in range(4):
+        now = docs.where(f"path_key in ('/d/f{n}.txt', '/d/f9.txt')").withColumns({"content": F.concat(F.lit(f"Round{n} "), "content"), "mod_time": F.lit(10 + n).cast("long")})
+        store.change(content.ContentIndex(store).deltas(now, spark.createDataFrame([(f"/d/f{20 + n}.txt",)], "path_key string")))
+    state = lambda: (sorted(map(tuple, store.read("contents").collect())), sorted(map(tuple, store.read("words_postings").collect())), sorted(map(tuple, store.read("words_lengths").groupBy("tri").sum("n").collect())))
+    before = state()
+    assert [len(store.head().tables[t].deltas) for t in ("contents", "words_postings", "words_lengths")] == [4, 4, 4]
+    monkeypatch.setattr(storage, "MAX_DELTAS", 3)
+    storage.maintain(store, share=9)
+    assert [len(store.head().tables[t].deltas) for t in ("contents", "words_postings", "words_lengths")] == [1, 1, 1] and state() == before
+    assert store.fold("contents").version == store.head().version  # one delta is not folded
+    storage.maintain(store, share=0.01)
+    assert not any(store.head().tables[t].deltas for t in ("contents", "words_postings", "words_lengths")) and state()[:2] == before[:2]
+    assert sorted(r["path_key"] for r in content.ContentIndex(store).search("round3", 0).collect()) == ["/d/f3.txt", "/d/f9.txt"]
+
+
 def test_a_change_costs_its_own_size(spark, tmp_path):
     sizes = []
     for n in (10, 4000):

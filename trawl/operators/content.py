@@ -139,11 +139,14 @@ class ContentIndex:
     def rows(documents: DataFrame) -> DataFrame:
         return with_hash(documents).select("path_key", row_id().alias("id"), "mod_time", "content_hash", "content")
 
+    @staticmethod
+    def arranged(rows: DataFrame) -> DataFrame:
+        return rows.repartitionByRange("id").sortWithinPartitions("id")
+
     @classmethod
     def built(cls, store: Store, documents: DataFrame) -> dict:
         """The index's tables over documents (path_key, content, mod_time; one row a key), for Store.replace. Null contents are left out."""
-        rows = cls.rows(documents.where("content is not null")).repartitionByRange("id").sortWithinPartitions("id")
-        contents = store.stage(rows, cls.TABLE, ROW_GROUP)
+        contents = store.stage(cls.arranged(cls.rows(documents.where("content is not null"))), cls.TABLE, ROW_GROUP)
         return {cls.TABLE: (contents, "path_key")} | TrigramIndex.built(store, cls.INDEX, contents.df, "content")
 
     def deltas(self, documents: DataFrame, gone: DataFrame) -> dict:
@@ -167,7 +170,7 @@ class ContentIndex:
 
     @classmethod
     def compact(cls, store: Store) -> Commit:
-        store.compact(cls.TABLE, lambda df: df.repartitionByRange("id").sortWithinPartitions("id"), block=ROW_GROUP)
+        store.compact(cls.TABLE, cls.arranged, block=ROW_GROUP)
         TrigramIndex.compact(store, cls.INDEX)
         return store.head()
 

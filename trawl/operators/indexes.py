@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans import syntax as S
+from ..sources.storage import ROW_GROUP
 from ..sources.store import GONE, Store
 
 #: Share of the rows above which an index is not worth its lookups.
@@ -32,8 +33,6 @@ SCAN_SHARE = 0.1
 LOOKED_UP = 4
 #: Ids that are handed to the scan as literals, for which it skips pages; and ids that go to all executors at once (8 bytes each).
 LITERAL_IDS, BROADCAST_IDS = 64, 1 << 20
-#: Bytes of a row group in sorted tables.
-ROW_GROUP = 4 << 20
 #: Lengths that the driver remembers; a version's never change.
 MAX_KNOWN = 100_000
 _lengths: dict[tuple[str, str, int], dict[int, int]] = {}

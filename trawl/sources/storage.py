@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import NO_EVENT, Commit, Store
+from .store import NO_EVENT, Conflict, Store
 
 FILES, KEY = "files", "path_key"
+#: Bytes of a row group in tables that are looked up by a sorted column.
+ROW_GROUP = 4 << 20
 
 
 def versions(spark: SparkSession, base: str) -> DataFrame:
@@ -58,12 +60,36 @@ def compact(spark: SparkSession, base: str, log: str | None = None, files: int |
     return store.compact(FILES, arranged, last_event=last).version
 
 
-def maintain(store: Store, name: str = FILES, share: float = 0.25) -> Commit | None:
-    """Compacts a table whose deltas have grown to a share of it; else does nothing."""
+#: Deltas of a table that are read one by one, before they are folded into one.
+MAX_DELTAS = 16
+
+
+def maintain(store: Store, share: float = 0.25) -> None:
+    """Folds the deltas of tables that have many, and rewrites those whose deltas have grown to a share of them.
+
+    If another writer replaces a table meanwhile, it is left for the next time.
+    """
+    from ..operators.content import ContentIndex
+    from ..operators.indexes import TrigramIndex
     from ..operators.mutations import should_compact
 
-    t = store.head().tables[name]
-    return store.compact(name) if should_compact(t.rows, t.changed, share) else None
+    for name, t in store.head().tables.items():
+        if t.key is None:
+            continue  # lengths follow their postings
+        try:
+            if should_compact(t.rows, t.changed, share):
+                if name.endswith("_postings"):
+                    TrigramIndex.compact(store, name.removesuffix("_postings"))
+                elif name == ContentIndex.TABLE:
+                    store.compact(name, ContentIndex.arranged, block=ROW_GROUP)
+                else:
+                    store.compact(name)
+            elif len(t.deltas) > MAX_DELTAS:
+                store.fold(name)
+                if name.endswith("_postings"):
+                    store.fold(name.removesuffix("_postings") + "_lengths")
+        except Conflict:
+            continue
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

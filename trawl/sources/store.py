@@ -231,6 +231,23 @@ class Store:
 
         return self._commit(make)
 
+    def fold(self, name: str, *, block: int | None = None) -> Commit:
+        """Folds a table's deltas into one, at the cost of their size; the base stays."""
+        old = self.head().tables[name]
+        if len(old.deltas) < 2:
+            return self.head()
+        every, last = self._deltas(old)
+        rows = every if last is None else every.join(last, [old.key, "_order"], "left_semi").drop("_order")
+        new = self.stage(rows, name, block)
+
+        def make(now: Commit) -> Commit:
+            t = now.tables[name]
+            if t.base != old.base or t.deltas[: len(old.deltas)] != old.deltas:
+                raise Conflict(f"{name} was replaced while its deltas were folded")
+            return self._after(now, now.tables | {name: dataclass_replace(t, deltas=[new.folder, *t.deltas[len(old.deltas) :]], changed=t.changed - old.changed + new.rows)}, NO_EVENT, None, None)
+
+        return self._commit(make)
+
     def vacuum(self, keep: int = 2) -> int:
         """Deletes folders that earlier commits name and the last `keep` do not, with those commits. Folders that no commit names yet belong to writers at work."""
         known = self.versions()
@@ -252,17 +269,23 @@ class Store:
             raise FileNotFoundError(f"no {name} in {self.path}")
         return self._read(commit.tables[name])
 
+    def _deltas(self, t: Table) -> tuple[DataFrame, DataFrame | None]:
+        """All rows of the deltas, and for a table with a key the number (_order) of the last delta that touches each key."""
+        parts = [self.spark.read.parquet(f"{self.path}/{d}") for d in t.deltas]
+        if t.key is None:
+            return reduce(DataFrame.unionByName, parts), None
+        every = reduce(DataFrame.unionByName, [p.withColumn("_order", F.lit(i)) for i, p in enumerate(parts)])
+        return every, every.groupBy(t.key).agg(F.max("_order").alias("_order"))
+
     def _read(self, t: Table) -> DataFrame:
         base = self.spark.read.parquet(f"{self.path}/{t.base}")
         if not t.deltas:
             return base
-        parts = [self.spark.read.parquet(f"{self.path}/{d}") for d in t.deltas]
-        if t.key is None:
-            return reduce(DataFrame.unionByName, parts, base)
-        every = reduce(DataFrame.unionByName, [p.withColumn("_order", F.lit(i)) for i, p in enumerate(parts)])
+        every, last = self._deltas(t)
+        if last is None:
+            return base.unionByName(every)
         # Keys are few beside the base; Spark broadcasts them if their files are small, and shuffles both otherwise.
-        last = every.groupBy(t.key).agg(F.max("_order").alias("_order"))
         fresh = every.where(~F.col(GONE))
-        if len(parts) > 1:
+        if len(t.deltas) > 1:
             fresh = fresh.join(last, [t.key, "_order"], "left_semi")
         return base.join(last.select(t.key), t.key, "left_anti").select(base.columns).unionByName(fresh.select(base.columns))

@@ -30,7 +30,8 @@ def merge_stream(changes: DataFrame, base: str, checkpoint: str, *, once: bool =
     """Merges a streaming DataFrame of changes into the snapshot at base, where one must be.
 
     A micro-batch writes its own changes only, and one that runs again after a failure finds its number in
-    the metadata and changes nothing. The catalog is rewritten when deltas come to compact_share of it.
+    the metadata and changes nothing. Many deltas are folded into one, and the catalog is rewritten when they
+    come to compact_share of it.
     Other writers, compactions among them, may commit between two micro-batches; all metadata stays, and
     the last event never goes back.
     """
@@ -79,7 +80,7 @@ def with_followers(store: Store, changes: DataFrame, read_contents: Callable[[Da
 
 
 def follow_stream(
-    changes: DataFrame, base: str, checkpoint: str, read_contents: Callable[[DataFrame], DataFrame] | None, extensions: set[str], *, once: bool = True, every: str = "300 milliseconds", name: str | None = None
+    changes: DataFrame, base: str, checkpoint: str, read_contents: Callable[[DataFrame], DataFrame] | None, extensions: set[str], *, once: bool = True, every: str = "300 milliseconds", name: str | None = None, compact_share: float = 0.25
 ) -> StreamingQuery:
     """As merge_stream, for a store that keeps indexes and contents beside the files: each micro-batch is one commit of all."""
 
@@ -89,6 +90,7 @@ def follow_stream(
             with_followers(Store(batch.sparkSession, base), batch, read_contents, extensions, once=(f"stream {checkpoint}", number))
         finally:
             batch.unpersist()
+        storage.maintain(Store(batch.sparkSession, base), compact_share)
 
     return started(changes, merge, checkpoint, once, every, name)
 
