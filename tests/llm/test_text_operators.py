@@ -424,6 +424,27 @@ def test_pii_query_columns(spark):
         assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x[0] == k for x in spans) for k in pii.KINDS]
 
 
+def test_pii_query_counts_base_spans_alone(spark, tmp_path, monkeypatch):
+    """Rows in which spans of the base kinds are added: the counts stay those of the base patterns."""
+
+    class Sure:
+        def probability(self, x):
+            return np.ones(len(x))
+
+    monkeypatch.setattr(pii, "fit", lambda texts: ({k: Sure() for k in pii.KINDS}, dict.fromkeys(pii.KINDS, 0.5)))
+    odd = {
+        1: "call (743) 555-3824 today or +49 30 1234567, pay with 4111.1111.1111.1111 or 4111 1111 1111 1111 now",
+        2: "at john.doe [at] mail (dot) com or a.b@mail.com, server 10[.]0[.]0[.]7 and 10.0.0.8 down",
+    }
+    spark.createDataFrame([*odd.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in pii.op9_pii(spark, str(tmp_path)).collect()}
+    for d, text in odd.items():
+        base = plain_spans(text)
+        assert rows[d]["n_spans"] >= len(base) + 2
+        assert [rows[d][f"n_{k}"] for k in pii.BASE_KINDS] == [sum(x[0] == k for x in base) for k in pii.BASE_KINDS]
+    assert [sum(rows[d][f"n_{k}"] for d in odd) for k in pii.BASE_KINDS] == [1, 1, 1, 1]
+
+
 def test_pii_time_grows_with_the_text(pii_model):
     import time
 

@@ -431,10 +431,11 @@ def redact(text: str, spans) -> str:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of each kind and of all spans, a digest of the base spans, and all spans as text. Of nulls,
-    empty tables and repeated rows see detect_pii()."""
+    """Counts of the base spans of each kind, their digest, all spans as text, and counts of secrets, which
+    have no base pattern, and of all spans. Of nulls, empty tables and repeated rows see detect_pii()."""
     found = detect_pii(table(spark, sf_dir, "documents"))
     text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    n = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    digest = F.sha2(text(F.filter("spans", lambda x: x["base"])), 256).alias("base_sha256")
-    return found.select("doc_id", *(n(k) for k in BASE_KINDS), digest, text(F.col("spans")).alias("spans"), n("secret"), F.size("spans").cast("long").alias("n_spans"))
+    base = F.filter("spans", lambda x: x["base"])
+    n = lambda k, c: F.size(F.filter(c, lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    digest = F.sha2(text(base), 256).alias("base_sha256")
+    return found.select("doc_id", *(n(k, base) for k in BASE_KINDS), digest, text(F.col("spans")).alias("spans"), n("secret", "spans"), F.size("spans").cast("long").alias("n_spans"))
