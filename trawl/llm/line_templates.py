@@ -33,7 +33,7 @@ COMMON, MOST = 0.01, 3
 #: wordy places in a template, and their least number at the lower level.
 SAME, FIXED, MIN_FIXED = 0.5, 0.5, 4
 ANY = "<*>"
-_SPACE = "[\\x20\\x09\\x0B-\\x0D]+"
+_SPACE, _BLANKS = "[\\x20\\x09\\x0B-\\x0D]+", " \t\x0b\x0c\r"
 
 
 def _tokens(line: Column) -> Column:
@@ -48,7 +48,7 @@ def _start(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text hash, the text's traits, place and line for every line."""
+    """id, text hash, places and starts of the lines that the text's traits come from, place and line for every line."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("id"), F.md5(text).alias("hash"), F.split(text, "\n", -1).alias("lines"))
     longest = F.sort_array(F.transform("lines", lambda x, i: F.struct((-F.octet_length(x)).alias("size"), i.alias("place"))))
@@ -56,9 +56,12 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     at = [F.lit(0), F.col("k") - 1, F.floor(F.col("k") / 2).cast("int"), F.col("longest")[0]["place"], F.col("longest")[F.least(F.lit(1), F.col("k") - 1)]["place"]]
     at = F.array(*(x.cast("int") for x in at))
     starts = F.transform(at, lambda x: _start(F.element_at("lines", x + 1)))
-    d = d.select("id", "hash", at.alias("at"), starts.alias("starts"), F.posexplode("lines").alias("place", "line"))
-    traits = F.zip_with("at", "starts", lambda x, v: F.when(x != F.col("place"), v))
-    return d.select("id", "hash", traits.alias("traits"), "place", "line")
+    return d.select("id", "hash", at.alias("at"), starts.alias("starts"), F.posexplode("lines").alias("place", "line"))
+
+
+def _traits() -> Column:
+    """The text's traits beside the line at hand; where that is the trait's own line, null."""
+    return F.zip_with("at", "starts", lambda x, v: F.when(x != F.col("place"), v))
 
 
 def _masked(line: Column) -> Column:
@@ -71,9 +74,13 @@ def _masked(line: Column) -> Column:
 
 
 def _path(lines: DataFrame) -> DataFrame:
-    """Adds masked, and the path n (tokens) and lead (the first of them). Lines without tokens go."""
-    t = lines.withColumn("masked", _masked(F.col("line"))).drop("line").where("masked <> ''")
-    return t.withColumns({"n": F.size(F.split("masked", " ")), "lead": F.substring_index("masked", " ", DEPTH)})
+    """Adds masked, and the path n (tokens) and lead (the first of them). Lines without tokens go.
+
+    They are told by the line, as a filter by masked would make Spark work that out twice.
+    """
+    t = lines.where(F.ltrim("line", F.lit(_BLANKS)) != "").withColumn("masked", _masked(F.col("line"))).drop("line")
+    blanks = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit("")))
+    return t.withColumns({"n": blanks + 1, "lead": F.substring_index("masked", " ", DEPTH)})
 
 
 def _least(n: Column) -> Column:
@@ -141,7 +148,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     paths = _path(_lines(docs, id_col, text_col))
     # A leaf with fewer lines than a template needs texts holds no recurring one; its lines go no further.
     full = saved(paths.groupBy(*leaf).agg(F.count("*").alias("c")).where(F.col("c") >= _least(F.col("n"))).drop("c"))
-    kept = saved(paths.join(small(full), leaf).select("id", "hash", "traits", "place", *leaf, "masked", F.md5("masked").alias("own")))
+    kept = saved(paths.join(small(full), leaf).select("id", "hash", _traits().alias("traits"), "place", *leaf, "masked", F.md5("masked").alias("own")))
 
     distinct = kept.groupBy(*leaf, "own", "hash").agg(F.first("masked").alias("masked"))
     distinct = saved(distinct.groupBy(*leaf, "own").agg(F.first("masked").alias("masked"), F.count("*").alias("w")))
