@@ -10,11 +10,12 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 
 import public_tokenizers as P
 from trawl.llm import bpe_transducer as B
 from trawl.llm import grammar_tokens as G
-from trawl.llm import language, main_text, pii, toxicity
+from trawl.llm import common, language, main_text, pii, toxicity
 
 CLASHING = "doc_id long, text string, score double, ids string, spans int, start int, hash int, id int, lang_pred int, part int, folded int"
 EDGES = [
@@ -56,6 +57,27 @@ def bpe():
     return fst, splitter, tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=fst.ranks, special_tokens={})
 
 
+def test_splitter_equals_the_regex_library(texts):
+    """By the faster machine where all is below U+10000, by the regex library elsewhere."""
+    rng, slow = random.Random(3), regex.compile(P.PATTERN)
+    splitter = B.Splitter(P.PATTERN)
+    assert splitter.quick.__self__ is not splitter.exact.__self__ and B.Splitter(r"\w+|(?i:a)").quick("aB c") == ["aB", "c"]
+    signs = "aZ'sdlve 09\t\n\x0b\x0c\r\x1c\x1f\x85\xa0\u2003\u3000éßאب中ᄀ٣½²Ⅷ_-.!€\u0301\u200d\ufeff\ud800"
+    made = ["".join(rng.choice(signs + "𝟙😀𠀀" * (i % 2)) for _ in range(rng.randint(0, 40))) for i in range(6000)]
+    for t in [*(x or "" for x in texts), *made, *map(chr, range(0x11000))]:
+        assert splitter.findall(t) == slow.findall(t)
+
+
+def test_worker_lets_go_of_what_other_operators_kept():
+    calls = []
+    make = lambda: calls.append(1) or "machine"
+    for _ in range(2):
+        assert common.started(lambda: common.kept("own", make)) == "machine"
+    assert len(calls) == 1
+    common.started(lambda: None)  # a task that keeps nothing
+    assert common.started(lambda: common.kept("own", make)) == "machine" and len(calls) == 2
+
+
 def test_bpe_equals_the_library(bpe, texts):
     fst, splitter, library = bpe
     rng = random.Random(3)

@@ -19,12 +19,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from array import array
+import re
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_arrow, table
+from .common import kept, map_arrow, table
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -34,6 +35,8 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 #: Bytes read between emissions.
 LOOKAHEAD = 256
+#: Pairs of tokens remembered: what they merge to, and whether one may follow the other.
+MAX_PAIRS = 1 << 17
 
 
 class Transducer:
@@ -62,8 +65,14 @@ class Transducer:
         # A thread is its node and its last token's id plus 1 (0: none) in one integer, as a transition is state and token.
         self.bits = (max(ranks.values()) + 1).bit_length()
         self.mask = (1 << self.bits) - 1
+        #: By node: the id plus 1 of the token that ends there (0: none), and whether longer ones begin with its bytes.
+        self.token_of = [self.token_at.get(node, -1) + 1 for node in range(len(self.depth))]
+        self.inner = bytearray(len(self.depth))
+        for key in self.child:
+            self.inner[key >> 8] = 1
         self.spines: dict[int, tuple | None] = {}
         self.joined: dict[int, int] = {}
+        self.follows: dict[int, bool] = {}
         self.forget()
 
     def forget(self) -> None:
@@ -122,7 +131,7 @@ class Transducer:
             key = x << self.bits | y
             m = self.joined.get(key)
             if m is None:
-                if len(self.joined) > 400_000:
+                if len(self.joined) > MAX_PAIRS:
                     self.joined.clear()
                 m = self.joined[key] = self.ranks.get(self.bytes_of[x] + self.bytes_of[y], self.mask)
             next_x = xs[i + 1] if i < last_x else self.mask
@@ -136,19 +145,33 @@ class Transducer:
             else:
                 j, y = j + 1, next_y
 
+    def may_follow(self, last: int, token: int) -> bool:
+        """compatible() of ids plus 1 (last is 0 at the beginning), remembered."""
+        key = last << self.bits | token
+        known = self.follows.get(key)
+        if known is None:
+            if len(self.follows) > MAX_PAIRS:
+                self.follows.clear()
+            known = self.follows[key] = self.compatible(last - 1, token - 1)
+        return known
+
     def step(self, state: int, byte: int) -> int:
-        """The move out of a state: next state and the token that ends here (its id plus 1)."""
+        """The move out of a state: next state and the token that ends here (its id plus 1).
+
+        A thread whose bytes no longer token begins with moves no further and is left out.
+        """
         live, ended = [], 0
-        child, bits, mask = self.child, self.bits, self.mask
+        child, bits, mask, inner = self.child, self.bits, self.mask, self.inner
         for thread in self.threads[state]:
             nxt = child.get(thread >> bits << 8 | byte)
             if nxt is not None:
                 last = thread & mask
-                live.append(nxt << bits | last)
+                if inner[nxt]:
+                    live.append(nxt << bits | last)
                 if not ended:
-                    token = self.token_at.get(nxt)
-                    if token is not None and self.compatible(last - 1, token):
-                        ended = token + 1
+                    token = self.token_of[nxt]
+                    if token and self.may_follow(last, token):
+                        ended = token
         live.append(ended)
         move = self.moves[state << 8 | byte] = self.number(tuple(live)) << bits | ended
         return move
@@ -196,6 +219,15 @@ class Transducer:
         yield self.back(ends, len(ends))
 
     def encode(self, data: bytes) -> list[int]:
+        if len(data) <= LOOKAHEAD:  # nothing is settled before the end
+            if len(self.threads) > self.max_states:
+                self.forget()
+            state, bits, mask, get, ends = self.begin, self.bits, self.mask, self.moves.get, []
+            for x in data:
+                move = get(state << 8 | x) or self.step(state, x)
+                state = move >> bits
+                ends.append(move & mask)
+            return self.back(ends, len(ends))
         parts = [*self.stream((data,))]
         return parts[0] if len(parts) == 1 else [t for p in parts for t in p]
 
@@ -287,30 +319,53 @@ class Remembered:
         return value
 
 
-_machines: dict[bytes, tuple] = {}
+class Splitter:
+    """findall() of a pattern of the regex library.
+
+    The standard library's machine is faster, but knows no properties: they become the code points up
+    to U+FFFF for which the regex library says so. Texts with others, and patterns with further
+    escapes, flags or groups, are left to the regex library.
+    """
+
+    def __init__(self, pattern: str):
+        self.exact = self.quick = regex.compile(pattern).findall
+        every = "".join(map(chr, range(65536)))
+        codes = {k: "".join(f"\\u{ord(m[0][0]):04x}-\\u{ord(m[0][-1]):04x}" for m in regex.finditer(f"{k}+", every)) for k in (r"\p{L}", r"\p{N}", r"\s")}
+        plain = re.sub(r"\[\^?(?:\\s|\\p\{[LN]\})+\]", lambda m: re.sub(r"\\s|\\p\{[LN]\}", lambda k: codes[k[0]], m[0]), pattern)
+        for k, v in codes.items():
+            plain = plain.replace(k, f"[{v}]")
+        plain = plain.replace(r"\S", f"[^{codes[r'\s']}]")
+        if not re.search(r"\\[^u]|\(\?(?![!=:])|\(\*", plain):
+            self.quick = re.compile(plain).findall
+
+    def findall(self, text: str) -> list[str]:
+        low = text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)
+        return (self.quick if low else self.exact)(text)
 
 
-def machine(data: bytes, pattern: str) -> tuple[Transducer, TokenBytes, regex.Pattern, Remembered]:
+def machine(data: bytes, pattern: str) -> tuple[Transducer, TokenBytes, Splitter, Remembered]:
     """One machine a worker process, shared by its tasks, with the pre-tokens encoded so far: their ids
-    as decimals joined by commas, and as 32-bit integers."""
-    key = hashlib.sha256(data + pattern.encode()).digest()
-    if key not in _machines:
-        _machines.clear()
+    as decimals joined by commas, and the bytes that the decoder hands out for these ids.
+
+    A pre-token is whole characters, so the decoder is at its beginning before and after it.
+    """
+
+    def make():
         fst = Transducer(read_ranks(data))
+        decoding = TokenBytes(fst.bytes_of)
 
         def piece(p: str) -> tuple[str, bytes]:
             ids = fst.encode(p.encode("utf-8", "replace"))
-            return ",".join(map(str, ids)), array("i", ids).tobytes()
+            decoder = StreamDecoder(decoding)
+            return ",".join(map(str, ids)), decoder.feed(ids) + decoder.finish()
+
+        return fst, decoding, Splitter(pattern), Remembered(piece, MAX_PIECES)
 
-        _machines[key] = fst, TokenBytes(fst.bytes_of), regex.compile(pattern), Remembered(piece, MAX_PIECES)
-    return _machines[key]
+    return kept(hashlib.sha256(data + pattern.encode()).digest(), make)
 
 
 #: Encoded pre-tokens that a worker remembers, twice: the last ones and those before.
 MAX_PIECES = 150_000
-#: Ids decoded at a time.
-DECODE_BLOCK = 65_536
-
 
 def bpe_encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Encodes every text and decodes the ids again.
@@ -325,21 +380,17 @@ def bpe_encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
         ranks = spark.sparkContext.broadcast(f.read())  # a vocabulary: a few MB at most
 
     def start():
-        _, decoding, splitter, known = machine(ranks.value, pattern)
+        _, _, splitter, known = machine(ranks.value, pattern)
         findall, sha256, get, add = splitter.findall, hashlib.sha256, known.young.get, known.add
 
         def work(rows):
             out = []
             for doc_id, text in rows:
                 parts = [get(p) or add(p) for p in findall(text or "")]
-                ids = array("i")
-                ids.frombytes(b"".join([p[1] for p in parts]))
-                decoder, digest = StreamDecoder(decoding), sha256()
-                for at in range(0, len(ids), DECODE_BLOCK):
-                    digest.update(decoder.feed(ids[at : at + DECODE_BLOCK]))
-                digest.update(decoder.finish())
-                row = (doc_id, len(ids), sha256(",".join([p[0] for p in parts]).encode()).hexdigest(), digest.hexdigest())
-                out.append((*row, ids) if with_ids else row)
+                ids, decoded = zip(*parts, strict=True) if parts else ((), ())
+                ids = ",".join(ids)
+                row = (doc_id, ids.count(",") + 1 if ids else 0, sha256(ids.encode()).hexdigest(), sha256(b"".join(decoded)).hexdigest())
+                out.append((*row, np.fromstring(ids, np.int32, sep=",")) if with_ids else row)
             return out
 
         return work

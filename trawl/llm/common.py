@@ -73,6 +73,28 @@ def saved(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: dict = {}
+_asked: set = set()
+
+
+def kept(key, make):
+    """make(), remembered in this worker process under the key as long as its tasks ask for it as they start."""
+    _asked.add(key)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def started(start):
+    """start() of a task. What it asks for is kept; what earlier tasks of other operators kept is let go."""
+    _asked.clear()
+    work = start()
+    for key in [*_kept]:
+        if key not in _asked:
+            del _kept[key]
+    return work
+
+
 def map_arrow(df: DataFrame, schema: str, start, rows: int = 512) -> DataFrame:
     """Runs start() once a task; the function it gives turns a list of rows (tuples) into rows.
 
@@ -81,7 +103,7 @@ def map_arrow(df: DataFrame, schema: str, start, rows: int = 512) -> DataFrame:
     out_schema = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        work = start()
+        work = started(start)
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
@@ -130,7 +152,7 @@ def filter_arrow(df: DataFrame, column: str, start) -> DataFrame:
     """Rows of df, all columns kept, for which start()'s function of a list of the column's values is true."""
 
     def run(batches):
-        work = start()
+        work = started(start)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
