@@ -424,3 +424,16 @@ def test_pipeline_stages(spark):
 
             assert set(ids) == set(before) and all(r["decoded_sha256"] == hashlib.sha256(before[r["doc_id"]].encode()).hexdigest() for r in out.collect())
         docs = out
+
+
+def test_rounds_of_components_have_small_plans(spark, monkeypatch):
+    """The driver plans every round, so no plan may hold the edges many times; stars take no round at all."""
+    plans, written = [], simhash.saved
+    monkeypatch.setattr(simhash, "saved", lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or written(df, *a))
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(i, 100) for i in range(101, 120)] + [(7, 7), (101, 100)], "a long, b long")
+    got = {r["node"]: r["root"] for r in simhash.components(chain).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 120)}
+    assert len(plans) > 1 and max(p.count("Relation [") for p in plans[1:]) <= 2
+    plans.clear()
+    assert simhash.components(spark.createDataFrame([(i, 100) for i in range(101, 120)], "a long, b long")).count() == 20
+    assert len(plans) == 1

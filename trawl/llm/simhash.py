@@ -176,21 +176,28 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     for _ in range(max_rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        if _are_stars(now):
+            break
+        # Each star is saved, so that no plan holds the edges more than twice: plans take the driver's memory.
+        both = now.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
+        large = saved(large.where("u != v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        small = saved(small.where("u != v").distinct())
-        # Done when nothing moved: the edges are stars already.
-        if small.exceptAll(now).isEmpty() and now.exceptAll(small).isEmpty():
-            break
-        now = small
+        small = large.join(least, "u").select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
+        now = saved(small.where("u != v").distinct())
     else:
         raise RuntimeError("components did not settle")
-    roots = small.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(small.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each u of distinct edges u > v has one v, and no v is a u: alternating stars would change nothing."""
+    up, down = (F.struct(F.col(end).alias("node"), F.lit(i).alias("up"), F.lit(1 - i).alias("down")) for end, i in (("u", 1), ("v", 0)))
+    ends = edges.select(F.inline(F.array(up, down)))
+    found = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return found.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty()
 
 
 def simhash_components(docs: DataFrame, n: int = 3, max_distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -329,6 +336,8 @@ def _sketched(pairs: DataFrame, nodes: DataFrame, most: float) -> DataFrame:
 def _verified(pairs: DataFrame, nodes: DataFrame, hashed: DataFrame, n: int, similarity: float) -> DataFrame:
     """The pairs a, b of nodes whose shingle sets are as similar as asked for, saved."""
     pairs = saved(pairs)
+    if pairs.isEmpty():
+        return pairs
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id", "hash"), "node")
     ends = saved(ends.withColumnsRenamed({"id": "__id", "hash": "__hash"}))
     # By id as well, so that copies of a text do not meet in one task.
@@ -429,8 +438,7 @@ def _rooted(docs: DataFrame, n: int, similarity: float, id_col: str, text_col: s
         return saved(keys.where((F.col("low") < F.col("high")) & may).select("key", "n"))
 
     # Near copies first, by their fingerprints, so that few values are shared between groups.
-    known = _verified(links(nodes.select("node", "fp"), NEAR_BITS), nodes, hashed, n, similarity)
-    roots = grouped(known)
+    roots = grouped(_verified(links(nodes.select("node", "fp"), NEAR_BITS), nodes, hashed, n, similarity))
     rows = marks.select("node", "size", "rare").join(small(roots, BROADCAST_KEYS), "node").select("node", "size", "root", F.posexplode("rare").alias("at", "key"))
     rows = rows.select("key", "node", "root", "size", (F.col("size") - F.col("at")).alias("rest"))
     keys = several(rows)
@@ -441,11 +449,12 @@ def _rooted(docs: DataFrame, n: int, similarity: float, id_col: str, text_col: s
         places = rows.join(small(keys, BROADCAST_KEYS), "key")
         compare = lambda columns, cuts, thin=thin: near(columns, cuts, thin)
         # Pairs of small places are few, so sketches go to the pairs; of large ones, to the places.
-        few = _in_tiles(places.where(F.col("n") <= FEW), ["size", "rest", "root"], compare)
+        few = saved(_in_tiles(places.where(F.col("n") <= FEW), ["size", "rest", "root"], compare))
         many = places.where(F.col("n") > FEW).join(nodes.select("node", "odd"), "node")
         pairs = _sketched(few, nodes, most).unionByName(_in_tiles(many, ["size", "rest", "root", "odd"], compare)).distinct()
-        known = saved(known.unionByName(_verified(pairs, nodes, hashed, n, similarity)))
-        roots = grouped(known)
+        found = _verified(pairs, nodes, hashed, n, similarity)
+        if not found.isEmpty():
+            roots = grouped(roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
     return saved(nodes.select("node", "id", "hash").join(small(roots, BROADCAST_KEYS), "node").select("id", "hash", "root"))
 
 
