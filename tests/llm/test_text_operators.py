@@ -536,3 +536,17 @@ def test_toxicity_on_the_given_labels(spark):
     out = [(labels[r["doc_id"]], r["predicted"]) for r in toxicity.op4_toxicity(spark, "/root/testdata/sf0.1").where("held_out").collect() if r["doc_id"] in labels]
     hit, false, missed = (sum(pair == p for pair in out) for p in ((1, 1), (0, 1), (1, 0)))
     assert len(out) > 500 and hit / (hit + missed) >= 0.85 and hit / (hit + false) >= 0.85
+
+
+def test_words_are_remembered_over_many_slices(monkeypatch):
+    """300,000 different words that recur in every slice are encoded once, with the library's ids."""
+    with open(P.path("word_bpe_49k.json"), "rb") as f:
+        encoder = G.Encoder(f.read())
+    letters = "abcdefghijklmnopqrstéß"
+    words = ["".join(letters[i // 22**k % 22] for k in range(5)) for i in range(300_000)]
+    slices = [pa.array([" ".join(words[at : at + 50_000])]) for at in range(0, 300_000, 50_000)] * 2
+    encoded, one = [], encoder.model_ids
+    monkeypatch.setattr(encoder, "model_ids", lambda new: encoded.extend(new) or one(new))
+    got = [encoder.encode(texts)[0].tobytes() for texts in slices]
+    assert len([w for w in encoded if w not in ".,"]) == 300_000
+    assert got[0] == encoder.whole(slices[0].to_pylist())[0] and got[:6] == got[6:]

@@ -26,6 +26,7 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
+from codecs import charmap_decode
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ SHARD_TOKENS, SLICE_BYTES = 1 << 21, 1 << 22
 #: PER_ROUND if there are; the rest wait for the next.
 PER_ROUND, MIN_COUNT = 2048, 24
 #: Encoded words that a worker remembers; beyond it they are forgotten.
-MAX_WORDS = 250_000
+MAX_WORDS = 500_000
 END_ID = 1
 _SCHEMA = (
     "part int, seq int, start_in_part long, doc_ids array<long>, doc_tokens array<int>, doc_at array<int>, "
@@ -181,7 +182,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(data.decode())
         self.model = self.tokenizer.model
-        self.letters = dict(enumerate(byte_letters()))
+        self.letters = "".join(byte_letters())
         self.words: dict[str, bytes] = {}
         self.others: dict[str, bytes] = {}
         # Simple chunks are only taken apart here if the vocabulary's steps do just that.
@@ -196,7 +197,7 @@ class Encoder:
     def model_ids(self, words: list[str]) -> list[bytes]:
         out, tokenize, letters = [], self.model.tokenize, self.letters
         for w in words:
-            raw = w if w.isascii() else w.encode().decode("latin-1").translate(letters)
+            raw = w if w.isascii() else charmap_decode(w.encode(), "strict", letters)[0]
             out.append(array("I", [t.id for t in tokenize(raw)]).tobytes())
         return out
 
@@ -227,7 +228,7 @@ class Encoder:
         unit[:, 1] = np.where(simple, pc.add(pc.cast(pc.ends_with(names, "."), "int8"), pc.multiply(pc.cast(pc.ends_with(names, ","), "int8"), 2)).to_numpy(), 0)
         unit[~simple, 0] = len(units) + np.arange(len(rest))
         units += self.looked_up(rest, self.others, self.whole)
-        size = np.array([len(u) // 4 for u in units], np.int64)
+        size = np.fromiter(map(len, units), np.int64, len(units)) // 4
         pool = np.frombuffer(b"".join(units), "<u4")
         stream = unit[chunks.indices.to_numpy()].ravel()
         n = size[stream]
