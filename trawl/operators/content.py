@@ -147,7 +147,7 @@ class ContentIndex:
     def built(cls, store: Store, documents: DataFrame) -> dict:
         """The index's tables over documents (path_key, content, mod_time; one row a key), for Store.replace. Null contents are left out."""
         contents = store.stage(cls.arranged(cls.rows(documents.where("content is not null"))), cls.TABLE, ROW_GROUP)
-        return {cls.TABLE: (contents, "path_key")} | TrigramIndex.built(store, cls.INDEX, contents.df, "content")
+        return {cls.TABLE: (contents, "path_key")} | TrigramIndex.built(store, cls.INDEX, contents.df, "content", table=cls.TABLE)
 
     def deltas(self, documents: DataFrame, gone: DataFrame) -> dict:
         """For documents as they are now and keys (path_key) that are gone, as Store.change takes them.

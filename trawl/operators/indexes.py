@@ -1,11 +1,11 @@
 """Stored trigram indexes, which narrow a search to rows that may match, and when to use them.
 
-An index has two tables in its store: postings (tri, id), sorted by trigram so that a lookup reads few row
-groups, and lengths (tri, n). A trigram is the crc32 of its three bytes, which no two trigrams share; a row
-is known by the 64-bit hash of its key. What the index gives is a superset, so equal hashes, and rows that
-changed meanwhile, do no harm: the search's own condition decides.
+An index has two tables in its store: postings (tri, id) and lengths (tri, n). A trigram is the crc32 of its
+three bytes, which no two trigrams share; a row is known by the 64-bit hash of its key. What the index gives is
+a superset, so equal hashes, and rows that changed meanwhile, do no harm: the search's own condition decides.
 
-    base       one row a pair
+    base       slices of rows side by side, each sorted by trigram, with a list of ids a trigram. A lookup skips
+               the pages of other trigrams; Parquet writes each id of a slice once, and its short number in the lists
     deltas     the pairs of changed rows, and a mark for each row whose earlier pairs no longer count
     lengths    of the base; deltas add theirs, so they are upper bounds until the next compaction
 
@@ -19,6 +19,8 @@ import re
 import zlib
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ SCAN_SHARE = 0.1
 LOOKED_UP = 4
 #: Ids that are handed to the scan as literals, for which it skips pages; and ids that go to all executors at once (8 bytes each).
 LITERAL_IDS, BROADCAST_IDS = 64, 1 << 20
+#: Pairs of a slice, which one task holds at once.
+SLICE = 1 << 21
 #: Lengths that the driver remembers; a version's never change.
 MAX_KNOWN = 100_000
 _lengths: dict[tuple[str, str, int], dict[int, int]] = {}
@@ -90,6 +94,16 @@ def _leaves(need) -> set[str]:
     return {need} if isinstance(need, str) else {x for p in need.parts for x in _leaves(p)}
 
 
+def listed(held: list) -> pa.RecordBatch:
+    """Pairs (tri, id) by trigram, with a list of ids each, in the order they came in."""
+    tri, ids = (np.concatenate(parts) for parts in zip(*held, strict=True))
+    order = np.argsort(tri, kind="stable")
+    tri = tri[order]
+    starts = np.flatnonzero(np.r_[True, tri[1:] != tri[:-1]])
+    lists = pa.ListArray.from_arrays(np.r_[starts, len(tri)].astype("int32"), pa.array(ids[order]))
+    return pa.RecordBatch.from_arrays([pa.array(tri[starts]), lists], ["tri", "id"])
+
+
 class TrigramIndex:
     """An index of the store by name; rows counts those of the table that it is on."""
 
@@ -105,15 +119,31 @@ class TrigramIndex:
 
     @staticmethod
     def arranged(pairs: DataFrame) -> DataFrame:
-        """Sorted by trigram; a frequent one is cut by id."""
-        return pairs.repartitionByRange("tri", "id").sortWithinPartitions("tri", "id")
+        """tri, id: slices of the pairs as they come, each sorted by trigram, with the ids of each as a list. Nothing is shuffled."""
+
+        def run(batches):
+            held, size = [], 0
+            for batch in batches:
+                held.append([c.to_numpy() for c in batch.columns])
+                size += batch.num_rows
+                if size >= SLICE:
+                    yield listed(held)
+                    held, size = [], 0
+            if size:
+                yield listed(held)
+
+        return pairs.select("tri", "id").mapInArrow(run, "tri long, id array<long>")
 
     @classmethod
-    def built(cls, store: Store, name: str, rows: DataFrame, column: str, key: str = "path_key") -> dict:
-        """The index's tables over all rows, for Store.replace."""
-        postings = store.stage(cls.arranged(cls.pairs(rows, column, key)), f"{name}_postings", ROW_GROUP)
-        lengths = postings.df.groupBy("tri").agg(F.count("*").alias("n"))
-        return {f"{name}_postings": (postings, "id"), f"{name}_lengths": (lengths.repartitionByRange("tri").sortWithinPartitions("tri"), None)}
+    def built(cls, store: Store, name: str, rows: DataFrame, column: str, key: str = "path_key", table: str | None = None) -> dict:
+        """The index's tables over all rows, for Store.replace. table: that of the store which holds the rows, if one does; compactions read it."""
+        postings = store.stage(cls.arranged(cls.pairs(rows, column, key)), f"{name}_postings", ROW_GROUP, "id", [table, column, key] if table else None)
+        return {f"{name}_postings": (postings, "id"), f"{name}_lengths": (cls.counted(postings.df).repartitionByRange("tri").sortWithinPartitions("tri"), None)}
+
+    @staticmethod
+    def counted(lists: DataFrame) -> DataFrame:
+        """tri, n of a base."""
+        return lists.groupBy("tri").agg(F.sum(F.size("id")).cast("long").alias("n"))
 
     @classmethod
     def changed(cls, store: Store, name: str, rows: DataFrame, gone: DataFrame, column: str, key: str = "path_key") -> dict:
@@ -126,10 +156,17 @@ class TrigramIndex:
 
     @classmethod
     def compact(cls, store: Store, name: str) -> None:
-        """Folds the deltas in; lengths become exact."""
-        done = store.compact(f"{name}_postings", cls.arranged, block=ROW_GROUP)
+        """Folds the deltas in; lengths become exact. Where the store has the rows, their pairs are made anew: they would be shuffled otherwise."""
+
+        def arranged(pairs: DataFrame) -> DataFrame:
+            # What is in the table by now is in the deltas that stay behind the new base as well.
+            head = store.head()
+            source = head.tables[f"{name}_postings"].source
+            return cls.arranged(cls.pairs(store._read(head.tables[source[0]]), *source[1:]) if source else pairs)
+
+        done = store.compact(f"{name}_postings", arranged, block=ROW_GROUP)
         # Lengths of what the new base holds; deltas that others add meanwhile add theirs again, which keeps them upper bounds.
-        lengths = store.spark.read.parquet(f"{store.path}/{done.tables[f'{name}_postings'].base}").groupBy("tri").agg(F.count("*").alias("n"))
+        lengths = cls.counted(store.spark.read.parquet(f"{store.path}/{done.tables[f'{name}_postings'].base}"))
         later = store.head().tables[f"{name}_postings"].deltas
         for folder in later:
             lengths = lengths.unionByName(store.spark.read.parquet(f"{store.path}/{folder}").where("tri is not null").groupBy("tri").agg(F.count("*").alias("n")))

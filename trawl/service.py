@@ -198,7 +198,7 @@ def indexed(spark: SparkSession, cache: str, files: DataFrame, contents: DataFra
     """A store at cache with the catalog, the index of its names and, if given, contents with theirs."""
     store = Store(spark, cache)
     staged = store.stage(files.sortWithinPartitions("path"), storage.FILES)
-    tables = {storage.FILES: (staged, storage.KEY)} | TrigramIndex.built(store, "names", staged.df, "match_path")
+    tables = {storage.FILES: (staged, storage.KEY)} | TrigramIndex.built(store, "names", staged.df, "match_path", table=storage.FILES)
     store.replace(tables | (content.ContentIndex.built(store, contents) if contents is not None else {}))
     return store
 

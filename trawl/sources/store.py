@@ -7,6 +7,8 @@ next commit's number; who comes second reads the new head, puts its deltas behin
 A table has a key. A delta carries all present rows of the keys it touches, and rows marked gone for keys
 that have none; reading takes each key from the last delta that touches it, else from the base. Without a
 key, deltas only add. So a change costs its own size; compact() folds the deltas into a new base.
+
+A base may hold lists of keys in the key's column; they are read as one row a key.
 """
 
 from __future__ import annotations
@@ -15,19 +17,36 @@ import json
 import os
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 from dataclasses import replace as dataclass_replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 #: Column of a delta: this row only says that its key has no rows.
 GONE = "gone"
 #: The last event of a store that has seen none; events count from 0.
 NO_EVENT = -1
 COMMIT = "version long, written_at double, last_event long, extra map<string,string>, offline array<string>"
+#: Spark's setting that removes a query's shuffle files when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def short_shuffles(session: SparkSession) -> Iterator[None]:
+    """Writes inside leave no shuffle files behind: their plans do not run again. Of writers side by side the first sets it, and the others' files may stay longer."""
+    mine = session.conf.get(CLEANUP, None) == "false"
+    if mine:
+        session.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if mine:
+            session.conf.unset(CLEANUP)
 
 
 class Conflict(RuntimeError):
@@ -36,13 +55,17 @@ class Conflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Table:
-    """key: None for a table whose deltas only add. rows, changed: of the base, and of the deltas together."""
+    """key: None for a table whose deltas only add. rows, changed: of the base, and of the deltas together.
+
+    source: of a table that follows from another one, that one and what else it takes to make it.
+    """
 
     key: str | None
     base: str
     deltas: list[str] = field(default_factory=list)
     rows: int = 0
     changed: int = 0
+    source: list[str] | None = None
 
 
 @dataclass(frozen=True)
@@ -52,6 +75,7 @@ class Staged:
     folder: str
     rows: int
     df: DataFrame
+    source: list[str] | None = None
 
 
 @dataclass(frozen=True)
@@ -142,17 +166,26 @@ class Store:
 
     # ---- writing ----
 
-    def stage(self, df: DataFrame | Staged, name: str, block: int | None = None) -> Staged:
-        """Writes a folder of the table, for a commit to come. block: bytes of a row group, for tables that are looked up by a sorted column."""
+    def stage(self, df: DataFrame | Staged, name: str, block: int | None = None, key: str | None = None, source: list[str] | None = None) -> Staged:
+        """Writes a folder of the table, for a commit to come. block: bytes of a row group, for tables that are looked up by a sorted column. key: what may hold lists."""
         if isinstance(df, Staged):
             return df
         folder = f"{name}/{uuid.uuid4().hex}"
-        writer = df.write.mode("error")
+        writer = df.write.mode("error").option("compression", "zstd")
         if block:
-            writer = writer.option("parquet.block.size", block)
-        writer.parquet(f"{self.path}/{folder}")
+            writer = writer.option("parquet.block.size", block).option("parquet.dictionary.page.size", block)
+        with short_shuffles(df.sparkSession):
+            writer.parquet(f"{self.path}/{folder}")
         written = self.spark.read.schema(df.schema).parquet(f"{self.path}/{folder}")
-        return Staged(folder, written.count(), written)  # counted by the footers
+        if key is not None and self._lists(written, key):
+            rows = written.agg(F.coalesce(F.sum(F.size(key)), F.lit(0))).first()[0]
+        else:
+            rows = written.count()  # by the footers
+        return Staged(folder, rows, written, source)
+
+    @staticmethod
+    def _lists(df: DataFrame, key: str) -> bool:
+        return isinstance(df.schema[key].dataType, ArrayType)
 
     def replace(self, tables: dict[str, tuple[DataFrame | Staged, str | None]], *, read: int | None = None, last_event: int = NO_EVENT, extra: dict | None = None, offline: list[str] | None = None, restart: bool = False) -> Commit:
         """New bases (rows, key) for some tables; others stay. read: the version the rows were made from.
@@ -164,7 +197,7 @@ class Store:
         new = {}
         for name, (df, key) in tables.items():
             staged = self.stage(df, name)
-            new[name] = Table(key, staged.folder, rows=staged.rows)
+            new[name] = Table(key, staged.folder, rows=staged.rows, source=staged.source)
 
         def make(head: Commit | None) -> Commit:
             if read is not None and (head is None or head.version != read):
@@ -221,13 +254,13 @@ class Store:
         """
         head = self.head()
         old = head.tables[name]
-        new = self.stage(arrange(self._read(old)), name, block)
+        new = self.stage(arrange(self._read(old)), name, block, old.key)
 
         def make(now: Commit) -> Commit:
             t = now.tables[name]
             if t.base != old.base or t.deltas[: len(old.deltas)] != old.deltas:
                 raise Conflict(f"{name} was replaced while it was compacted")
-            return self._after(now, now.tables | {name: Table(t.key, new.folder, t.deltas[len(old.deltas) :], new.rows, t.changed - old.changed)}, last_event, None, None)
+            return self._after(now, now.tables | {name: Table(t.key, new.folder, t.deltas[len(old.deltas) :], new.rows, t.changed - old.changed, t.source)}, last_event, None, None)
 
         return self._commit(make)
 
@@ -279,6 +312,8 @@ class Store:
 
     def _read(self, t: Table) -> DataFrame:
         base = self.spark.read.parquet(f"{self.path}/{t.base}")
+        if t.key is not None and self._lists(base, t.key):
+            base = base.withColumn(t.key, F.explode(t.key))
         if not t.deltas:
             return base
         every, last = self._deltas(t)
