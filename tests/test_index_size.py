@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from trawl import suite
-from trawl.operators import mutations
+from trawl.operators import content, mutations
 from trawl.operators.catalog import Catalog, derive
 from trawl.operators.indexes import TrigramIndex
 from trawl.sources.store import CLEANUP, Store
@@ -40,6 +40,19 @@ def test_pairs_made_anew_equal_merged_ones(spark, tmp_path):
     assert stores[0] == stores[1]
 
 
+def test_contents_are_folded_by_one_shuffle(spark, tmp_path):
+    docs = spark.range(60).select(F.format_string("/d/f%d", "id").alias("path_key"), F.format_string("Text %d", "id").alias("content"), F.lit(1).cast("long").alias("mod_time"))
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.replace(content.ContentIndex.built(store, docs))
+    for n in (2, 3):
+        now = docs.where(f"mod_time % {n} = 1").limit(20 * n).withColumns({"content": F.concat("content", F.lit(f" of {n}")), "mod_time": F.lit(n).cast("long")})
+        store.change(content.ContentIndex(store).deltas(now, docs.where(f"path_key = '/d/f{n}'")))
+    t = store.head().tables["contents"]
+    folded = store._sorted(t, "id")
+    assert folded._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(map(tuple, folded.collect())) == sorted(map(tuple, store._read(t).collect()))
+
+
 def test_a_search_makes_the_tables_it_reads_alone(spark, monkeypatch):
     def unasked(*_):
         raise AssertionError("not read by this search")

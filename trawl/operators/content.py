@@ -170,7 +170,7 @@ class ContentIndex:
 
     @classmethod
     def compact(cls, store: Store) -> Commit:
-        store.compact(cls.TABLE, cls.arranged, block=ROW_GROUP)
+        store.compact(cls.TABLE, by="id", block=ROW_GROUP)
         TrigramIndex.compact(store, cls.INDEX)
         return store.head()
 

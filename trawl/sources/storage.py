@@ -81,7 +81,7 @@ def maintain(store: Store, share: float = 0.25) -> None:
                 if name.endswith("_postings"):
                     TrigramIndex.compact(store, name.removesuffix("_postings"))
                 elif name == ContentIndex.TABLE:
-                    store.compact(name, ContentIndex.arranged, block=ROW_GROUP)
+                    store.compact(name, by="id", block=ROW_GROUP)
                 else:
                     store.compact(name)
             elif len(t.deltas) > MAX_DELTAS:

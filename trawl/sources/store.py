@@ -23,7 +23,7 @@ from dataclasses import asdict, dataclass, field
 from dataclasses import replace as dataclass_replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
@@ -247,14 +247,15 @@ class Store:
         """Whether a writer's change of this number is in the store."""
         return int(head.extra.get(writer, -1)) >= number
 
-    def compact(self, name: str, arrange: Callable[[DataFrame], DataFrame] = lambda df: df, *, block: int | None = None, last_event: int = NO_EVENT) -> Commit:
+    def compact(self, name: str, arrange: Callable[[DataFrame], DataFrame] = lambda df: df, *, by: str | None = None, block: int | None = None, last_event: int = NO_EVENT) -> Commit:
         """Folds a table's deltas into a new base. Deltas that others add meanwhile stay behind it.
 
-        arrange may sort the rows, and merge in what was logged up to last_event.
+        arrange may sort the rows, and merge in what was logged up to last_event. by: a column that follows
+        from the key; the new base is sorted by it.
         """
         head = self.head()
         old = head.tables[name]
-        new = self.stage(arrange(self._read(old)), name, block, old.key)
+        new = self.stage(arrange(self._sorted(old, by) if by else self._read(old)), name, block, old.key)
 
         def make(now: Commit) -> Commit:
             t = now.tables[name]
@@ -324,3 +325,13 @@ class Store:
         if len(t.deltas) > 1:
             fresh = fresh.join(last, [t.key, "_order"], "left_semi")
         return base.join(last.select(t.key), t.key, "left_anti").select(base.columns).unionByName(fresh.select(base.columns))
+
+    def _sorted(self, t: Table, by: str) -> DataFrame:
+        """As _read, sorted by a column that follows from the key. One shuffle brings a key's rows together and sorts them."""
+        rows = self.spark.read.parquet(f"{self.path}/{t.base}")
+        columns = rows.columns
+        rows = rows.withColumns({GONE: F.lit(False), "_order": F.lit(-1)})
+        if t.deltas:
+            rows = rows.unionByName(self._deltas(t)[0].select(rows.columns))
+        last = F.rank().over(Window.partitionBy(by, t.key).orderBy(F.desc("_order")))
+        return rows.repartitionByRange(by).withColumn("_last", last).where(f"_last = 1 and not {GONE}").select(columns)
