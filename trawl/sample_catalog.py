@@ -77,7 +77,10 @@ def directories(rows: DataFrame) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records(spark, sf_dir)
-    return last_wins(derive(rows.unionByName(directories(rows))))
+    every = rows.unionByName(directories(rows))
+    # The last row of each path is taken before columns are derived, so the shuffle does not carry those.
+    key = F.lower(T.full_path(F.coalesce("path", F.lit("")), F.coalesce("name", F.lit(""))))
+    return derive(last_wins(every.withColumn("path_key", key)))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
